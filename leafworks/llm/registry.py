@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing
+from . import bpe, chat, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op5_byte_bpe": bpe.query,
+    "op6_quality_rules": quality.query,
     "op7_chat_windows": chat.query,
+    "op8_personal_data": pii.query,
     "op9_source_mixing": mixing.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {}
