@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,26 +38,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bitmap(ids: DataFrame, bits: int = 1 << 24) -> np.ndarray:
-    """Where the ids of the first column fall modulo ``bits``, as packed bits.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, deleted when the session ends: what ``cut`` does, in fewer bytes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
-    A filter of fixed size (``bits / 8`` bytes) whatever the number of ids:
-    it may let others pass and never drops one, so an exact join must follow.
+
+#: Size of the bitmap filter.
+FILTER_BITS = 1 << 24
+
+
+def slot(id_: Column) -> Column:
+    """The place of an id in ``bitmap``."""
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The numbers in the one column of ``slots``, under ``FILTER_BITS``, as packed bits.
+
+    A filter of fixed size (2 MB) whatever the number of rows: where it is
+    crowded it lets others pass, and it never drops one, so an exact join
+    must follow.
     """
-    c = F.col(ids.columns[0])
-    at = F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.select(at.alias("x")).selectExpr("shiftright(x, 6) w", "shiftleft(1L, int(x % 64)) b")
+    words = slots.toDF("x").selectExpr("shiftright(x, 6) w", "shiftleft(1L, int(x % 64)) b")
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def slot(c: Column, bits: int = 1 << 24) -> Column:
-    """The place of an id in ``bitmap``."""
-    return F.pmod(F.xxhash64(c), F.lit(bits))
-
-
 def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
