@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from . import bpe, chat, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES = {
     "op1_fuzzy_lines": line_dedup.query,
+    "op2_license_scan": licenses.query,
     "op3_ngram_jaccard": ngram_join.query,
+    "op4_minhash_fingerprints": fingerprints.query,
     "op5_byte_bpe": bpe.query,
     "op6_quality_rules": quality.query,
     "op7_chat_windows": chat.query,
