@@ -1 +1,162 @@
-"""Queries."""
+"""Queries over scoring, ranking, deduplication and caches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import pages as P
+from ..operators import retrieval as R
+from ..sources import documents as D
+from .base import query, table
+from .pages import PAGES
+
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({c}), '[\s/·,]+'), lambda w: length(w) >= 2))"
+_HITS = f"""(select item_id, n_words, doc_id, idx, source, count(*) as score from (select item_id, len({_WORDS.format(c='text')}) as n_words, unnest({_WORDS.format(c='text')}) as word from benchmark)
+  join (select doc_id, idx, source, unnest({_WORDS.format(c='content')}) as word from {PAGES}) using (word) group by all)"""
+
+
+def hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return R.word_hits(P.page_lines(docs), table(spark, sf_dir, "benchmark"), ["doc_id", "idx"], "item_id")
+
+
+@query(f"""select source, item_id, count(*) as n_hits, max(score) as best_score, count(distinct filename) as n_files from (
+  select source, item_id, score, 'doc_' || doc_id as filename, row_number() over (partition by item_id, source order by score desc, doc_id, idx) as rank from {_HITS} where score >= greatest(2.0, n_words * 0.4)) where rank <= 8 group by source, item_id""")
+def bundle_retrieval_report(spark, sf_dir):
+    """Words of benchmark items against the pages of each bundle: best 8, one per page, summed up."""
+    bundles = table(spark, sf_dir, "documents").select("doc_id", "source")
+    good = R.enough_words(hits(spark, sf_dir)).join(bundles, "doc_id")
+    best = R.top_k(good.withColumn("n_", F.col("score")), ["item_id", "source"], [F.col("doc_id"), F.col("idx")], 8)
+    best = best.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).withColumn("page", F.col("idx"))
+    once = R.keep_first(best, ["filename", "page"], [F.col("rank")], within=["item_id", "source"])
+    return once.groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("n_").alias("best_score"), F.count_distinct("filename").alias("n_files"))
+
+
+@query(f"select item_id, doc_id, idx::int as idx, score, n_words::int as n_words from {_HITS} where score >= greatest(2.0, n_words * 0.4)")
+def word_page_match(spark, sf_dir):
+    return R.enough_words(hits(spark, sf_dir)).select("item_id", "doc_id", "idx", "score", "n_words")
+
+
+@query(f"""select doc_id, node, idx::int as idx, score::int as score from (select doc_id, node, idx, score, n, row_number() over (partition by doc_id, node order by score desc, idx) as rn from (
+  select n.doc_id, n.node, p.idx, len(n.words) as n, len(list_filter(n.words, lambda w: contains(lower(p.content), w))) as score from (
+    select doc_id, 0 as node, list_filter(string_split_regex(lower(left(text, 60)), '[\\s/·,]+'), lambda w: length(w) >= 2) as words from documents) n join {PAGES} p using (doc_id))) where rn = 1 and score >= greatest(2.0, n * 0.4)""")
+def fuzzy_page_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    nodes = docs.select("doc_id", F.lit(0).alias("node"), F.left("text", F.lit(60)).alias("label"))
+    return R.contained_words(nodes, P.page_lines(docs), "doc_id")
+
+
+_COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x)) * list_sum(list_transform(b.embedding, lambda x: x::double * x)))"
+
+
+@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
+  from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 8""")
+def select_top_k_cosine(spark, sf_dir):
+    return _nearest(spark, sf_dir, 8, 0.0)
+
+
+@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
+  from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 20 and score > 0.2""")
+def select_min_score(spark, sf_dir):
+    return _nearest(spark, sf_dir, 20, 0.2)
+
+
+def _nearest(spark, sf_dir, k, least):
+    """A fixed set of ten probes against all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    probes = e.where("vec_id < 10").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
+    scored = e.join(F.broadcast(probes), F.col("vec_id") != F.col("probe")).withColumn("score", F.round(R.cosine(F.col("embedding"), F.col("q")), 9))
+    return R.top_k(scored, ["probe"], [F.col("vec_id")], k, least=least).select("probe", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""select doc_id, idx::int as idx, ([0.9, 0.85, 0.7])[idx] as score from {PAGES} where idx <= 3""")
+def scores_by_position(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pages = P.page_lines(docs).withColumn("pos", F.col("idx") - 1)
+    scores = docs.select("doc_id", F.array(*[F.lit(x) for x in (0.9, 0.85, 0.7)]).alias("scores"))
+    return R.by_position(pages, scores, "doc_id").select("doc_id", "idx", "score")
+
+
+_TWICE = f"(select doc_id, filename, case when idx % 5 = 0 then null else idx % 4 end as page, idx, content from {PAGES})"
+
+
+@query(f"""select doc_id, row_number() over (partition by doc_id order by idx)::int as idx, page::int as page, content from (select *, row_number() over (partition by doc_id, filename, page order by idx) as rn from {_TWICE}) where rn = 1 or page is null""")
+def dedup_keep_first(spark, sf_dir):
+    p = P.page_lines(table(spark, sf_dir, "documents")).withColumn("old", F.col("idx")).withColumn("page", F.when(F.col("idx") % 5 != 0, F.col("idx") % 4))
+    return R.keep_first(p, ["filename", "page"], [F.col("old")], within=["doc_id"]).select("doc_id", "idx", "page", "content")
+
+
+@query(f"""select kind, name, (row_number() over (order by kind, ord1, ord2))::int as idx from (select 0 as kind, 'doc_' || doc_id as name, doc_id as ord1, 0 as ord2 from documents where doc_id % 10 = 0
+  union all select 1, url, page_id, 1 from pages where page_id % 5 = 0)""")
+def union_web_doc_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.lit(0).alias("kind"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.col("doc_id").alias("ord"))
+    web = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select(F.lit(1).alias("kind"), "url", F.col("page_id").alias("ord"))
+    both = R.union_hits(docs, web).select("kind", F.coalesce("filename", "url").alias("name"), "ord")
+    return both.select("kind", "name", F.row_number().over(Window.orderBy("kind", "ord")).alias("idx"))
+
+
+_CALLS = "(select page_id, page_id % 7 as call, url from pages)"
+
+
+@query(f"select page_id, call::int as call, row_number() over (order by call, page_id)::int as idx from {_CALLS}")
+def web_index_offset(spark, sf_dir):
+    """Hits of later calls number on from those of earlier ones: call offsets are prefix sums of a few counts."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).cast("int").alias("call"))
+    sizes = p.groupBy("call").agg(F.count(F.lit(1)).alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("call").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("call").orderBy("page_id"))
+    return p.withColumn("place", place).join(sizes.select("call", offset.alias("offset")), "call").select("page_id", "call", (F.col("place") + F.col("offset")).cast("int").alias("idx"))
+
+
+_CACHE = "(select case when page_id % 10 = 0 then '' else split_part(url, '/', 3) end as host, case when page_id % 11 = 0 then '' else left(html, 40) end as snippet, page_id from pages)"
+
+
+@query(f"select host, arg_max(snippet, page_id) as snippet from {_CACHE} where host <> '' and snippet <> '' group by host")
+def url_cache_upsert(spark, sf_dir):
+    return R.latest(_cache_rows(spark, sf_dir), "host", "snippet", "page_id")
+
+
+def _cache_rows(spark, sf_dir):
+    host = F.when(F.col("page_id") % 10 == 0, F.lit("")).otherwise(F.split_part("url", F.lit("/"), F.lit(3)))
+    return table(spark, sf_dir, "pages").select(host.alias("host"), F.when(F.col("page_id") % 11 == 0, F.lit("")).otherwise(F.left("html", F.lit(40))).alias("snippet"), "page_id")
+
+
+@query(f"""select p.page_id, c.snippet, c.snippet is not null as success from (select page_id, case when page_id % 4 = 0 then 'none' else split_part(url, '/', 3) end as host from pages) p left join (select host, arg_max(snippet, page_id) as snippet from {_CACHE} where host <> '' and snippet <> '' group by host) c using (host)""")
+def url_cache_lookup(spark, sf_dir):
+    asked = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, F.lit("none")).otherwise(F.split_part("url", F.lit("/"), F.lit(3))).alias("host"))
+    return R.look_up(asked, R.latest(_cache_rows(spark, sf_dir), "host", "snippet", "page_id"), "host", "snippet").select("page_id", "snippet", "success")
+
+
+@query("""select h.page_id, h.want, p.url from (select page_id, (page_id % 20 + 1) as want from pages) h join (select url, page_id, row_number() over (order by page_id) as idx from pages) p on p.idx = h.want where p.url is not null""")
+def hit_index_urls(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    first = p.orderBy("page_id").limit(20).select("url", F.row_number().over(Window.orderBy("page_id")).alias("want"))  # indices asked are at most 20
+    return p.select("page_id", (F.col("page_id") % 20 + 1).alias("want")).join(first, "want").where("url is not null").select("page_id", "want", "url")
+
+
+@query(f"select doc_id, any_value(filename) as filename, count(*) as n_kept, sum(length(content))::bigint as n_chars from (select *, sum(length(content)) over (partition by doc_id order by idx) as run, row_number() over (partition by doc_id order by idx) as rn from {PAGES}) where rn = 1 or run <= 1200 group by doc_id")
+def source_budget(spark, sf_dir):
+    kept = R.prefix_budget(P.page_lines(table(spark, sf_dir, "documents")), ["doc_id"], [F.col("idx")], F.char_length("content"), 1200)
+    return kept.groupBy("doc_id").agg(F.any_value("filename").alias("filename"), F.count(F.lit(1)).alias("n_kept"), F.sum(F.char_length("content")).alias("n_chars"))
+
+
+@query("""select p_brand, p_partkey, rank::int as rank, ((rank - 1) // 3)::int as batch from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rank from part) where rank <= 7""")
+def theme_top_batches(spark, sf_dir):
+    best = R.top_k(table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").alias("score")), ["p_brand"], [F.col("p_partkey")], 7)
+    return best.select("p_brand", "p_partkey", "rank", F.floor((F.col("rank") - 1) / 3).cast("int").alias("batch"))
+
+
+@query(None)
+def seeded_sample(spark, sf_dir):
+    """Ten documents by a seeded hash: a sampling operator, the same rows in every run."""
+    return D.sample_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 10)
+
+
+@query("""select q.item_id as question_id, d.doc_id as title, string_agg(line, ' ' order by pos) as text from (select item_id, item_id * 3 as t1, item_id * 5 as t2 from benchmark) q join documents d on d.doc_id = q.t1 or d.doc_id = q.t2,
+  lateral (select unnest(string_split(d.text, chr(10))) as line, generate_subscripts(string_split(d.text, chr(10)), 1) as pos) group by all""")
+def supporting_paragraphs(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    facts = b.select(F.col("item_id").alias("question_id"), F.explode(F.array(F.col("item_id") * 3, F.col("item_id") * 5)).alias("title")).distinct()
+    sentences = table(spark, sf_dir, "documents").join(facts, F.col("doc_id") == F.col("title")).select("question_id", "title", F.posexplode(F.split("text", "\n")).alias("pos", "sentence"))
+    return D.supporting_paragraphs(sentences, facts)
