@@ -1 +1,145 @@
-"""Queries."""
+"""Queries over training samples made from conversations, and over prompts and tools."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import prompts as PR
+from ..operators import samples as S
+from ..sources.sinks import session_counts
+from .base import query, table
+
+PREFIX = "You are careful. "
+
+
+@query("""select conv_id, turn, least(n, 20)::int as n_messages, least(n, 20)::int - 1 as n_masked, role_last, chars::bigint as chars from (select conv_id, turn, role, role as role_last, count(*) over w as n, sum(length(text)) over w as chars from conversations
+  window w as (partition by conv_id order by turn rows between 19 preceding and current row)) where role = 'assistant'""")
+def training_prefix_turns(spark, sf_dir):
+    s = S.prefix_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return s.select("conv_id", "turn", F.size("messages").alias("n_messages"), F.size(F.filter("messages", lambda m: m["loss_masking"])).alias("n_masked"), F.element_at("messages", -1)["role"].alias("role_last"), F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.char_length(m["content"])).alias("chars"))
+
+
+def conversations(spark, sf_dir):
+    """One row per conversation with its messages."""
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"), (m["role"] != "assistant").alias("loss_masking"))).alias("messages"))
+
+
+def flat(df, col="messages"):
+    return df.select("conv_id", F.posexplode(col).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
+
+
+@query("select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as pos, role, case when role = 'system' then '[SYSTEM_PROMPT_REDACTED]' else text end as content from conversations")
+def redact_system_turns(spark, sf_dir):
+    return flat(conversations(spark, sf_dir).withColumn("messages", S.redact_system(F.col("messages"))))
+
+
+@query(f"select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as pos, role, case when role = 'system' then '{PREFIX}Answer.' else text end as content from conversations")
+def rewrite_system_turns(spark, sf_dir):
+    return flat(conversations(spark, sf_dir).withColumn("messages", S.rewrite_system(F.col("messages"), F.lit(PREFIX), F.lit("Answer."))))
+
+
+@query(f"""with c as (select *, row_number() over (partition by conv_id order by turn) as rn, first_value(role) over (partition by conv_id order by turn) as r1 from conversations)
+  select conv_id, (case when r1 = 'system' then rn - 1 else rn end)::int as pos, role, case when r1 = 'system' and rn = 1 then '{PREFIX}' || text else text end as content from c union all select distinct conv_id, 0, 'system', rtrim('{PREFIX}') from c where r1 <> 'system'""")
+def insert_system_turn(spark, sf_dir):
+    return flat(conversations(spark, sf_dir).withColumn("messages", S.insert_system(F.col("messages"), F.lit(PREFIX))))
+
+
+def sample_events(spark, sf_dir):
+    """Turns as events: users give document steps, assistants reasoning turns, the system a tool's extraction."""
+    kind = F.when(F.col("role") == "user", "doc").when(F.col("role") == "assistant", "step").otherwise("tool")
+    message = F.array(F.struct("role", F.col("text").alias("content"), (F.col("role") != "assistant").alias("loss_masking")))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), kind.alias("kind"), F.when(F.col("turn") % 2 == 0, "ReadFullText").otherwise("Custom").alias("tool_name"), message.alias("messages"))
+
+
+@query("""select conv_id as session, count(case when role = 'assistant' then 1 end)::int as n_turns, arg_max(text, turn) filter (where role = 'user') as doc_content, coalesce(string_agg(distinct case when role = 'system' then case when turn % 2 = 0 then 'readfulltext' else 'custom' end end, ','), '') as tools from conversations group by conv_id""")
+def training_sample_fold(spark, sf_dir):
+    s = S.fold_events(sample_events(spark, sf_dir))
+    return s.select("session", F.size("reasoning").alias("n_turns"), F.try_element_at("doc_step", F.lit(1))["content"].alias("doc_content"), F.coalesce(F.array_join(F.array_sort(F.map_keys("extra")), ","), F.lit("")).alias("tools"))
+
+
+def _v1(spark, sf_dir):
+    base = conversations(spark, sf_dir).select(F.col("conv_id").alias("session"), F.array("messages").alias("reasoning"), F.filter("messages", lambda m: m["role"] == "user").alias("doc_step"))
+    return base
+
+
+@query(f"""select conv_id as session, count(*)::int as n_messages, count(case when role = 'system' then 1 end)::int as n_rewritten, case when count(case when role = 'user' then 1 end) = 0 then 0 else count(case when role = 'user' then 1 end) + 1 end::int as n_doc_step, '{PREFIX}Do well.' as prompt from conversations group by conv_id""")
+def training_v1(spark, sf_dir):
+    v = S.to_v1(_v1(spark, sf_dir), PREFIX, F.lit("Do well."))
+    n = F.size(F.filter(F.flatten("reasoning"), lambda m: (m["role"] == "system") & m["content"].startswith(PREFIX)))
+    return v.select("session", F.size(F.flatten("reasoning")).alias("n_messages"), n.alias("n_rewritten"), F.size("doc_step").alias("n_doc_step"), F.col("train_system_prompt").alias("prompt"))
+
+
+@query(f"""select conv_id as session, 'v2' as version, left(sha256('{PREFIX}Do well.'), 16) as runtime_prompt_hash, count(*)::bigint as n_steps, sum(length(text))::bigint as total_tokens from conversations group by conv_id""")
+def training_v2(spark, sf_dir):
+    traces = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session")).agg(F.count(F.lit(1)).alias("n_steps"), F.sum(F.char_length("text")).alias("total_tokens"), F.collect_set("role").alias("actions_used"))
+    v = S.to_v2(_v1(spark, sf_dir), PREFIX, F.lit("Do well."), traces)
+    return v.select("session", "version", "runtime_prompt_hash", "trace_summary.n_steps", "trace_summary.total_tokens")
+
+
+@query("select conv_id as session_id, count(*) as samples from conversations where role = 'assistant' group by conv_id")
+def session_sample_counts(spark, sf_dir):
+    return session_counts(table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumnRenamed("conv_id", "session_id"))
+
+
+SAMPLE = "case doc_id % 4 when 0 then '{\"user_query\": \"q\", \"filenames\": [], \"reasoning\": [], \"doc_step\": [], \"vl_analysis\": [[1]], \"empty\": [], \"note\": \"x\"}' when 1 then '{\"user_query\": \"q\", \"filenames\": 3}' when 2 then 'nope{' else '{\"filenames\": [], \"reasoning\": [], \"doc_step\": [], \"b\": [2], \"a\": [1]}' end"
+
+
+@query("select doc_id, case doc_id % 4 when 0 then 'vl_analysis' when 1 then '' when 2 then '' else 'b,a' end as custom, case doc_id % 4 when 0 then '' when 1 then 'filenames is no list;missing reasoning;missing doc_step' when 2 then 'no JSON' else 'missing user_query' end as errors from documents")
+def sample_fields(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(SAMPLE).alias("j"))
+    return d.select("doc_id", F.coalesce(F.array_join(S.custom_keys(F.col("j")), ","), F.lit("")).alias("custom"), F.array_join(S.check_sample(F.col("j")), ";").alias("errors"))
+
+
+OUTPUT = "case doc_id % 6 when 0 then 'plain' when 1 then '{\"output_type\": \"image\", \"text\": \"t\", \"images\": [{\"path\": \"p\"}, 3, {\"url\": \"u\"}]}' when 2 then '{\"image_paths\": \"a.png\"}' when 3 then '{\"image_paths\": [\"a\", \"b\"]}' when 4 then '{\"output_type\": \"mixed\"}' else '[1]' end"
+
+
+@query(f"select doc_id, case doc_id % 6 when 1 then 't' else {OUTPUT} end as body, case doc_id % 6 when 1 then 2 when 2 then 1 when 3 then 2 else 0 end as n_images, doc_id % 6 in (1, 2, 3) as has_images from documents")
+def tool_outputs(spark, sf_dir):
+    o = table(spark, sf_dir, "documents").select("doc_id", S.tool_output(F.expr(OUTPUT)).alias("o"))
+    return o.select("doc_id", F.col("o.text").alias("body"), "o.n_images", "o.has_images")
+
+
+@query("select page_id, n::int as pos, case when n = 0 then 'text' else 'image_url' end as kind, case when n = 0 then left(html, 20) else url || '#' || n end as value from pages, range(0, 3) t(n) where n <= page_id % 3")
+def multimodal_parts(spark, sf_dir):
+    urls = F.when(F.col("page_id") % 3 > 0, F.transform(F.sequence(F.lit(1), (F.col("page_id") % 3).cast("int")), lambda i: F.concat(F.col("url"), F.lit("#"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(S.multimodal(F.left("html", F.lit(20)), urls)).alias("pos", "part"))
+    return p.select("page_id", "pos", F.col("part.type").alias("kind"), F.coalesce("part.text", "part.image_url").alias("value"))
+
+
+BLOCKS = [("ROLE", "You answer.", 10, True), ("RULES", "1. Be brief.\n2. Cite.", 50, False), ("STYLE", "Plain.", 30, False), ("TOOLS_SEARCH", '{"name": "search"}', 60, False)]
+PATCHES = [("STYLE", "replace", "Fancy."), ("RULES", "append", "3. Be kind."), ("ROLE", "replace", "Hacked."), ("TOOLS_SEARCH", "replace", "{}"), ("NONE", "append", "x")]
+
+
+@query("""select * from (values ('ROLE', 10, 'You answer.'), ('RULES', 50, '1. Be brief.' || chr(10) || '2. Cite.' || chr(10) || '3. Be kind.'), ('STYLE', 30, 'Fancy.'), ('TOOLS_SEARCH', 60, '{"name": "search"}')) t(block_id, ord, content)""")
+def prompt_patches(spark, sf_dir):
+    blocks, patches = PR.blocks(spark, BLOCKS), PR.patches(spark, PATCHES)
+    return PR.apply(blocks, PR.valid(blocks, patches)).select("block_id", F.col("ord"), "content")
+
+
+@query("""select * from (values ('NONE', 'unknown block'), ('ROLE', 'sealed block'), ('TOOLS_SEARCH', 'only append is allowed'), ('RULES', ''), ('STYLE', '')) t(block_id, errors)""")
+def prompt_patch_errors(spark, sf_dir):
+    return PR.check(PR.blocks(spark, BLOCKS), PR.patches(spark, PATCHES)).select("block_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query("""select body, left(sha256(body), 16) as prompt_hash from (select 'You answer.' || chr(10) || chr(10) || 'Plain.' || chr(10) || chr(10) || '1. Be brief.' || chr(10) || '2. Cite.' || chr(10) || chr(10) || '{"name": "search"}' as body)""")
+def prompt_blocks_compile(spark, sf_dir):
+    return PR.compile_prompt(PR.blocks(spark, BLOCKS))
+
+
+@query("""select source, string_agg(n || '. ' || lang, chr(10) order by n) as rules from (select source, lang, 2 + row_number() over (partition by source order by lang) as n from (select distinct source, lang from documents)) group by source""")
+def rule_renumber(spark, sf_dir):
+    rules = table(spark, sf_dir, "documents").select("source", "lang").distinct().select("source", F.when(F.col("lang") == "en", F.concat(F.lit("- "), "lang")).when(F.col("lang") == "de", F.concat(F.lit("9. "), "lang")).otherwise(F.col("lang")).alias("rule"), F.col("lang").alias("pos"))
+    return PR.renumber(rules, "source", "pos", "rule", "1. Be brief.\n2. Cite.")
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'owner' else 'owner,version' end as missing from documents")
+def missing_meta(spark, sf_dir):
+    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("version"), F.lit("date"))).otherwise(F.array(F.lit("date")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(x) for x in ("version", "owner", "date")]), given)), ",").alias("missing"))
+
+
+@query("select * from (values ('a', 'custom', true), ('b', 'builtin', false), ('c', 'custom', false)) t(name, kind, replaced)")
+def tool_registry_table(spark, sf_dir):
+    rows = spark.createDataFrame([("a", "builtin", 1), ("b", "builtin", 2), ("a", "custom", 3), ("c", "custom", 4)], "name string, kind string, ord int")
+    return PR.effective_tools(rows)
