@@ -50,13 +50,13 @@ def fuzzy_page_match(spark, sf_dir):
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x)) * list_sum(list_transform(b.embedding, lambda x: x::double * x)))"
 
 
-@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
+@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, round({_COS}, 9) as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
   from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 8""")
 def select_top_k_cosine(spark, sf_dir):
     return _nearest(spark, sf_dir, 8, 0.0)
 
 
-@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
+@query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, round({_COS}, 9) as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
   from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 20 and score > 0.2""")
 def select_min_score(spark, sf_dir):
     return _nearest(spark, sf_dir, 20, 0.2)

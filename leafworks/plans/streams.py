@@ -1 +1,60 @@
-"""Queries."""
+"""Queries over streams; windows have batch twins in SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import retrieval as R
+from ..streaming import sessions as S
+from .base import query, table
+
+
+def events(spark, sf_dir):
+    """The events table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    # A stream reads a folder; events may be one file beside other tables.
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/events.parquet") else S.read_stream(spark, f"{sf_dir}/events.parquet", schema)
+
+
+def _is_file(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+def _name() -> str:
+    return f"s_{uuid.uuid4().hex}"
+
+
+@query("select user_id, count(*) as samples from events group by user_id")
+def streaming_session_counts(spark, sf_dir):
+    return S.run_to_memory(S.running_counts(events(spark, sf_dir)), _name())
+
+
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def streaming_daily_windows(spark, sf_dir):
+    out = S.run_to_memory(S.windowed(events(spark, sf_dir)), _name())
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as g from (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours then 0 else 1 end as new from events)) group by user_id, g")
+def streaming_user_sessions(spark, sf_dir):
+    out = S.run_to_memory(S.sessionized(events(spark, sf_dir)), _name())
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(None)
+def retrieval_rounds(spark, sf_dir):
+    """Iterative retrieval: each round adds the next best vectors to a probe's set until five are there."""
+    e = table(spark, sf_dir, "embeddings")
+    probes = e.where("vec_id < 5").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
+    scored = e.join(F.broadcast(probes), F.col("vec_id") != F.col("probe")).select("probe", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    ranked = R.top_k(scored, ["probe"], [F.col("vec_id")], 10)
+    start = ranked.where("rank <= 2").select("probe", "vec_id", F.lit(0).alias("round"))
+
+    def step(state, i):
+        more = ranked.where((F.col("rank") > 2 * (i + 1)) & (F.col("rank") <= 2 * (i + 2))).select("probe", "vec_id", F.lit(i + 1).alias("round"))
+        return state.unionByName(more)
+
+    return S.rounds(start, step, lambda s: s.groupBy("probe").count().where("count < 5").isEmpty())
