@@ -48,7 +48,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Size of the bitmap filter.
+#: Size of the bitmap filters.
 FILTER_BITS = 1 << 24
 
 
@@ -57,6 +57,11 @@ def slot(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
 
 
+def bitmap_rows(slots: DataFrame) -> DataFrame:
+    """(w, b): the bitmap of the numbers in the one column of ``slots``, 64 to a row; ``FILTER_BITS / 64`` rows at most."""
+    return slots.toDF("x").selectExpr("shiftright(x, 6) w", "shiftleft(1L, int(x % 64)) b").groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
 def bitmap(slots: DataFrame) -> np.ndarray:
     """The numbers in the one column of ``slots``, under ``FILTER_BITS``, as packed bits.
 
@@ -64,13 +69,25 @@ def bitmap(slots: DataFrame) -> np.ndarray:
     crowded it lets others pass, and it never drops one, so an exact join
     must follow.
     """
-    words = slots.toDF("x").selectExpr("shiftright(x, 6) w", "shiftleft(1L, int(x % 64)) b")
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    got = bitmap_rows(slots).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
+def split_by(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ``ids``, rows whose id is not): a native filter by a broadcast bitmap of bounded size.
+
+    What may be there is a small part as long as the bitmap isn't crowded,
+    and only that part has to shuffle for an exact join. Null ids aren't there.
+    """
+    words = cut(bitmap_rows(ids.select(slot(F.col(ids.columns[0])))))
+    names = df.columns
+    marked = df.withColumn("slot_", slot(F.col(f"`{id_col}`"))).join(F.broadcast(words.toDF("word_", "bits_")), F.expr("shiftright(slot_, 6) = word_"), "left")
+    marked = marked.withColumn("there_", F.coalesce(F.expr("getbit(bits_, int(slot_ % 64))"), F.lit(0)) == 1)
+    return tuple(marked.where(F.col("there_") == x).select(*[F.col(f"`{c}`") for c in names]) for x in (True, False))
+
+
 def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 

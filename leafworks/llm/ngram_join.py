@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import bitmap, cut, has, slot, small_batches, table
+from .common import cut, small_batches, split_by, table
 from .grouping import group, shared_entries
 
 #: Words in an n-gram, and the threshold as a fraction.
@@ -131,16 +131,13 @@ def first_columns(docs: DataFrame, last: np.ndarray, n: int = N, num: int = NUM,
 def fetch_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, set): the sorted n-gram hashes, packed, of about the documents in ``ids``."""
     small_batches(docs.sparkSession)
-    bits = bitmap(ids.select(slot(F.col("id"))))
+    wanted, _ = split_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.filter(pa.array(has(bits, batch.column(2).to_numpy())))
-            sets = [s.tobytes() for s in K.text_sets(wanted.column(1), n)] if len(wanted) else []
-            yield pa.RecordBatch.from_arrays([wanted.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in K.text_sets(batch.column(1), n)], pa.binary())], ["id", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("slot", slot(F.col("doc_id")))
-    return rows.mapInArrow(run, "id long, set binary")
+    return wanted.mapInArrow(run, "id long, set binary")
 
 
 def jaccard_links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -195,8 +192,9 @@ def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFra
 
 def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component."""
-    gone = link(docs.select("doc_id", "text"), n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(link(docs.select("doc_id", "text"), n, num, den).where("component_id <> doc_id").select("doc_id").distinct())
+    some, rest = split_by(docs, "doc_id", gone)
+    return rest.unionByName(some.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
