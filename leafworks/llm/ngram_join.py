@@ -164,7 +164,8 @@ def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFra
     described = cut(describe(docs, n))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "fp1", "fp2")
     same = ["n_shingles", "fp1", "fp2"]
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    # Cut, so that the join reads plain shuffles and a row with very many copies can be split.
+    reps = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
     of_doc = cut(rows.where("n_shingles > 0 and doc_id is not null").join(reps, same).select("doc_id", "rep").distinct())
 
     entries = shared_entries(first_columns(docs, frequent(described), n, num, den))
