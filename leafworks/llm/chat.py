@@ -107,11 +107,11 @@ def read_learned(windows: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
+    from .common import table, written
 
     extra = spark.sql("select * from values (-7L, 0L, 'user', r'\\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\\### Assistant: </turn> ok') as t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    windows = format_windows(turns)
+    windows = written(format_windows(turns))
     # A window's parts are put together before the conversation's.
     parse = read_windows(windows).where("not repeated").groupBy("conv_id", "window").agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("said"))
