@@ -254,3 +254,21 @@ def html_text(c: Column | str) -> Column:
     bare = F.regexp_replace(F.regexp_replace(col(c), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
     plain = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")), bare)
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def score_list(c: Column | str) -> Column:
+    """The scores of a scorer's reply: ``{"outputs": [[...]]}``, possibly one list deeper; null for anything else or none."""
+    outputs = F.get_json_object(col(c), "$.outputs")
+    flat = F.from_json(outputs, "array<array<struct<score:string>>>")
+    deep = F.flatten(F.from_json(outputs, "array<array<array<struct<score:string>>>>"))
+    nested = F.regexp_replace(outputs, r"\s", "").startswith("[[[")
+    first = F.when(nested, F.try_element_at(deep, F.lit(1))).otherwise(F.try_element_at(flat, F.lit(1)))
+    return F.when(F.size(first) > 0, F.transform(first, lambda x: x["score"]))
+
+
+def extraction_text(c: Column | str) -> Column:
+    """A reader's reply as text: its rationale, evidence and summary if it is JSON, else itself; thoughts and fences gone."""
+    bare = strip_wrapper(c)
+    parts = [F.concat(F.lit(f"{n.capitalize()}: "), F.get_json_object(bare, f"$.{n}")) for n in ("rationale", "evidence", "summary")]
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(bare)).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object, F.concat_ws("\n", *parts)).otherwise(bare)

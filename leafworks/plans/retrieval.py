@@ -160,3 +160,33 @@ def supporting_paragraphs(spark, sf_dir):
     facts = b.select(F.col("item_id").alias("question_id"), F.explode(F.array(F.col("item_id") * 3, F.col("item_id") * 5)).alias("title")).distinct()
     sentences = table(spark, sf_dir, "documents").join(facts, F.col("doc_id") == F.col("title")).select("question_id", "title", F.posexplode(F.split("text", "\n")).alias("pos", "sentence"))
     return D.supporting_paragraphs(sentences, facts)
+
+
+@query("select page_id % 9 as query_no, page_id, rank::int as rank from (select page_id, row_number() over (partition by page_id % 9 order by page_id) as rank from pages) where rank <= 10")
+def web_count_cut(spark, sf_dir):
+    """Ten passages a query are shown; what the cache holds isn't cut."""
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 9).alias("query_no"), "page_id", F.lit(0.0).alias("score"))
+    return R.top_k(p, ["query_no"], [F.col("page_id")], 10).select("query_no", "page_id", "rank")
+
+
+@query("select 'doc' as corpus, doc_id as id, source as title, null::varchar as url from documents union all select 'web', page_id, null, url from pages union all select 'benchmark', item_id, null, null from benchmark")
+def bundle_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit("doc").alias("corpus"), F.col("doc_id").alias("id"), F.col("source").alias("title"))
+    web = table(spark, sf_dir, "pages").select(F.lit("web").alias("corpus"), F.col("page_id").alias("id"), "url")
+    items = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("corpus"), F.col("item_id").alias("id"))
+    return R.union_hits(R.union_hits(docs, web), items)
+
+
+@query("select page_id, n::int as page, case n when 1 then 'A' else '' end as caption, case n when 1 then '' else 'about ' || url end as description, case n when 1 then 'chart' else 'figure' end as category from pages, (values (1), (3)) v(n)")
+def visual_elements(spark, sf_dir):
+    json = F.concat(F.lit('{"outputs": [{"images": {"3": [{"description": "about '), "url", F.lit('"}, {"caption": ""}], "1": {"results": [{"caption": "A", "Category": "Chart"}]}, "x": []}}]}'))
+    v = D.visual_elements(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), json.alias("json")))
+    return v.select(F.col("path").cast("long").alias("page_id"), "page", "caption", "description", "category")
+
+
+@query("select page_id as id, case when page_id % 2 = 0 then 1 else n end::int as idx, case when page_id % 2 = 0 then 's' else 'Unknown' end as site_name, case when page_id % 2 = 0 then url else '' end as url from pages, (values (1), (2)) v(n) where page_id % 2 = 1 or n = 1")
+def web_fallback_passages(spark, sf_dir):
+    one = F.concat(F.lit('{"result": {"results": [{"site_name": "s", "snippet": "a", "url": "'), "url", F.lit('"}]}}'))
+    two = F.lit('{"result": [{"results": [{"snippet": "b"}]}, {"results": [{"snippet": "c"}]}]}')
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, one).otherwise(two).alias("json"))
+    return D.fallback_passages(p).select("id", "idx", "site_name", "url")

@@ -143,3 +143,34 @@ def missing_meta(spark, sf_dir):
 def tool_registry_table(spark, sf_dir):
     rows = spark.createDataFrame([("a", "builtin", 1), ("b", "builtin", 2), ("a", "custom", 3), ("c", "custom", 4)], "name string, kind string, ord int")
     return PR.effective_tools(rows)
+
+
+@query("select block_id, ord, sealed, length(content)::int as size from (values ('ROLE', 'You answer.', 10, true), ('RULES', '1. Be brief.' || chr(10) || '2. Cite.', 50, false), ('STYLE', 'Plain.', 30, false), ('TOOLS_SEARCH', '{\"name\": \"search\"}', 60, false)) t(block_id, content, ord, sealed)")
+def block_info(spark, sf_dir):
+    return PR.blocks(spark, BLOCKS).select("block_id", "ord", "sealed", F.char_length("content").alias("size"))
+
+
+@query("select conv_id, count(*)::int as n_messages, sum(length(text))::bigint as chars from conversations group by conv_id")
+def sample_round_trip(spark, sf_dir):
+    """Messages to JSON text and back, with nothing lost."""
+    c = conversations(spark, sf_dir).select("conv_id", F.to_json("messages").alias("j")).select("conv_id", F.from_json("j", f"array<{S.MESSAGE}>").alias("m"))
+    return c.select("conv_id", F.size("m").alias("n_messages"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x["content"])).alias("chars"))
+
+
+@query("select d.doc_id as query_id, s.strategy, case s.strategy when 'S1' then b.n else least(b.n, 3) end::int as n_chunks, case s.strategy when 'S1' then 0 else 2 end as n_sub_queries from documents d join (select source, count(*) as n from documents group by source) b using (source), (values ('S1'), ('S4')) s(strategy)")
+def viz_records(spark, sf_dir):
+    """What two strategies record of a query: all documents and no sub-query, or a few chunks and two sub-queries. Chunks are counted per bundle, never copied per query."""
+    d = table(spark, sf_dir, "documents")
+    sizes = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    r = d.select(F.col("doc_id").alias("query_id"), "source", F.explode(F.array(F.lit("S1"), F.lit("S4"))).alias("strategy")).join(sizes, "source")
+    direct = F.col("strategy") == "S1"
+    return r.select("query_id", "strategy", F.when(direct, F.col("n")).otherwise(F.least("n", F.lit(3))).cast("int").alias("n_chunks"), F.when(direct, 0).otherwise(2).alias("n_sub_queries"))
+
+
+@query("select conv_id as request_id, arg_min(text, turn) as query, count(*)::int as n_lines from conversations where role = 'user' group by conv_id")
+def batch_requests(spark, sf_dir):
+    """Requests as JSON lines, blank ones skipped, parsed with their schema."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    lines = c.select(F.to_json(F.struct(F.col("conv_id").alias("doc"), F.col("text").alias("query"), "turn")).alias("line")).unionByName(spark.createDataFrame([("",), ("  ",)], "line string"))
+    r = lines.where(F.trim("line") != "").select(F.from_json("line", "doc long, query string, turn long").alias("r")).select("r.*")
+    return r.groupBy(F.col("doc").alias("request_id")).agg(F.min_by("query", "turn").alias("query"), F.count(F.lit(1)).cast("int").alias("n_lines"))

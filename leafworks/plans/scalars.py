@@ -279,3 +279,19 @@ def data_uris(spark, sf_dir):
 def language_codes(spark, sf_dir):
     r = F.expr("case when conv_id % 3 = 0 then 'ko' when conv_id % 3 = 1 then 'en' else 'korean' end")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(r.isin("ko", "korean"), "KOREAN").otherwise("ENGLISH").alias("language"))
+
+
+SCORES = "case doc_id % 5 when 0 then concat('{\"outputs\": [[{\"score\": 0.', cast(doc_id % 9 + 1 as string), '}, {\"score\": 2}]]}') when 1 then '{\"outputs\": [[[{\"score\": 1.5}]]]}' when 2 then '{\"outputs\": []}' when 3 then '{\"x\": 1}' else 'bad' end"
+
+
+@query("select doc_id, case doc_id % 5 when 0 then concat('0.', cast(doc_id % 9 + 1 as string), '|2') when 1 then '1.5' end as scores from documents")
+def score_responses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.score_list(F.expr(SCORES)), "|").alias("scores"))
+
+
+EXTRACT = "case doc_id % 3 when 0 then concat('```json\n{\"rationale\": \"r\", \"evidence\": \"', source, '\"}\n```') when 1 then concat('<think>x</think> plain ', source) else '{\"summary\": \"s\"}' end"
+
+
+@query("select doc_id, case doc_id % 3 when 0 then 'Rationale: r' || chr(10) || 'Evidence: ' || source when 1 then 'plain ' || source else 'Summary: s' end as body from documents")
+def extraction_replies(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.extraction_text(F.expr(EXTRACT)).alias("body"))
