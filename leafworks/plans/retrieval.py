@@ -87,26 +87,24 @@ def dedup_keep_first(spark, sf_dir):
     return R.keep_first(p, ["filename", "page"], [F.col("old")], within=["doc_id"]).select("doc_id", "idx", "page", "content")
 
 
-@query(f"""select kind, name, (row_number() over (order by kind, ord1, ord2))::int as idx from (select 0 as kind, 'doc_' || doc_id as name, doc_id as ord1, 0 as ord2 from documents where doc_id % 10 = 0
-  union all select 1, url, page_id, 1 from pages where page_id % 5 = 0)""")
+@query(f"""select request, kind, name, (row_number() over (partition by request order by kind, ord))::int as idx from (select doc_id % 50 as request, 0 as kind, 'doc_' || doc_id as name, doc_id as ord from documents
+  union all select page_id % 50, 1, url, page_id from pages)""")
 def union_web_doc_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.lit(0).alias("kind"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.col("doc_id").alias("ord"))
-    web = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select(F.lit(1).alias("kind"), "url", F.col("page_id").alias("ord"))
-    both = R.union_hits(docs, web).select("kind", F.coalesce("filename", "url").alias("name"), "ord")
-    return both.select("kind", "name", F.row_number().over(Window.orderBy("kind", "ord")).alias("idx"))
+    """Document hits, then web hits, of each request, numbered on."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("request"), F.lit(0).alias("kind"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.col("doc_id").alias("ord"))
+    web = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("request"), F.lit(1).alias("kind"), "url", F.col("page_id").alias("ord"))
+    both = R.union_hits(docs, web).select("request", "kind", F.coalesce("filename", "url").alias("name"), "ord")
+    return both.select("request", "kind", "name", F.row_number().over(Window.partitionBy("request").orderBy("kind", "ord")).alias("idx"))
 
 
-_CALLS = "(select page_id, page_id % 7 as call, url from pages)"
-
-
-@query(f"select page_id, call::int as call, row_number() over (order by call, page_id)::int as idx from {_CALLS}")
+@query("select page_id, page_id % 50 as request, page_id % 7 as call, row_number() over (partition by page_id % 50 order by page_id % 7, page_id)::int as idx from pages")
 def web_index_offset(spark, sf_dir):
-    """Hits of later calls number on from those of earlier ones: call offsets are prefix sums of a few counts."""
-    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).cast("int").alias("call"))
-    sizes = p.groupBy("call").agg(F.count(F.lit(1)).alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("call").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("call").orderBy("page_id"))
-    return p.withColumn("place", place).join(sizes.select("call", offset.alias("offset")), "call").select("page_id", "call", (F.col("place") + F.col("offset")).cast("int").alias("idx"))
+    """Hits of a request's later calls number on from those of earlier ones: offsets are prefix sums of the calls' counts."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 50).alias("request"), (F.col("page_id") % 7).alias("call"))
+    sizes = p.groupBy("request", "call").agg(F.count(F.lit(1)).alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy("request").orderBy("call").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("request", "call").orderBy("page_id"))
+    return p.withColumn("place", place).join(sizes.select("request", "call", offset.alias("offset")), ["request", "call"]).select("page_id", "request", "call", (F.col("place") + F.col("offset")).cast("int").alias("idx"))
 
 
 _CACHE = "(select case when page_id % 10 = 0 then '' else split_part(url, '/', 3) end as host, case when page_id % 11 = 0 then '' else left(html, 40) end as snippet, page_id from pages)"
