@@ -94,9 +94,22 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def frequent(described: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The n-grams met most often by the tasks' reports, ascending by hash; ``most`` at most."""
-    top = described.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "id").limit(most)
-    return np.sort(top.select("id").toArrow()["id"].to_numpy().astype(np.int64).view(K.U))
+    """The n-grams met most often by the tasks' reports, ascending by hash; ``most`` at most.
+
+    All that were met as often as a level or more, the lowest level (an
+    eighth of a power of two) that leaves no more than ``most``: a small
+    histogram decides, and no task sorts them all.
+    """
+    met = cut(described.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).withColumn("level", F.floor(F.log2("n") * 8)))
+    least, held = None, 0
+    for r in met.groupBy("level").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("level")).collect():
+        held += r["c"]
+        if held > most:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, K.U)
+    return np.sort(met.where(F.col("level") >= least).select("id").toArrow()["id"].to_numpy().astype(np.int64).view(K.U))
 
 
 def first_columns(docs: DataFrame, last: np.ndarray, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
