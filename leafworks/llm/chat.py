@@ -129,15 +129,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
 
 
-#: What the read-back must give, straight from the table.
-ORACLE = r"""
+#: The query in SQL: digests straight from the table, sizes from the windows' definition.
+ORACLE = rf"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
-  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as seq, cast(ceil(length(text) / {CHARS}.0) as bigint) as tokens from t),
+b as (select *, floor(coalesce(sum(tokens) over (partition by conv_id order by seq rows between unbounded preceding and 1 preceding), 0) / {BUDGET}) as span from o),
+w as (select *, dense_rank() over (partition by conv_id order by span) - 1 as win,
+  {len(OPEN) + 2 + len(CLOSE)} + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g')) as size from b),
+l as (select *, row_number() over (partition by conv_id, win order by seq desc) as last, max(win) over (partition by conv_id) as top, min(case when role = 'system' then seq end) over (partition by conv_id) as sys from w)
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by seq)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
-  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256
-from t group by conv_id
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by seq), '')) as loss_sha256,
+  (sum(size) + sum(case when last <= {HISTORY} and win < top then size else 0 end)
+    + sum(case when seq = sys then size * (top - win - case when last <= {HISTORY} and win < top then 1 else 0 end) else 0 end))::bigint as formatted_chars,
+  max(top)::bigint + 1 as n_windows
+from l group by conv_id
 """

@@ -213,3 +213,17 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The query in SQL, over all pairs that share an n-gram; for small tables.
+ORACLE = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + {N - 1}], ' ') as g from d, lateral (select unnest(case when len(w) >= {N} then range(1, len(w) - {N - 2}) when len(w) > 0 then [1] else [] end) as i)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where {DEN} * c >= {NUM} * (a.n + b.n - c)),
+both_ways as (select x, y from e union all select y, x from e),
+r as (select doc_id, doc_id as c from d union select y, c from r join both_ways on x = r.doc_id),
+m as (select doc_id, min(c) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from d left join n using (doc_id) join m using (doc_id)
+"""

@@ -17,4 +17,8 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others hash, learn, merge bytes or draw; they are tested by brute force.
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": ngram_join.ORACLE,
+    "op7_chat_windows": chat.ORACLE,
+}
