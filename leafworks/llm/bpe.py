@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 #: Characters of a text that are encoded at once.
 PIECE = 1 << 17
@@ -79,7 +79,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
             ids = pa.array([encode_text(enc, t or "").tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, ids_col])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")).mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.BinaryType())]))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")).mapInArrow(released(run), T.StructType([*fields, T.StructField(ids_col, T.BinaryType())]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -95,7 +95,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
             out = pa.array([enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*keep, bytes_col])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, T.StructType([*fields, T.StructField(bytes_col, T.BinaryType())]))
+    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(released(run), T.StructType([*fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def n_ids(ids: Column) -> Column:

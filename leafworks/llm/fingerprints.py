@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import cut, small_batches, table, written
+from .common import cut, released, small_batches, table, written
 from .grouping import group, shared_entries
 from .ngram_join import jaccard_links
 
@@ -142,13 +142,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = written(ordered.mapInArrow(_neighbours, _ROW))
+    rows = written(ordered.mapInArrow(released(_neighbours), _ROW))
     # First and last documents of the ranges, two rows a task, in order: each last one is followed by a first one.
     edges = rows.where("kind > 0").select("kind", "doc_id", "text")
     order = Window.orderBy("doc_id", F.desc("kind"))
     after = F.struct("doc_id", "text").alias("x")
     lasts = edges.select("kind", "doc_id", "text", F.coalesce(F.lead(after).over(order), F.first(after).over(order)).alias("next")).where("kind = 1")
-    lasts = lasts.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), F.col("next.text").alias("next_text")).mapInArrow(_across, _ROW)
+    lasts = lasts.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), F.col("next.text").alias("next_text")).mapInArrow(released(_across), _ROW)
     alone = docs.where("doc_id is null").mapInArrow(lambda batches: (_rows(3, _read(b), []) for b in batches), _ROW)
     return rows.where("kind = 0").unionByName(lasts).unionByName(alone).drop("kind", "text")
 
@@ -212,7 +212,7 @@ def near_copies(docs: DataFrame, described: DataFrame) -> DataFrame:
     def rest(mixed: DataFrame) -> DataFrame:
         sigs = reps.select(F.col("rep").alias("id"), "sig").join(mixed.select("id").distinct(), "id", "left_semi")
         rows = mixed.join(sigs, "id").select("key", "band", "id", "size", "component", "sig")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs_in_keys, "a long, b long").distinct()
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(released(pairs_in_keys), "a long, b long").distinct()
 
     groups = group(entries, possible, lambda pairs: jaccard_links(docs, pairs, WORDS, NUM, DEN), rest=rest)
     of_doc = described.select("doc_id", *same).join(reps.select("rep", *same), same).join(groups.withColumnRenamed("id", "id_"), F.col("rep") == F.col("id_"), "left")

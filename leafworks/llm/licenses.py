@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 WORDS, BANDS, CONTAINS = 5, 32, 0.8
 
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, template string, n_shingles long, n_held long, containment double, first_word long, after_word long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, template string, n_shingles long, n_held long, containment double, first_word long, after_word long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import cut, small_batches, split_by, table
+from .common import cut, released, small_batches, split_by, table
 from .grouping import group, shared_entries
 
 #: Words in an n-gram, and the threshold as a fraction.
 N, NUM, DEN = 4, 85, 100
 
 #: Frequent n-grams put last: at most so many; a task reports those met so often in so many n-grams.
-FREQUENT, OFTEN, REPORT = 1 << 20, 3, 1 << 23
+FREQUENT, OFTEN, REPORT = 1 << 20, 3, 1 << 21
 
 
 def _ratio(num: int, x: Column | int, den: int):
@@ -90,7 +90,7 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names)
         yield from report(held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, id long, size long, fp1 long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "kind int, id long, size long, fp1 long, fp2 long")
 
 
 def frequent(described: DataFrame, most: int = FREQUENT) -> np.ndarray:
@@ -138,7 +138,7 @@ def first_columns(docs: DataFrame, last: np.ndarray, n: int = N, num: int = NUM,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc long, size int, rank int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "key long, doc long, size int, rank int")
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -150,7 +150,7 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in K.text_sets(batch.column(1), n)], pa.binary())], ["id", "set"])
 
-    return wanted.mapInArrow(run, "id long, set binary")
+    return wanted.mapInArrow(released(run), "id long, set binary")
 
 
 def jaccard_links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -169,7 +169,7 @@ def jaccard_links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int)
                 keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:

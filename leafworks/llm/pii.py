@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, PASSES, SURE = 4_000, 8, 0.8
@@ -313,7 +313,7 @@ def sample_texts(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[str]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([near_candidates(t or "") for t in batch.column(0).to_pylist()], pa.string())], ["near"])
 
-    near = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "near string")
+    near = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(released(run), "near string")
     return sorted(near.where("near <> ''").toArrow()["near"].to_pylist())
 
 
@@ -329,7 +329,7 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
             found = [find(t, field) if t else ([], []) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([show(b) for b, _ in found], span), pa.array([show(a) for _, a in found], span)], ["doc_id", "base", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base {kind}, spans {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), f"doc_id long, base {kind}, spans {kind}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 #: Bytes in an n-gram; log2 of buckets; log ratio a n-gram that keeps a document; trusted rows at most.
 GRAM, BITS, THRESHOLD, TRUSTED_ROWS = 3, 16, -0.25, 20_000
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = GRAM, bits: int = BITS, tru
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, trusted_rows).withColumn("trusted", F.lit(True))), "doc_id", "left")
-    counts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(count, "bucket long, raw long, good long")
+    counts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(released(count), "bucket long, raw long, good long")
     got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.ones(size), np.zeros(size)
     at = got["bucket"].to_numpy()
@@ -155,7 +155,7 @@ def assess(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, n
                 out = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("text_of_")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("text_of_")).mapInArrow(released(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 BITS, TRAIN_ROWS, FACTORS, EPOCHS, Z, MIN_DOCS = 20, 20_000, 4, 200, 4.0, 5
 
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
 
     # Texts are found by their ids; repeated ids give repeated rows.
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
-    got = marked.mapInArrow(terms, "doc_id long, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("terms", "ascending")])
+    got = marked.mapInArrow(released(terms), "doc_id long, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("terms", "ascending")])
     return train(got["toxic"].to_numpy(), [np.frombuffer(x, "<i4") for x in got["terms"].to_pylist()], bits)
 
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Machine, bits: int = BITS) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(model, batch.column(1), bits))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
