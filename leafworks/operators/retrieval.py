@@ -35,20 +35,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_key: str) -> DataFrame:
-    """(query, page key, score, n_words): distinct words of a query that a page holds, for pairs with one at least.
-
-    An equi-join on words: a pair costs what it shares. Words are those of
-    ``keywords``.
+def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_key: str, least: int = 2, share: float = 0.4) -> DataFrame:
+    """(query, n_words, page key, score): pages that hold enough distinct words of a query.
+
+    Enough is ``least`` and the share of the query's words. A page that
+    holds m of n words holds one of any n - m + 1 of them, so only a query's
+    words that fewest queries have are joined (an equi-join; common words
+    mostly stay out), and whole word sets are compared for pairs that meet.
+    Pages shuffle only once they match.
     """
-    asked = queries.select(query_key, F.array_distinct(keywords("text")).alias("w")).select(query_key, F.size("w").alias("n_words"), F.explode("w").alias("word"))
-    held = pages.select(*page_key, F.explode(F.array_distinct(keywords("content"))).alias("word"))
-    return held.join(asked, "word").groupBy(query_key, "n_words", *page_key).agg(F.count(F.lit(1)).alias("score"))
-
-
-def enough_words(hits: DataFrame, least: int = 2, share: float = 0.4) -> DataFrame:
-    """Pairs whose score reaches the least number and the share of the query's words."""
-    return hits.where(F.col("score") >= F.greatest(F.lit(float(least)), F.col("n_words") * F.lit(share)))
+    asked = queries.select(query_key, F.array_distinct(keywords("text")).alias("asked")).withColumn("n_words", F.size("asked"))
+    asked = asked.withColumn("need", F.greatest(F.lit(float(least)), F.col("n_words") * F.lit(share)))
+    words = asked.select("*", F.explode("asked").alias("word"))
+    words = words.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("word")))
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy("often", "word"))
+    first = words.withColumn("place", place).where(F.col("place") <= F.col("n_words") - F.ceil("need") + 1)
+    held = pages.select(*page_key, F.array_distinct(keywords("content")).alias("held")).select("*", F.explode("held").alias("word"))
+    met = held.join(first.select("word", query_key, "n_words", "need", "asked"), "word").withColumn("score", F.size(F.array_intersect("held", "asked")).cast("long"))
+    return met.where(F.col("score") >= F.col("need")).groupBy(query_key, "n_words", *page_key).agg(F.first("score").alias("score"))
 
 
 def contained_words(nodes: DataFrame, pages: DataFrame, on: str) -> DataFrame:

@@ -26,7 +26,7 @@ def hits(spark, sf_dir):
 def bundle_retrieval_report(spark, sf_dir):
     """Words of benchmark items against the pages of each bundle: best 8, one per page, summed up."""
     bundles = table(spark, sf_dir, "documents").select("doc_id", "source")
-    good = R.enough_words(hits(spark, sf_dir)).join(bundles, "doc_id")
+    good = hits(spark, sf_dir).join(bundles, "doc_id")
     best = R.top_k(good.withColumn("n_", F.col("score")), ["item_id", "source"], [F.col("doc_id"), F.col("idx")], 8)
     best = best.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).withColumn("page", F.col("idx"))
     once = R.keep_first(best, ["filename", "page"], [F.col("rank")], within=["item_id", "source"])
@@ -35,7 +35,7 @@ def bundle_retrieval_report(spark, sf_dir):
 
 @query(f"select item_id, doc_id, idx::int as idx, score, n_words::int as n_words from {_HITS} where score >= greatest(2.0, n_words * 0.4)")
 def word_page_match(spark, sf_dir):
-    return R.enough_words(hits(spark, sf_dir)).select("item_id", "doc_id", "idx", "score", "n_words")
+    return hits(spark, sf_dir).select("item_id", "doc_id", "idx", "score", "n_words")
 
 
 @query(f"""select doc_id, node, idx::int as idx, score::int as score from (select doc_id, node, idx, score, n, row_number() over (partition by doc_id, node order by score desc, idx) as rn from (
