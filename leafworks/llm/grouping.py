@@ -35,15 +35,14 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n_ > 1").drop("n_")
 
 
-def group(entries: DataFrame, possible: Pairing, verify: Verify, enough: Callable[[DataFrame], DataFrame] | None = None, rest: Verify | None = None) -> DataFrame:
+def group(entries: DataFrame, possible: Pairing, verify: Verify, rest: Verify | None = None) -> DataFrame:
     """(id, component) of the ids that link with another.
 
     entries: (key, id, attributes...), best already cut and with shared keys
     only. possible: whether two entries of a key can belong to a link, from
-    their columns by name. verify: the pairs (a, b) that are links. enough:
-    of the pairs (a, b, both entries' attributes, n shared keys), those that
-    can still be links. rest: forms the pairs (a, b) of the second step itself,
-    from the entries and their component, instead of joining them by key.
+    their columns by name. verify: the pairs (a, b) that are links. rest:
+    forms the pairs (a, b) of the second step itself, from the entries and
+    their component, instead of joining them by key.
     """
     names = [c for c in entries.columns if c != "key"]
     fields = lambda s: {c: F.col(f"{s}.{c}") for c in names}
@@ -63,10 +62,7 @@ def group(entries: DataFrame, possible: Pairing, verify: Verify, enough: Callabl
     left = mixed.select("key", F.struct(*names, "component").alias("x"))
     right = mixed.select(F.col("key").alias("key_"), F.struct(*names, "component").alias("y"))
     met = left.join(right, (F.col("key") == F.col("key_")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & possible(fields("x"), fields("y")))
-    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
-    if enough is not None:
-        met = enough(met)
-    return _with_more(first, groups, verify, met.select("a", "b"))
+    return _with_more(first, groups, verify, met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
 def _with_more(first: DataFrame, groups: DataFrame, verify: Verify, pairs: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ are formed:
 * the order puts n-grams that are frequent in the corpus last, so that
   passages shared by many documents are rarely among the first ones;
 * the product is blocked by a hash of the n-gram: a block gathers the rows
-  that share its columns, overlaps are accumulated per pair, and pairs whose
-  overlap so far plus what can follow stays below the bound are discarded
-  before whole sets are fetched;
+  that share its columns, and a pair for which no shared column is placed so
+  that it and what can follow reach the bound is discarded before whole sets
+  are fetched (the first column a link shares always is);
 * what remains is verified on the whole sets. Any order gives the same
   result, so the frequent n-grams may be estimated: each task reports those
   it met often, and a fixed number at most are used.
@@ -192,13 +192,7 @@ def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFra
         follow = F.lit(1) + F.least(x["size"] - x["rank"] - 1, y["size"] - y["rank"] - 1)
         return (F.lit(den) * F.least(x["size"], y["size"]) >= F.lit(num) * F.greatest(x["size"], y["size"])) & (follow >= need)
 
-    def enough(met: DataFrame) -> DataFrame:
-        # Overlap so far, and all that lies beyond the columns that entered.
-        beyond = lambda s: _ratio(num, F.col(f"{s}.size").cast("long"), den) - 1
-        need = _ratio(num, F.col("x.size").cast("long") + F.col("y.size"), num + den)
-        return met.where(F.col("n") + F.greatest(beyond("x"), beyond("y")) >= need)
-
-    groups = group(entries, possible, lambda pairs: jaccard_links(docs, pairs, n, num, den), enough)
+    groups = group(entries, possible, lambda pairs: jaccard_links(docs, pairs, n, num, den))
     of_rep = of_doc.join(groups, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     of_rep = of_rep.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "id_")
     return rows.join(of_rep, F.col("doc_id") == F.col("id_"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

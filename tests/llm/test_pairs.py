@@ -80,6 +80,19 @@ def test_frequent_order_changes_nothing(spark, docs):
         assert all(n >= 1 for n in size.values())
 
 
+def test_ngram_second_step(spark, monkeypatch):
+    """A link just at the threshold, whose first shared n-gram many others hold too."""
+    monkeypatch.setattr(ngram_join, "frequent", lambda described: np.zeros(0, K.U))  # order by hash alone
+    words = [f"w{i}" for i in range(900)]
+    words = [w for _, w in sorted(zip([int(s[0]) for s in K.text_sets(pa.array(words), 1)], words, strict=True))]
+    shared, own = words[16:108], words[108:]
+    rows = [(i, " ".join([shared[0], *own[30 * i : 30 * i + 30]])) for i in range(20)]
+    rows += [(100, " ".join(words[:8] + shared)), (101, " ".join(words[8:16] + shared))]
+    groups, _ = near_groups(rows, 1, 85)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(frame(spark, rows), 1).collect()}
+    assert groups[101] == 100 and got == groups
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in make_docs(4, 50)] + [(90, None), (91, ""), (92, "x")]
     df = frame(spark, rows)
