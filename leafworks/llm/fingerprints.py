@@ -12,9 +12,9 @@ Near copies: ``BANDS`` bands of ``ROWS`` places are join keys (a pair at
 Jaccard 0.8 shares none with odds under 1e-4); candidates are verified by
 the Jaccard of the whole shingle sets, at least 0.8, and linked groups are
 found as ``grouping`` describes, without writing out all pairs: pairs of
-different components are compared by their signatures inside a task, and
-only those alike enough to be near copies are verified. Equal shingle sets
-are one item first.
+different components are formed inside a task, each once, and all that are
+near in size are verified, so that no odds come on top of those of the
+bands. Equal shingle sets are one item first.
 
 Scale: texts shuffle once, to be in the order of their ids: then a document
 and its next one are neighbours in a task, and only the first and the last
@@ -47,9 +47,6 @@ from .ngram_join import jaccard_links
 WORDS, PERMS, BANDS, ROWS = 5, 256, 25, 5
 NUM, DEN = 80, 100
 
-#: Share of equal places under which a pair isn't verified: 0.74 + 0.26 / 256 of chance, 2.4 standard errors below 0.8.
-ALIKE = 0.741
-
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint32)
@@ -156,9 +153,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def pairs_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of rows (key, band, id, size, component, sig) sorted by key: pairs of a key that may be near copies.
 
-    Of different components, near in size, with signatures alike enough; a
-    pair that meets under several keys is given under the first. Pairs are
-    compared in blocks, and only those that pass leave the task.
+    Of different components and near in size; a pair that meets under several
+    keys is given under the first. Pairs are formed in blocks.
     """
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -171,11 +167,9 @@ def pairs_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             p, q = np.nonzero(like)
             for s in range(0, len(p), 1 << 14):
                 x, y = p[s : s + (1 << 14)] + lo, q[s : s + (1 << 14)]
-                same = sigs[x] == sigs[y]
-                near = same.sum(axis=1) >= ALIKE * PERMS
-                shared = same[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                here = shared == band[0]
-                out.append(np.column_stack([ids[x[near]][here], ids[y[near]][here]]))
+                same = sigs[x, : BANDS * ROWS] == sigs[y, : BANDS * ROWS]
+                here = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
+                out.append(np.column_stack([ids[x[here]], ids[y[here]]]))
         held.clear()
         pairs = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -113,6 +113,18 @@ def test_fingerprints(spark):
     assert all(near.get(i, i) == g for i, g in groups.items())
 
 
+def test_unlike_signatures():
+    """A pair that shares a band is verified however few places of its signatures agree, and given once."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, fingerprints.PERMS, dtype=np.uint8)
+    y = x.copy()
+    y[fingerprints.ROWS * 2 :: 3] ^= 1  # 174 of 256 agree: a near copy has odds for that, too
+    band = [0, 0, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 8, 8]), pa.array(band), pa.array([1, 2, 1, 2]), pa.array([100] * 4), pa.array([1, 2, 1, 2]), pa.array([x.tobytes(), y.tobytes()] * 2, pa.binary())], ["key", "band", "id", "size", "component", "sig"])
+    got = [(a, b) for r in fingerprints.pairs_in_keys(iter([batch])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)]
+    assert (x == y).sum() < 190 and got == [(1, 2)]
+
+
 def test_fingerprint_edges(spark, edges, empty):
     got = fingerprints.fingerprints(edges).collect()
     assert len(got) == len(edge_docs()) and sum(r.near_next is None for r in got) == 1
