@@ -69,6 +69,16 @@ def test_keep_one(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in groups.items() if i == g)
 
 
+def test_stage_drops_near_copies(spark):
+    """The pipeline's stage takes five words and 0.8: one edit in 50 words, which op3's 4 words and 0.85 don't link."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "new", *words[26:]])), (3, "another text " * 9)]
+    assert near_groups(rows, 5, 80)[0][2] == 1 and near_groups(rows, 4, 85)[0][2] == 2
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, frame(spark, rows), "").collect()) == [1, 3]
+
+
 def test_frequent_order_changes_nothing(spark, docs):
     """Any order of n-grams gives the same groups."""
     described = ngram_join.describe(docs)
