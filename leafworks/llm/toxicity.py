@@ -9,8 +9,9 @@ over the buckets of a document, so that a pair of terms (an insult and the
 mention of a group) can count where either alone does not. It is trained
 here, by full-batch Adam on the log loss, on a bounded sample of labelled
 documents (at most ``train_rows``, the first by a hash of the id) whose
-crc32(doc_id as text) mod 5 is not 0. Terms enter if their odds differ
-between the labels by ``z`` standard errors; all others have weight 0.
+crc32(doc_id as text) mod 5 is not 0. All terms of at least ``MIN_DOCS``
+documents enter, with a weight and factors held small by decay and not by a
+screen, which would keep out pairs whose terms say nothing alone.
 
 Scale: training touches the sample alone; scoring is one pass without a
 shuffle, and the model is a few thousand numbers.
@@ -34,7 +35,10 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .common import released, small_batches, table
 
-BITS, TRAIN_ROWS, FACTORS, EPOCHS, Z, MIN_DOCS = 20, 20_000, 4, 200, 4.0, 5
+BITS, TRAIN_ROWS, FACTORS, EPOCHS, MIN_DOCS = 20, 20_000, 4, 300, 5
+
+#: Decay of weights and of factors.
+DECAY = 1e-3, 5e-3
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -81,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     return train(got["toxic"].to_numpy(), [np.frombuffer(x, "<i4") for x in got["terms"].to_pylist()], bits)
 
 
-def train(y: np.ndarray, sets: list[np.ndarray], bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, z: float = Z) -> Machine:
+def train(y: np.ndarray, sets: list[np.ndarray], bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     none = np.zeros(0, np.int64)
     if not len(y):
         return Machine(none, -30.0, np.zeros(0), np.zeros((0, factors)))
@@ -90,12 +94,7 @@ def train(y: np.ndarray, sets: list[np.ndarray], bits: int = BITS, factors: int
     bias = float(np.log((pos + 0.5) / (neg + 0.5)))
     doc = np.repeat(np.arange(len(y)), [len(s) for s in sets])
     term = np.concatenate(sets).astype(np.int64) if len(doc) else none
-    in_pos = np.bincount(term, weights=y[doc], minlength=1 << bits)
-    in_all = np.bincount(term, minlength=1 << bits)
-    in_neg = in_all - in_pos
-    odds = np.log((in_pos + 0.5) / (pos - in_pos + 0.5)) - np.log((in_neg + 0.5) / (neg - in_neg + 0.5))
-    error = np.sqrt(1 / (in_pos + 0.5) + 1 / (pos - in_pos + 0.5) + 1 / (in_neg + 0.5) + 1 / (neg - in_neg + 0.5))
-    buckets = np.flatnonzero((in_all >= MIN_DOCS) & (np.abs(odds) >= z * error))
+    buckets = np.flatnonzero(np.bincount(term, minlength=1 << bits) >= MIN_DOCS)
     if not len(buckets):
         return Machine(none, bias, np.zeros(0), np.zeros((0, factors)))
     at = np.minimum(np.searchsorted(buckets, term), len(buckets) - 1)
@@ -108,8 +107,10 @@ def train(y: np.ndarray, sets: list[np.ndarray], bits: int = BITS, factors: int
         p = _sigmoid(_logits(w0[0], w, v, doc, at, len(y)))
         err = (p - y) / len(y)
         sums = _sums(v, doc, at, len(y))
-        gv = np.stack([np.bincount(at, weights=err[doc] * (sums[doc, f] - v[at, f]), minlength=len(w)) for f in range(v.shape[1])], axis=1)
-        grads = [np.array([err.sum()]), np.bincount(at, weights=err[doc], minlength=len(w)) + 1e-5 * w, gv + 1e-4 * v]
+        gw = np.bincount(at, weights=err[doc], minlength=len(w))
+        # A term's factors meet the sums of its documents, less its own share.
+        gv = np.stack([np.bincount(at, weights=(err * sums[:, f])[doc], minlength=len(w)) for f in range(v.shape[1])], axis=1) - gw[:, None] * v
+        grads = [np.array([err.sum()]), gw + DECAY[0] * w, gv + DECAY[1] * v]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g

@@ -181,6 +181,21 @@ def test_toxicity_pairs(spark):
     assert len(got) > 100 and np.mean([(r.score >= 0.5) == bool(r.toxic) for r in got]) > 0.95
 
 
+def test_toxicity_equal_odds(spark):
+    """Two words, each as often in clean as in toxic texts: only both or neither of them is toxic."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        text = [rng.choice(words) for _ in range(40)] + [["grumble", "zorks"], [], ["grumble"], ["zorks"]][i % 4]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 4 < 2)))
+    df, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, lab)).join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).collect()
+    assert len(got) > 400 and np.mean([(r.score >= 0.5) == bool(r.toxic) for r in got]) > 0.95
+
+
 def test_toxicity_edges(spark, edges, empty, labels, no_labels):
     scores = [r.score for r in toxicity.score(edges, toxicity.fit(edges, labels)).collect()]
     assert len(scores) == len(edge_docs()) and all(0 <= s <= 1 for s in scores)
