@@ -188,6 +188,12 @@ def test_lines(spark):
         assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
 
 
+def test_lines_a_tenth_apart(spark):
+    """20 and 18 characters, two edits apart, are just similar enough."""
+    rows = [(1, "a " * 9 + "bb"), (2, "a " * 8 + "bb")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {1: rows[0][1], 2: ""}
+
+
 def test_line_edges(spark, edges, empty):
     out = line_dedup.dedup_lines(edges)
     assert out.columns == edges.columns and out.count() == len(edge_docs())
