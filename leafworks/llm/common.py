@@ -99,6 +99,11 @@ def bitmap(slots: DataFrame) -> np.ndarray:
     return out
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: operators join under names that no column of the caller's has."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def split_by(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose id may be in ``ids``, rows whose id is not): a native filter by a broadcast bitmap of bounded size.
 
@@ -106,24 +111,59 @@ def split_by(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Dat
     and only that part has to shuffle for an exact join. Null ids aren't there.
     """
     words = cut(bitmap_rows(ids.select(slot(F.col(ids.columns[0])))))
-    names = df.columns
-    marked = df.withColumn("slot_", slot(F.col(f"`{id_col}`"))).join(F.broadcast(words.toDF("word_", "bits_")), F.expr("shiftright(slot_, 6) = word_"), "left")
-    marked = marked.withColumn("there_", F.coalesce(F.expr("getbit(bits_, int(slot_ % 64))"), F.lit(0)) == 1)
-    return tuple(marked.where(F.col("there_") == x).select(*[F.col(f"`{c}`") for c in names]) for x in (True, False))
+    held, names = plain(df), df.columns
+    place = slot(F.col(f"c{names.index(id_col)}"))
+    marked = held.withColumn("at", place).join(F.broadcast(words), F.expr("shiftright(at, 6) = w"), "left")
+    marked = marked.withColumn("there", F.coalesce(F.expr("getbit(b, int(at % 64))"), F.lit(0)) == 1)
+    return tuple(marked.where(F.col("there") == x).drop("w", "b", "at", "there").toDF(*names) for x in (True, False))
 
 
 def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) as stars (u, smallest id reached inside a piece of a task): the same components, mostly fewer and shorter paths."""
+
+    def run(batches):
+        held: list[tuple[int, int]] = []
+
+        def flush():
+            root: dict[int, int] = {}
+            for a, b in held:
+                for x in (a, b):
+                    root.setdefault(x, x)
+                while root[a] != a:
+                    root[a] = a = root[root[a]]
+                while root[b] != b:
+                    root[b] = b = root[root[b]]
+                root[max(a, b)] = min(a, b)
+            held.clear()
+            out = []
+            for x in sorted(root):  # roots are smaller, so theirs are final
+                root[x] = root[root[x]]
+                if root[x] != x:
+                    out.append((x, root[x]))
+            u, v = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            if len(held) >= 1 << 18:
+                yield flush()
+        yield flush()
+
+    return edges.mapInArrow(released(run), "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b): the smallest id that it reaches.
 
-    Alternating large-star and small-star steps; each step is a grouped
-    minimum and a join, and the edges stay distributed. Edges with a null
-    end are ignored; no edge gives no row.
+    Edges are contracted inside tasks first; then alternating large-star and
+    small-star steps, each a grouped minimum and a join, and the edges stay
+    distributed. Edges with a null end are ignored; no edge gives no row.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(contracted(edges.where("a <> b").select("a", "b")).distinct())
     # Already stars if no centre is itself attached and no node has two centres.
     while not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafworks.llm import common, fingerprints, line_dedup, ngram_join
 from leafworks.llm import textkit as K
 
-from .conftest import edge_docs, frame, make_docs
+from .conftest import edge_docs, frame, make_docs, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -153,39 +153,146 @@ def norm_lines(text):
     return [" ".join(x for x in n.split(" ") if x) for n in out]
 
 
-def removed(rows):
-    items, sims = [], {}
-    for i, t in sorted((i, t) for i, t in rows if i is not None and t is not None):
-        lines = line_dedup.Lines(*K.buffers(pa.array([t])))
-        at, whole, sim, size = lines.hashes()
-        norm = norm_lines(t)
-        assert len(norm) == len(lines.doc)
-        for k, j in enumerate(at):
-            assert lines.text(j) == norm[lines.number[j]]
-            items.append((i, int(lines.number[j]), norm[lines.number[j]]))
-            sims[norm[lines.number[j]]] = int(sim[k])
-    f, texts = Forest(), sorted(sims)
+def edits(a, b, most):
+    """The edit distance, by the plain table; over ``most``, some number over it."""
+    p = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        q = [i]
+        for j, d in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (c != d)))
+        p = q
+        if min(p) > most:
+            return most + 1
+    return p[-1]
+
+
+def near_lines(x, y):
+    most = int(max(len(x), len(y)) * 0.1 + 1e-9)
+    if min(len(x), len(y)) < 10 or abs(len(x) - len(y)) > most:
+        return False
+    a, b = (np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in (x, y))
+    return np.maximum(a - b, 0).sum() <= 4 * most and edits(x, y, most) <= most  # four bytes a character at most
+
+
+def removed(rows, meet):
+    """The lines that go, if lines link that ``meet`` and are near in edits."""
+    items = [(i, t, n, x) for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}) for n, x in enumerate(norm_lines(t)) if x]
+    f, texts = Forest(), sorted({x for *_, x in items})
+    keys = meet(texts)
     for n, x in enumerate(texts):
         for y in texts[:n]:
-            if min(len(x), len(y)) >= 10 and bin((sims[x] ^ sims[y]) & (2**64 - 1)).count("1") <= 3 and abs(len(x) - len(y)) <= 0.1 * max(len(x), len(y)) and line_dedup.similar(x, y):
+            if keys[x] & keys[y] and near_lines(x, y):
                 f.join(x, y)
-    seen, gone = set(), {}
-    for i, n, x in items:
+    seen, gone = {}, {}
+    for i, t, n, x in sorted(items, key=lambda r: (r[0], common_key(r[1]), r[2])):
         if (g := f.find(x)) in seen:
-            gone.setdefault(i, set()).add(n)
-        seen.add(g)
+            gone.setdefault((i, t), set()).add(n)
+        seen[g] = True
     return gone
 
 
+def common_key(text):
+    """Only rows that repeat a doc_id need an order of their texts; tests that use it have none such."""
+    return text
+
+
+def line_keys(texts):
+    """The keys of each normalised line."""
+    lines = line_dedup.Lines(*K.buffers(pa.array(texts, pa.large_string())))
+    at, _, size = lines.hashes()
+    out = {x: set() for x in texts}
+    sparse = (lines.after[at] - lines.first[at]) * line_dedup.WORD_CHARS < size
+    for k, m in enumerate(line_dedup.MODES):
+        of = np.flatnonzero((size >= m.low) & (size <= m.high) & ~(m.words & sparse) | (k == line_dedup.BY_BYTES) & sparse & (size > m.high))
+        for rows, keys in line_dedup.line_keys(k, line_dedup.packed(lines.blocks(at[of], m), m.bits)):
+            for i, key in zip(of[rows].tolist(), keys.tolist(), strict=True):
+                out[texts[lines.doc[at[i]]]].add(key)
+    return out
+
+
 def test_lines(spark):
     rows = make_docs(2, 60)
     rows.append((100, rows[0][1].upper() + "\n\n--\n" + rows[1][1].replace(" ", ",  ", 1)))
-    gone = removed(rows)
+    gone = removed(rows, line_keys)
     out = line_dedup.dedup_lines(frame(spark, rows))
     got = {r.doc_id: r.text for r in out.collect()}
     assert gone
     for i, t in rows:
-        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
+        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ()))
+
+
+def test_crowded_lines(spark, monkeypatch):
+    """Many variants under the same keys, by all ways: keys that one task holds often, larger keys and small ones."""
+    rng, words = random.Random(5), [f"wd{i}" for i in range(200)]
+    base = [" ".join(rng.choice(words) for _ in range(24)) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        w = base[i % 3].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    gone = removed(rows, line_keys)
+    for crowd, small in ((256, 8), (6, 3)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+        assert {i for i, t in got.items() if not t} == {i for i, _ in gone}
+
+
+def lines_of(spark, sf_dir, n):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").orderBy("doc_id").limit(n).collect()]
+    return sorted({x for t in texts for x in norm_lines(t) if len(x) >= 10})
+
+
+def test_line_recall(spark, sf_dir):
+    """Of the lines within the edit distance, by the plain table over all pairs, at least 0.9 meet in every class of length."""
+    rng, lines = random.Random(3), lines_of(spark, sf_dir, 200)
+    some = rng.sample(lines, 600)
+    some += [" ".join(x.split(" ")[: rng.randint(2, 8)]) for x in rng.sample(lines, 200)]
+    some = [x for x in some if len(x) >= 10]
+
+    def change(x):
+        i = rng.choice([i for i, c in enumerate(x) if c != " "])
+        return x[:i] + "q" + x[i + 1 :]
+
+    pairs = [(x, change(x)) for x in some]
+    size = np.array([len(x) for x in lines])
+    order = np.argsort(size, kind="stable")
+    bags = np.stack([np.bincount(np.frombuffer(x.encode(), np.uint8), minlength=256) for x in lines]).astype(np.float32)
+    for at, i in enumerate(order):
+        js = order[at + 1 : np.searchsorted(size[order], size[i] / 0.9 + 1, "right")]
+        for j in js[np.abs(bags[js] - bags[i]).sum(axis=1) <= 0.2 * size[js] + 8] if len(js) else []:
+            if near_lines(lines[i], lines[int(j)]):
+                pairs.append((lines[i], lines[int(j)]))
+    keys = line_keys(sorted({x for p in pairs for x in p}))
+    for low, high in ((1, 10), (10, 20), (20, 50), (50, 10**9)):
+        of = [bool(keys[x] & keys[y]) for x, y in pairs if x != y and low <= len(x.split(" ")) < high]
+        assert len(of) > 50 and np.mean(of) >= 0.9, (low, len(of), np.mean(of))
+
+
+def test_repeated_ids_lose_nothing(spark):
+    rows = [(1, "the common line of words"), (2, "the common line of words"), (2, "a unique line that stands nowhere else"), (2, "a unique line that stands nowhere else")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == [(1, rows[0][1]), (2, ""), (2, rows[2][1]), (2, rows[2][1])]
+
+
+def test_very_long_lines(spark):
+    """No length changes the measure: one word of 100,000 characters, and as many words."""
+    a, b = "x" * 60_000 + "abc" * 20_000, " ".join(vocabulary(9, 300)) * 60
+    rows = [(1, a), (2, a[:50_000] + "y" + a[50_001:]), (3, b), (4, b.replace(" ", " q ", 3)), (5, "z" * 100_000)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [i for i, t in sorted(got.items()) if not t] == [2, 4]
+
+
+def test_clashing_columns(spark, edges):
+    """Columns of the names that operators use inside pass unchanged."""
+    names = ["slot_", "bits_", "word_", "there_", "row_", "w", "b", "at", "there", "tk", "k_", "lines", "c0", "id", "key", "n_removed_", "component"]
+    rows = [(i, f"the same line of words\nline {'abcde'[i]} {'fghij'[i] * 9}", *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for out in (line_dedup.dedup_lines(df), ngram_join.keep_one(df)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
 
 
 def test_lines_a_tenth_apart(spark):
