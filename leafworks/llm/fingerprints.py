@@ -1,9 +1,9 @@
 """MinHash document fingerprints, and the groups of near copies they lead to.
 
 A document is the set of its 5-word shingles (ASCII lower case). For each of
-``PERMS`` permutations h(x) = a*x + b modulo 2**32, a odd, of the 32-bit
-shingle hashes, the signature holds the smallest value; the fingerprint
-keeps 8 mixed bits of each, as hex. The likeness of two fingerprints is the
+``PERMS`` hash functions of a universal family, the high half of a*x + b
+modulo 2**64 for the 32-bit shingle hash x, the signature holds the smallest
+value; the fingerprint keeps 8 mixed bits of each, as hex. The likeness of two fingerprints is the
 share of equal places, corrected for the 1 in 256 that agree by chance.
 Equal texts have equal fingerprints; a document without words has an empty
 one, like only to another empty one.
@@ -11,16 +11,17 @@ one, like only to another empty one.
 Near copies: ``BANDS`` bands of ``ROWS`` places are join keys (a pair at
 Jaccard 0.8 shares none with odds under 1e-4); candidates are verified by
 the Jaccard of the whole shingle sets, at least 0.8, and linked groups are
-found as ``grouping`` describes, without writing out all pairs: pairs of
-different components are formed inside a task, each once, and all that are
-near in size are verified, so that no odds come on top of those of the
-bands. Equal shingle sets are one item first.
+found as ``grouping`` describes, without writing out all pairs. Pairs are
+formed inside tasks, where signatures are there: one is left out if the sizes
+or under ``ALIKE`` of the bands' 125 places agree, for which a pair at
+Jaccard 0.8 has odds of 1e-7. Equal shingle sets are one item first.
 
 Scale: texts shuffle once, to be in the order of their ids: then a document
 and its next one are neighbours in a task, and only the first and the last
 document of each range meet in one place. Fingerprints are made in the same
-pass, vectorised; bands come from the fingerprints, and sets are fetched for
-candidates alone.
+pass, vectorised; bands come from the fingerprints, and texts are fetched for
+candidates alone. A key that very many documents share is compared in blocks
+of ``CROWD`` by as many, each in its own task.
 
 Defined results: null text is empty. Documents are in the order of doc_id,
 rows that repeat one in the order of text; each one's next is the row that
@@ -36,7 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -47,21 +49,24 @@ from .ngram_join import jaccard_links
 WORDS, PERMS, BANDS, ROWS = 5, 256, 25, 5
 NUM, DEN = 80, 100
 
+#: Places of the bands that agree in a pair worth verifying, at least; documents of a key that are compared in one task.
+ALIKE, CROWD = 75, 4096
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_A = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint32)
+_A = _RNG.integers(0, 1 << 64, PERMS, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 1 << 64, PERMS, dtype=np.uint64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The ``PERMS`` smallest values of a set of hashes; empty for the empty set."""
     if not len(s):
         return np.zeros(0, np.uint32)
-    x = (s >> K.U(32)).astype(np.uint32)
-    best = np.full(PERMS, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 512):
-        part = x[lo : lo + 512]
+    x = s >> K.U(32)
+    best = np.full(PERMS, (1 << 64) - 1, K.U)
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
         np.minimum(best, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=best)
-    return best
+    return (best >> K.U(32)).astype(np.uint32)
 
 
 def fingerprint(sig: np.ndarray) -> str:
@@ -87,16 +92,17 @@ def edit(text: str, after: str) -> str:
 
 
 #: kind 0: a document that has met its next one; 1: the last of a task; 2: the first of a task.
-_ROW = "kind int, doc_id long, n_chars long, fingerprint string, size long, fp1 long, fp2 long, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double, text string"
+_ROW = "kind int, part int, doc_id long, n_chars long, fingerprint string, size long, fp1 long, fp2 long, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double, text string"
 
 
 def _rows(kind: int, docs: list[tuple], nexts: list[tuple]) -> pa.RecordBatch:
-    """Rows of documents (doc_id, text, fingerprint, set size, set print), with their next ones if there."""
+    """Rows of documents (doc_id, text, fingerprint, set size, set print), with their next ones if there, and the task's number."""
+    part = TaskContext.get().partitionId()
     edits = [edit(d[1], n[1]) for d, n in zip(docs, nexts, strict=True)] if nexts else []
     prints = [fingerprint(signature(s)) for s in text_sets(edits)]
     nil = [None] * len(docs)
     columns = {
-        "kind": pa.array([kind] * len(docs), pa.int32()), "doc_id": pa.array([d[0] for d in docs], pa.int64()), "n_chars": pa.array([len(d[1]) for d in docs], pa.int64()),
+        "kind": pa.array([kind] * len(docs), pa.int32()), "part": pa.array([part] * len(docs), pa.int32()), "doc_id": pa.array([d[0] for d in docs], pa.int64()), "n_chars": pa.array([len(d[1]) for d in docs], pa.int64()),
         "fingerprint": pa.array([d[2] for d in docs], pa.string()), "size": pa.array([d[3] for d in docs], pa.int64()), "fp1": pa.array([d[4][0] for d in docs], pa.int64()), "fp2": pa.array([d[4][1] for d in docs], pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits] or nil, pa.string()), "edited_fingerprint": pa.array(prints or nil, pa.string()),
         "near_edited": pa.array([likeness(d[2], p) for d, p in zip(docs, prints, strict=True)] if nexts else nil, pa.float64()), "near_next": pa.array([likeness(d[2], n[2]) for d, n in zip(docs, nexts, strict=True)] if nexts else nil, pa.float64()), "text": pa.array([d[1] if kind else None for d in docs], pa.string()),
@@ -140,50 +146,69 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = written(ordered.mapInArrow(released(_neighbours), _ROW))
-    # First and last documents of the ranges, two rows a task, in order: each last one is followed by a first one.
-    edges = rows.where("kind > 0").select("kind", "doc_id", "text")
-    order = Window.orderBy("doc_id", F.desc("kind"))
-    after = F.struct("doc_id", "text").alias("x")
-    lasts = edges.select("kind", "doc_id", "text", F.coalesce(F.lead(after).over(order), F.first(after).over(order)).alias("next")).where("kind = 1")
-    lasts = lasts.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), F.col("next.text").alias("next_text")).mapInArrow(released(_across), _ROW)
+    # Ranges are numbered in order: the last document of one is followed by the first of the next. Only the numbers meet in one place.
+    parts, order = rows.where("kind = 1").select("part"), Window.orderBy("part")
+    after = parts.select(F.col("part").alias("part_"), F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    last, first = rows.where("kind = 1").select("part", "doc_id", "text"), rows.where("kind = 2").select(F.col("part").alias("next"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    lasts = last.join(after, F.col("part") == F.col("part_")).join(first, "next").select("doc_id", "text", "next_id", "next_text").mapInArrow(released(_across), _ROW)
     alone = docs.where("doc_id is null").mapInArrow(lambda batches: (_rows(3, _read(b), []) for b in batches), _ROW)
-    return rows.where("kind = 0").unionByName(lasts).unionByName(alone).drop("kind", "text")
+    return rows.where("kind = 0").unionByName(lasts).unionByName(alone).drop("kind", "part", "text")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """(whether a new bucket begins, columns) of every run of equal buckets in rows (bucket, id, size, component, chunk, sig) sorted by bucket."""
+    last = None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy().astype(np.int64) for c in range(5)]
+        sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(cols[0]) else []
+        for lo, hi in zip(edge, [*edge[1:], len(cols[0])], strict=True):
+            yield cols[0][lo] != last, [*[c[lo:hi] for c in cols[1:]], sigs[lo:hi]]
+            last = cols[0][lo]
+
+
+def _near(p: list[np.ndarray], x: np.ndarray, q: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Whether rows x of p and y of q are near in size, and in ``ALIKE`` places of their signatures."""
+    a, b = p[1][x], q[1][y]
+    return (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)) & ((p[-1][x] == q[-1][y]).sum(axis=1) >= ALIKE)
+
+
+def stars_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, like): the first of each bucket with those of the others that may be near copies, row by row."""
+    lead: list[np.ndarray] = []
+    for new, (ids, sizes, _, _, sigs) in _runs(batches):
+        rows = [ids, sizes, sigs]
+        if new:
+            lead = [c[:1] for c in rows]
+        near = np.flatnonzero((ids != lead[0][0]) & _near(lead, np.zeros(len(ids), np.int64), rows, np.arange(len(ids))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), lead[0][0])), pa.array(ids[near]), pa.array((sigs[near] == lead[2]).sum(axis=1).astype(np.int32))], ["a", "b", "like"])
 
 
 def pairs_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (key, band, id, size, component, sig) sorted by key: pairs of a key that may be near copies.
+    """(a, b): pairs of a bucket that may be near copies.
 
-    Of different components and near in size; a pair that meets under several
-    keys is given under the first. Pairs are formed in blocks.
+    Of different components, and of different chunks where a bucket has two.
     """
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[list[np.ndarray]] = []
 
     def bucket() -> pa.RecordBatch:
-        band, ids, sizes, comps, sigs = (np.concatenate(x) for x in zip(*held, strict=True))
-        out = [np.zeros((0, 2), np.int64)]
+        ids, sizes, comps, chunk, sigs = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        out, rows, two = [np.zeros((0, 2), np.int64)], [ids, sizes, sigs], chunk.min() < chunk.max()
         for lo in range(0, len(ids), 64):
             i = slice(lo, lo + 64)
-            like = (comps[i, None] != comps[None]) & (ids[i, None] < ids[None]) & (DEN * np.minimum(sizes[i, None], sizes[None]) >= NUM * np.maximum(sizes[i, None], sizes[None]))
-            p, q = np.nonzero(like)
+            p, q = np.nonzero((comps[i, None] != comps[None]) & (ids[i, None] < ids[None]) & ((chunk[i, None] != chunk[None]) | (not two)))
             for s in range(0, len(p), 1 << 14):
                 x, y = p[s : s + (1 << 14)] + lo, q[s : s + (1 << 14)]
-                same = sigs[x, : BANDS * ROWS] == sigs[y, : BANDS * ROWS]
-                here = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
-                out.append(np.column_stack([ids[x[here]], ids[y[here]]]))
-        held.clear()
+                near = _near(rows, x, rows, y)
+                out.append(np.column_stack([ids[x[near]], ids[y[near]]]))
         pairs = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    last = None
-    for batch in batches:
-        keys, band, ids, sizes, comps = (batch.column(c).to_numpy() for c in range(5))
-        sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, PERMS)
-        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-        for lo, hi in zip(edge, [*edge[1:], len(keys)], strict=True):
-            if held and keys[lo] != last:
-                yield bucket()
-            held.append((band[lo:hi], ids[lo:hi], sizes[lo:hi].astype(np.int64), comps[lo:hi], sigs[lo:hi]))
-            last = keys[lo]
+    for new, columns in _runs(batches):
+        if new and held:
+            yield bucket()
+        held.append(columns)
     if held:
         yield bucket()
 
@@ -195,21 +220,34 @@ def near_copies(docs: DataFrame, described: DataFrame) -> DataFrame:
     """
     described = described.where("size > 0 and doc_id is not null")
     same = ["size", "fp1", "fp2"]
-    # Cut, so that the join reads plain shuffles and a set with very many copies can be split.
-    reps = cut(described.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first(F.unhex("fingerprint")).alias("sig")))
-    band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
-    entries = cut(shared_entries(reps.select(band.alias("band", "key"), F.col("rep").alias("id"), F.col("size").cast("int").alias("size")).select("key", "band", "id", "size")))
-
-    def possible(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        return F.lit(DEN) * F.least(x["size"], y["size"]) >= F.lit(NUM) * F.greatest(x["size"], y["size"])
+    sig = F.substring(F.unhex("fingerprint"), 1, BANDS * ROWS)
+    # Written, so that the join reads plain shuffles and a set with very many copies can be split.
+    reps = written(described.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(sig).alias("sig")))
+    of_doc = cut(described.select("doc_id", *same).join(reps.select("rep", *same), same).select("doc_id", "rep"))
+    band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
+    # What shuffles 25 times a document is two numbers.
+    entries = shared_entries(reps.select(band.alias("key"), F.col("rep").alias("id")))
+    entries = written(entries)
+    shared = reps.select(F.col("rep").alias("id"), F.col("size").cast("int").alias("size"), "copies", "sig")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(shared, "id").select("bucket", "id", "size", "component", "chunk", "sig", "copies")
+
+    none = F.lit(0).cast("long")
+    stars = placed(entries.select(F.col("key").alias("bucket"), "id", none.alias("component"), none.alias("chunk")))
+    stars = stars.repartition("bucket").sortWithinPartitions("bucket", F.desc("copies"), "id").drop("copies").mapInArrow(released(stars_in_keys), "a long, b long, like int")
+    stars = stars.groupBy("b").agg(F.max(F.struct("like", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
     def rest(mixed: DataFrame) -> DataFrame:
-        sigs = reps.select(F.col("rep").alias("id"), "sig").join(mixed.select("id").distinct(), "id", "left_semi")
-        rows = mixed.join(sigs, "id").select("key", "band", "id", "size", "component", "sig")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(released(pairs_in_keys), "a long, b long").distinct()
-
-    groups = group(entries, possible, lambda pairs: jaccard_links(docs, pairs, WORDS, NUM, DEN), rest=rest)
-    of_doc = described.select("doc_id", *same).join(reps.select("rep", *same), same).join(groups.withColumnRenamed("id", "id_"), F.col("rep") == F.col("id_"), "left")
+        # Of a crowded key, every two chunks are a bucket of their own.
+        many = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).cast("int").alias("many")).withColumnRenamed("key", "key_")
+        rows = mixed.join(many, F.col("key") == F.col("key_")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("many")).cast("long"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)))
+        rows = placed(rows.withColumn("bucket", F.when(F.col("many") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "with"), F.greatest("chunk", "with")))))
+        return rows.drop("copies").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(pairs_in_keys), "a long, b long").distinct()
+
+    groups = group(entries, lambda x, y: F.lit(True), lambda pairs: jaccard_links(docs, pairs, WORDS, NUM, DEN), stars, rest)
+    of_doc = of_doc.join(groups.withColumnRenamed("id", "id_"), F.col("rep") == F.col("id_"), "left")
     return of_doc.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("component", "rep")).alias("component"))
 
 

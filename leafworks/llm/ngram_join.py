@@ -12,9 +12,10 @@ are formed:
 * the order puts n-grams that are frequent in the corpus last, so that
   passages shared by many documents are rarely among the first ones;
 * the product is blocked by a hash of the n-gram: a block gathers the rows
-  that share its columns, and a pair for which no shared column is placed so
-  that it and what can follow reach the bound is discarded before whole sets
-  are fetched (the first column a link shares always is);
+  that share its columns. A pair for which no shared column is placed so that
+  it and what can follow reach the bound is discarded (the first column a
+  link shares always is), and so is one whose count of shared first columns,
+  with all that lies beyond them, falls short of the bound;
 * what remains is verified on the whole sets. Any order gives the same
   result, so the frequent n-grams may be estimated: each task reports those
   it met often, and a fixed number at most are used.
@@ -24,9 +25,8 @@ per connected group, each component's pairs in proportion to its size.
 N-grams are 64-bit hashes; a false equality needs a collision among the
 n-grams of two documents.
 
-Scale: texts never shuffle. Per document about (1-t) of its n-grams do, once.
-Sets are fetched for documents in candidate pairs alone, found through a
-bitmap of fixed size. Skew: equal rows are collapsed first; frequent columns
+Scale: per document about (1-t) of its n-grams shuffle, once. Texts do for
+documents in candidate pairs alone, found through a bitmap of fixed size. Skew: equal rows are collapsed first; frequent columns
 come last; joins by document are split by AQE.
 
 Defined results: null and empty texts have no n-gram, size 0 and their own
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import cut, released, small_batches, split_by, table
+from .common import cut, plain, released, small_batches, split_by, table, written
 from .grouping import group, shared_entries
 
 #: Words in an n-gram, and the threshold as a fraction.
@@ -141,50 +141,63 @@ def first_columns(docs: DataFrame, last: np.ndarray, n: int = N, num: int = NUM,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "key long, doc long, size int, rank int")
 
 
-def fetch_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, set): the sorted n-gram hashes, packed, of about the documents in ``ids``."""
-    small_batches(docs.sparkSession)
-    wanted, _ = split_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in K.text_sets(batch.column(1), n)], pa.binary())], ["id", "set"])
-
-    return wanted.mapInArrow(released(run), "id long, set binary")
+def fetch_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of about the documents in ``ids``: text shuffles in fewer bytes than its set."""
+    return split_by(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids)[0]
 
 
 def jaccard_links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have den * intersection >= num * union."""
+    """The pairs (a, b) whose sets have den * intersection >= num * union; where one of them is in many pairs, best a."""
     pairs = cut(pairs)
-    sets = fetch_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    texts = fetch_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # A text that stands in a run of pairs is taken once.
+            runs = batch.column(2).dictionary_encode()
+            of, xs = runs.indices.to_numpy(zero_copy_only=False), list(K.text_sets(runs.dictionary, n))
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), K.U), np.frombuffer(y.as_buffer(), K.U)
+            for i, q in zip(of.tolist(), K.text_sets(batch.column(3), n), strict=True):
+                p = xs[i]
                 both = K.overlap(p, q) if min(len(p), len(q)) * den >= num * max(len(p), len(q)) else 0
                 keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
+    met = pairs.join(right, "b").join(left, "a").where("x is not null and y is not null")
+    return met.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long").distinct()
+
+
+def enough(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose first columns share so many that their overlap can reach the bound.
+
+    held: (id, size, columns) of the documents. The set whose first columns
+    end earlier in the order has nothing in common with the other one's but
+    what its first columns share, and what comes after them.
+    """
+    side = lambda c: held.select(F.col("id").alias(c), F.struct("size", "columns").alias(f"{c}_"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    size = {c: F.col(f"{c}_.size").cast("long") for c in "ab"}
+    beyond = F.greatest(*[_ratio(num, size[c], den) - 1 for c in "ab"])
+    shared = F.size(F.array_intersect("a_.columns", "b_.columns"))
+    return met.where(shared + beyond >= _ratio(num, size["a"] + size["b"], num + den)).select("a", "b")
 
 
 def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    described = cut(describe(docs, n))
+    described = written(describe(docs, n))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "fp1", "fp2")
     same = ["n_shingles", "fp1", "fp2"]
     # Cut, so that the join reads plain shuffles and a row with very many copies can be split.
-    reps = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    of_doc = cut(rows.where("n_shingles > 0 and doc_id is not null").join(reps, same).select("doc_id", "rep").distinct())
+    reps = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    of_doc = written(rows.where("n_shingles > 0 and doc_id is not null").join(reps, same).select("doc_id", "rep", "copies").distinct())
 
     entries = shared_entries(first_columns(docs, frequent(described), n, num, den))
     # Documents stand for their row of the matrix; equal rows fall together.
-    entries = entries.join(of_doc, F.col("doc") == F.col("doc_id")).select("key", F.col("rep").alias("id"), "size", "rank").distinct()
-    entries = cut(shared_entries(entries))
+    entries = entries.join(of_doc, F.col("doc") == F.col("doc_id")).select("key", F.col("rep").alias("id"), "copies", "size", "rank").distinct()
+    entries = written(shared_entries(entries))
+    held = written(entries.groupBy("id", "size").agg(F.collect_set("key").alias("columns")))
 
     def possible(x: dict[str, Column], y: dict[str, Column]) -> Column:
         # Sizes within the factor, and what can follow the first shared column reaches the bound.
@@ -192,17 +205,19 @@ def link(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFra
         follow = F.lit(1) + F.least(x["size"] - x["rank"] - 1, y["size"] - y["rank"] - 1)
         return (F.lit(den) * F.least(x["size"], y["size"]) >= F.lit(num) * F.greatest(x["size"], y["size"])) & (follow >= need)
 
-    groups = group(entries, possible, lambda pairs: jaccard_links(docs, pairs, n, num, den))
+    groups = group(entries, possible, lambda pairs: jaccard_links(docs, enough(pairs, held, num, den), n, num, den))
     of_rep = of_doc.join(groups, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     of_rep = of_rep.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "id_")
     return rows.join(of_rep, F.col("doc_id") == F.col("id_"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component."""
     gone = cut(link(docs.select("doc_id", "text"), n, num, den).where("component_id <> doc_id").select("doc_id").distinct())
-    some, rest = split_by(docs, "doc_id", gone)
-    return rest.unionByName(some.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    held, names = plain(docs), docs.columns
+    key = f"c{names.index('doc_id')}"
+    some, rest = split_by(held, key, gone)
+    return rest.unionByName(some.join(gone, F.col(key) == F.col("doc_id"), "left_anti")).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def test_ngram_join(spark, which):
 
 
 def test_keep_one(spark, docs):
-    groups, _ = near_groups(make_docs(), 4, 85)
+    groups, _ = near_groups(make_docs(), 5, 80)
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in groups.items() if i == g)
@@ -79,8 +79,8 @@ def test_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, frame(spark, rows), "").collect()) == [1, 3]
 
 
-def test_frequent_order_changes_nothing(spark, docs):
-    """Any order of n-grams gives the same groups."""
+def test_frequent_order_changes_nothing(spark, docs, monkeypatch):
+    """Any order of n-grams has columns of every set, and gives the same groups."""
     described = ngram_join.describe(docs)
     assert described.where("kind = 0").count() == docs.count()
     few = ngram_join.frequent(described, most=500)
@@ -88,6 +88,12 @@ def test_frequent_order_changes_nothing(spark, docs):
     for last in (np.zeros(0, K.U), few):
         size = {r.doc: r["count"] for r in ngram_join.first_columns(docs, last).groupBy("doc").count().collect()}
         assert all(n >= 1 for n in size.values())
+    groups, _ = near_groups(make_docs(), 4, 85)
+    for most in (0, 500):
+        monkeypatch.setattr(ngram_join, "FREQUENT", most)
+        monkeypatch.setattr(ngram_join, "frequent", lambda described, most=most, real=ngram_join.frequent: real(described, most))
+        assert {r.doc_id: r.component_id for r in ngram_join.link(docs).collect()} == groups
+        monkeypatch.undo()
 
 
 def test_ngram_second_step(spark, monkeypatch):
@@ -124,15 +130,68 @@ def test_fingerprints(spark):
 
 
 def test_unlike_signatures():
-    """A pair that shares a band is verified however few places of its signatures agree, and given once."""
+    """Pairs of a bucket: those at the edge of what a near copy's signatures can be are given, in chunks as in one piece."""
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 256, fingerprints.PERMS, dtype=np.uint8)
-    y = x.copy()
-    y[fingerprints.ROWS * 2 :: 3] ^= 1  # 174 of 256 agree: a near copy has odds for that, too
-    band = [0, 0, 1, 1]
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 8, 8]), pa.array(band), pa.array([1, 2, 1, 2]), pa.array([100] * 4), pa.array([1, 2, 1, 2]), pa.array([x.tobytes(), y.tobytes()] * 2, pa.binary())], ["key", "band", "id", "size", "component", "sig"])
-    got = [(a, b) for r in fingerprints.pairs_in_keys(iter([batch])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)]
-    assert (x == y).sum() < 190 and got == [(1, 2)]
+    n = fingerprints.BANDS * fingerprints.ROWS
+    x = rng.integers(0, 256, n, dtype=np.uint8)
+    y, z = x.copy(), x.copy()
+    y[fingerprints.ALIKE :] ^= 1
+    z[fingerprints.ALIKE - 1 :] ^= 2
+    sigs = pa.array([v.tobytes() for v in (x, y, z, x)], pa.binary())
+    for chunk, want in (([0, 0, 0, 0], [(1, 2), (1, 4), (2, 4)]), ([0, 1, 1, 0], [(1, 2), (2, 4)])):
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array([1, 2, 3, 4]), pa.array([100] * 4), pa.array([1, 2, 3, 4]), pa.array(chunk), sigs], ["bucket", "id", "size", "component", "chunk", "sig"])
+        got = [(a, b) for r in fingerprints.pairs_in_keys(iter([batch.slice(0, 2), batch.slice(2)])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)]
+        assert sorted(got) == want
+    stars = [tuple(r) for b in fingerprints.stars_in_keys(iter([batch.slice(0, 2), batch.slice(2)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert stars == [(1, 2, fingerprints.ALIKE), (1, 4, n)]
+
+
+def test_crowded_fingerprints(spark, monkeypatch):
+    """A passage that many documents share, and chains of near copies: as by brute force, in chunks of four too."""
+    rng, words = random.Random(7), vocabulary(5, 500)
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join(passage + [rng.choice(words) for _ in range(rng.randint(20, 50))])) for i in range(40)]
+    text = [rng.choice(words) for _ in range(120)]
+    for i in range(100, 130):
+        text = list(text)
+        text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    df = frame(spark, rows)
+    groups, _ = near_groups(rows, 5, 80)
+    for crowd in (4096, 4):
+        monkeypatch.setattr(fingerprints, "CROWD", crowd)
+        near = {r.id: r.component for r in fingerprints.near_copies(df, fingerprints.fingerprints(df)).collect()}
+        assert {i: near.get(i, i) for i in groups} == groups
+
+
+def families(n, copies, seed):
+    """Families of documents of 100 4-word shingles, one or two words changed in each."""
+    rng = random.Random(seed)
+    words = vocabulary(11, 2000)
+    rows = []
+    for f in range(n):
+        base = [rng.choice(words) for _ in range(103)]
+        for i in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((f * copies + i, " ".join(w)))
+    return rows
+
+
+def test_template_families(spark):
+    """Families whose n-grams are all frequent: every document gets the component that exact Jaccard gives it."""
+    rows = families(12, 90, 2)
+    sets = [(i, np.sort(s)) for (i, _), s in zip(rows, K.text_sets(pa.array([t for _, t in rows], pa.large_string()), 4), strict=True)]
+    f = Forest()
+    for n, (i, a) in enumerate(sets):
+        f.find(i)
+        for j, b in sets[n - n % 90 : n]:
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                f.join(i, j)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(frame(spark, rows).repartition(7)).collect()}
+    assert got == {i: f.find(i) for i, _ in rows}
 
 
 def test_fingerprint_edges(spark, edges, empty):
