@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -49,10 +50,12 @@ def give_back() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir, or that the session was given; a temporary one only where all runs on this machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafworks-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -12,19 +12,22 @@ their target through every meeting. Documents meet in bounded groups; each
 group leaves at most one document undecided, and those meet again one level
 up, a reduction tree whose levels shrink by the group's size. In a group the
 largest come first, so that the one left at the root tends to be a small one;
-it goes to the nearer side, so a source misses its target by half a document
-at most. All draws are
-hashes of the document, so reruns and retried tasks agree.
+it is drawn with its own odds, so a source misses its target by one small
+document at most, and every document is taken with the odds of its
+probability. All draws are hashes of the document, so reruns and retried
+tasks agree.
 
 Skew: groups are cut by a hash of the document inside a source, so a source
 with a third of all rows is many groups. Sizes are summed with partial
 aggregation; the table of sources, one row each, is joined back by its key.
+Weights and levels need the sources in one order, in one task: one narrow row
+a source, some hundred bytes, so a million sources are 100 MB there.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order. Documents of size 0 take nothing and get no copy beyond the
 whole part. Rows that repeat a doc_id are documents of their own with equal
 draws. An empty table gives no row. Extra columns pass through
-``with_copies`` and clash with nothing: its columns are carried in a struct.
+``with_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, plain, written
 
 #: Documents that meet in one group, about.
 GROUP = 64
@@ -107,7 +110,7 @@ def pivotal(open_docs: DataFrame, seed: int = 17, group: int = GROUP) -> DataFra
     """(id, take) for (source, id, draw, w, p) with 0 < p < 1 and w > 0: take 0 or 1 with odds p each.
 
     ``draw`` is a hash that orders and groups the documents. In every source
-    the sum of w * take differs from the sum of w * p by half a document at most.
+    the sum of w * take differs from the sum of w * p by one document at most.
     """
     kind = "struct<id:string,draw:bigint,w:double,p:double>"
     meet = _MEET.format(row=kind, choose=_CHOOSE.format(row=kind, seed=seed))
@@ -126,9 +129,9 @@ def pivotal(open_docs: DataFrame, seed: int = 17, group: int = GROUP) -> DataFra
         )
         met = cut(met.select("source", "groups", "acc"))
         done = met.select(F.explode("acc.out").alias("x")).select(F.col("x.m.id").alias("id"), F.col("x.take").alias("take"))
-        # At the root of a source, the last document goes to the nearer side.
+        # At the root of a source, the last document is drawn alone.
         left = met.where("acc.open is not null").select("source", "groups", F.col("acc.open").alias("m"))
-        root = left.where("groups = 1").select(F.col("m.id").alias("id"), (F.col("m.p") >= 0.5).cast("int").alias("take"))
+        root = left.where("groups = 1").select(F.col("m.id").alias("id"), (F.pmod(F.xxhash64("m.draw", F.lit(seed), F.lit("root")), F.lit(1 << 53)) / F.lit(float(1 << 53)) < F.col("m.p")).cast("int").alias("take"))
         decided = (done if decided is None else decided.unionByName(done)).unionByName(root)
         rows = left.where("groups > 1").select("source", "m", F.col("groups").alias("n"))
         level += 1
@@ -147,7 +150,8 @@ def mix_sources(docs: DataFrame, seed: int = 17, group: int = GROUP, cycle: tupl
     copies is the number of times that the mix takes the document, taken the
     words that makes; no document gets over ceil(``most``) copies.
     """
-    sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
+    # Texts are read and counted once.
+    sized = written(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
     targets = source_targets(sized, cycle, most).withColumnRenamed("source", "source_")
     rated = cut(
         sized.join(targets, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
@@ -169,11 +173,11 @@ def mix_sources(docs: DataFrame, seed: int = 17, group: int = GROUP, cycle: tupl
 
 def with_copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` takes it; no row for documents not taken."""
-    mixed = mix_sources(docs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).select(F.col("doc_id").alias("id_"), "copies")
-    names = docs.columns
-    rows = docs.select(F.col("doc_id").alias("id_doc_"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"))
-    rows = rows.join(mixed, F.col("id_doc_").eqNullSafe(F.col("id_")))
-    return rows.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row_").getField(c).alias(c) for c in names])
+    held, names = plain(docs), docs.columns
+    c = {n: F.col(f"c{names.index(n)}") for n in ("doc_id", "source", "text")}
+    mixed = mix_sources(docs.select("doc_id", "source", "text"), seed).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    met = held.join(mixed, c["doc_id"].eqNullSafe(F.col("doc_id")) & c["source"].eqNullSafe(F.col("source")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*held.columns).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,27 +1,31 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds to them.
 
 Base spans (e-mail, IP, card, phone) come from patterns alone and always
-stay. The field then labels every candidate word (one that holds a digit or
-an ``@``) of a document with one of the kinds or none. Its potentials:
-
-* unary: a multinomial logistic over the word's shape (digits, dots,
-  separators, checksums, octets, neighbours), trained here on a bounded
-  sample of documents whose words are labelled by the base patterns;
-* chain: between candidate words that are neighbours in the text;
-* skip: between distant words of a document with the same normal form
+stay. The field labels the tokens of a document with one of the kinds or
+none. Tokens are the base spans, the other words that hold a digit or an
+``@``, and echoes of base spans: the local part of an e-mail as a word, or
+the last seven digits of a number with any separators. Potentials:
+
+* unary: a multinomial logistic over the token's shape (digits, dots,
+  separators, checksums, octets, neighbours);
+* chain: between tokens that are neighbours in the text;
+* skip: between distant tokens of a document with the same normal form
   (letters and digits only), the same last seven digits, or an e-mail's
-  local part; each is tied to the next of its like, so a word repeated m
-  times makes m - 1 ties.
-
-Pairwise weights are log odds of agreement counted on the same sample
-(piecewise training). Words under base spans are clamped to their kind, and
-loopy sum-product passes carry that evidence along the ties, so that a bare
-repetition of a number that was marked somewhere is marked everywhere. A
-word becomes a span of the kind that ends above ``SURE``.
+  local part; each is tied to the first of its like, a marked one if there
+  is one, so evidence gets to any number of repetitions in one pass.
+
+All weights are learned together on a bounded sample of documents, by
+pseudo-likelihood: the odds of each token's label given its shape and the
+labels of its neighbours. Labels are those of the base patterns; as these
+never mark an echo, echoes are planted into the sample, each after a text
+that holds the entity, with the entity's label. Tokens under base spans are
+clamped to their kind, and loopy sum-product passes carry that evidence along
+the ties, so that a bare repetition of what was marked somewhere is marked
+everywhere. A token becomes a span of the kind that ends above ``SURE``.
 
 Scale: documents are independent, so there is one pass and no shuffle; the
-sample has ``TRAIN_DOCS`` documents at most. Words without a digit or ``@``
-have no potential but none and cost nothing. Patterns are applied from
+sample has ``TRAIN_DOCS`` documents at most, of a repeated doc_id one. Words
+that are no token have no potential but none and cost nothing. Patterns are applied from
 their anchor characters in linear time, also on very long texts.
 
 Offsets are code points, ends exclusive. Defined results: null and empty
@@ -32,8 +36,9 @@ gives no row.
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +63,11 @@ _TOUCHED = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
 _PLAIN = re.compile(r"[^0-9a-z]")
 _EDGES = ".,;:!?\"'()[]{}<>"
+_NAME = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?")
+_NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])+")
+
+#: Characters of a local part, and last digits of a number, that make an echo.
+LOCAL, TAIL = 5, 7
 
 
 def luhn(digits: str) -> bool:
@@ -119,6 +129,52 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def local_part(word: str) -> str:
+    return _PLAIN.sub("", word.lower().partition("@")[0])
+
+
+def echoes(text: str, entities: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where an entity's local part stands as a word, or its last digits with any separators."""
+    out = []
+    locals_ = {x for k, s, e in entities if k == 0 and len(x := local_part(text[s:e])) >= LOCAL}
+    if locals_:
+        for m in _NAME.finditer(text):
+            if _PLAIN.sub("", m[0].lower()) in locals_:
+                out.append((m.start(), m.end()))
+    tails = {x[-TAIL:] for k, s, e in entities if k in SEVERAL and len(x := digits_of(text[s:e])) >= TAIL}
+    if tails:
+        for m in _NUMBER.finditer(text):
+            if digits_of(m[0])[-TAIL:] in tails:
+                out.append((m.start(), m.end()))
+    return out
+
+
+def tokens(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(spans, labels) of a text in order: entities with 1 + kind, echoes and other candidates with 0; none overlap."""
+    out: list[tuple[int, int, int]] = []
+    end = -1
+    for k, s, e in sorted(base, key=lambda x: (x[1], -x[2], x[0])):
+        if s >= end:
+            out.append((s, e, k + 1))
+            end = e
+    for more in (echoes(text, [(k - 1, s, e) for s, e, k in out]), candidates(text)):
+        out.sort()
+        starts = [x[0] for x in out]
+        new, end = [], -1
+        for s, e in sorted(more):
+            i = bisect.bisect_right(starts, s)
+            if s >= end and (not i or out[i - 1][1] <= s) and (i == len(out) or out[i][0] >= e):
+                new.append((s, e, 0))
+                end = e
+        out += new
+    out.sort()
+    return [(s, e) for s, e, _ in out], np.array([k for *_, k in out], np.int64)
+
+
 N_FEATURES = 22
 
 
@@ -127,8 +183,8 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     x = np.zeros((len(spans), N_FEATURES), np.float32)
     x[:, 0] = 1
     for i, (s, e) in enumerate(spans):
-        w = text[s:e] if e - s <= 256 else text[s : s + 128] + text[e - 128 : e]
-        digits = [c for c in w if "0" <= c <= "9"]
+        w = text[s:e]
+        digits = digits_of(w)
         n, letters, dots = len(digits), sum(c.isalpha() for c in w), w.count(".")
         x[i, 1 + min(n, 4)] = 1  # 0, 1, 2, 3, more digits
         x[i, 6] = 7 <= n <= 12
@@ -140,7 +196,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         x[i, 12] = "@" in w and "." in w.rpartition("@")[2]
         x[i, 13] = dots == 3 and n + 3 == len(w)
         x[i, 14] = x[i, 13] and all(p and int(p[-4:]) <= 255 and len(p) <= 3 for p in w.split("."))
-        x[i, 15] = 13 <= n <= 19 and letters == 0 and luhn("".join(digits))
+        x[i, 15] = 13 <= n <= 19 and letters == 0 and luhn(digits)
         x[i, 16] = w[0] == "+" or (s > 0 and text[s - 1] == "+")
         x[i, 17] = "-" in w
         x[i, 18] = s > 0 and text[s - 1] == "("
@@ -151,35 +207,25 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return x
 
 
-def marks(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
-    """Label of each candidate by the base spans: 0, or 1 + kind of the first that overlaps it."""
-    out = np.zeros(len(spans), np.int64)
-    if spans and base:
-        starts, ends = np.array([s for s, _ in spans]), np.array([e for _, e in spans])
-        for k, s, e in reversed(base):
-            lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
-            out[lo:hi] = k + 1
-    return out
-
-
-def ties(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, skip) pairs of candidates, each an array of (i, j)."""
+def ties(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chain, skip) pairs of tokens, each an array of (i, j)."""
     chain = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 3]
-    seen: dict[tuple[int, str], int] = {}
-    skip = set()
+    alike: dict[tuple[int, str], list[int]] = {}
     for i, (s, e) in enumerate(spans):
         word = text[s:e].lower()
-        plain = _PLAIN.sub("", word)
-        digits = "".join(c for c in plain if c.isdigit())
-        keys = [(0, plain)] if len(plain) >= 4 else []
-        if len(digits) >= 7:
-            keys.append((1, digits[-7:]))
-        if "@" in word and len(local := _PLAIN.sub("", word.partition("@")[0])) >= 5:
-            keys.append((0, local))
+        plain_ = _PLAIN.sub("", word)
+        digits = digits_of(plain_)
+        keys = {(0, plain_)} if len(plain_) >= 4 else set()
+        if len(digits) >= TAIL:
+            keys.add((1, digits[-TAIL:]))
+        if "@" in word and len(local := local_part(word)) >= LOCAL:
+            keys.add((0, local))
         for key in keys:
-            if key in seen and seen[key] != i:
-                skip.add((seen[key], i))
-            seen[key] = i
+            alike.setdefault(key, []).append(i)
+    skip = set()
+    for members in alike.values():
+        hub = next((i for i in members if labels[i]), members[0])
+        skip |= {(min(hub, i), max(hub, i)) for i in members if i != hub}
     return np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(skip), np.int64).reshape(-1, 2)
 
 
@@ -226,20 +272,46 @@ def _logsum3(a: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=1, keepdims=True)))[:, 0, :]
 
 
-def train(texts: list[str], epochs: int = 300) -> Field | None:
-    """Piecewise training on words labelled by the base patterns."""
-    n = len(KINDS) + 1
+def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text and, after it, half of its entities once more as echoes: (text, their spans with 1 + kind)."""
+    out, spans = text, []
+    for k, s, e in base_spans(text):
+        digits = digits_of(text[s:e])
+        echo = local_part(text[s:e]) if k == 0 else digits[-max(TAIL, len(digits) - rng.randint(0, 2)) :] if k == 3 and len(digits) >= TAIL else ""
+        if len(echo) < LOCAL or rng.random() < 0.5:
+            continue
+        lead = rng.choice(["\nas ", "\nsee (", "\n", "\nagain: "])
+        spans.append((len(out) + len(lead), len(out) + len(lead) + len(echo), k + 1))
+        out += lead + echo + " again"
+    return out, spans
+
+
+def neighbours(pairs: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Per token, how many of its neighbours have each label."""
+    out = np.zeros((len(labels), n))
+    for i, j in ((0, 1), (1, 0)):
+        np.add.at(out, (pairs[:, i], labels[pairs[:, j]]), 1)
+    return out
+
+
+def train(texts: list[str], epochs: int = 400) -> Field | None:
+    """Unary and pairwise weights together, by the pseudo-likelihood of the labels."""
+    n, rng = len(KINDS) + 1, random.Random(11)
     xs, ys = [], []
-    pair = [np.ones((n, n)), np.ones((n, n))]
     for text in texts:
-        spans = candidates(text)
+        text, extra = planted(text, rng)
+        base = base_spans(text)
+        spans, marked = tokens(text, base)
         if not spans:
             continue
-        y = marks(spans, base_spans(text))
-        xs.append(features(text, spans))
+        y = marked.copy()
+        at = {x: i for i, x in enumerate(spans)}
+        for s, e, k in extra:
+            if (i := at.get((s, e))) is not None and not y[i]:
+                y[i] = k
+        chain, skip = ties(text, spans, marked)
+        xs.append(np.column_stack([features(text, spans), neighbours(chain, y, n), neighbours(skip, y, n)]))
         ys.append(y)
-        for counts, edges in zip(pair, ties(text, spans), strict=True):
-            np.add.at(counts, (y[edges[:, 0]], y[edges[:, 1]]), 1)
     if not xs:
         return None
     x, y = np.concatenate(xs).astype(float), np.concatenate(ys)
@@ -248,23 +320,14 @@ def train(texts: list[str], epochs: int = 300) -> Field | None:
     w = np.zeros((x.shape[1], n))
     first, second = np.zeros_like(w), np.zeros_like(w)
     hot = np.eye(n)[y]
+    decay = np.full((len(w), 1), 1e-4)
     for step in range(1, epochs + 1):
         p = np.exp((z := x @ w) - _logsum(z))
-        g = x.T @ ((p - hot) * times[:, None]) + 1e-4 * w
+        g = x.T @ ((p - hot) * times[:, None]) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    share = np.bincount(y, weights=times, minlength=n) + 1e-3
-    share /= share.sum()
-    # Log odds of a pair against independence, symmetric, and bounded so that loops settle and shapes weigh more.
-    potentials = []
-    for counts in pair:
-        both = (counts + counts.T) / (2 * counts.sum())
-        potentials.append(np.clip(np.log(both) - np.log(np.outer(both.sum(1), both.sum(1))), -1, 1))
-    # Neighbours attract each other within a kind alone: what stands side by side may be a phone and then a card.
-    potentials[0] = np.where(np.eye(n, dtype=bool), np.maximum(potentials[0], 0.0), 0.0)
-    # Words of one normal form never disagree on kind when both are marked; the tie says so at least.
-    potentials[1] = np.where(np.eye(n, dtype=bool), np.maximum(potentials[1], 1.0), np.minimum(potentials[1], -1.0))
-    return Field(w, *potentials)
+    chain, skip = w[N_FEATURES : N_FEATURES + n], w[N_FEATURES + n :]
+    return Field(w[:N_FEATURES], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
 def find(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -272,16 +335,16 @@ def find(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]], li
     if not _TOUCHED.search(text):
         return [], []
     base = base_spans(text)
-    if field is None or not (spans := candidates(text)):
+    if field is None:
         return base, base
-    clamp = marks(spans, base)
-    if not (clamp == 0).any():
+    spans, labels = tokens(text, base)
+    if not (labels == 0).any():
         return base, base
-    p = field.beliefs(features(text, spans), clamp, *ties(text, spans))
+    p = field.beliefs(features(text, spans), labels, *ties(text, spans, labels))
     best = p.argmax(axis=1)
     added: list[tuple[int, int, int]] = []
     last = -2
-    for i in np.flatnonzero((clamp == 0) & (best > 0) & (p.max(axis=1) >= SURE)).tolist():
+    for i in np.flatnonzero((labels == 0) & (best > 0) & (p.max(axis=1) >= SURE)).tolist():
         kind, (s, e) = int(best[i]) - 1, spans[i]
         # Neighbours of one kind are one entity.
         if last == i - 1 and added[-1][0] == kind and s - added[-1][2] <= 3 and kind in SEVERAL:
@@ -311,10 +374,11 @@ def sample_texts(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([near_candidates(t or "") for t in batch.column(0).to_pylist()], pa.string())], ["near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([near_candidates(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "near"])
 
-    near = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(released(run), "near string")
-    return sorted(near.where("near <> ''").toArrow()["near"].to_pylist())
+    near = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, near string")
+    near = near.where("near <> ''").groupBy("doc_id").agg(F.min("near").alias("near"))  # one text of a repeated id
+    return sorted(near.select("near").toArrow()["near"].to_pylist())
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:

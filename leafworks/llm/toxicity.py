@@ -79,9 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
                 sets = [(key[a:b] & ((1 << bits) - 1)).astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "toxic", "terms"])
 
-    # Texts are found by their ids; repeated ids give repeated rows.
+    # Texts are found by their ids; of a repeated id one text counts.
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
-    got = marked.mapInArrow(released(terms), "doc_id long, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("terms", "ascending")])
+    sets = marked.mapInArrow(released(terms), "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
+    got = sets.toArrow().sort_by([("doc_id", "ascending")])
     return train(got["toxic"].to_numpy(), [np.frombuffer(x, "<i4") for x in got["terms"].to_pylist()], bits)
 
 

@@ -1,5 +1,6 @@
 """Line groups, n-gram joins, fingerprints: against brute force over all pairs."""
 
+import collections
 import hashlib
 import random
 import re
@@ -229,8 +230,8 @@ def near_lines(x, y):
     most = int(max(len(x), len(y)) * 0.1 + 1e-9)
     if min(len(x), len(y)) < 10 or abs(len(x) - len(y)) > most:
         return False
-    a, b = (np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in (x, y))
-    return np.maximum(a - b, 0).sum() <= 4 * most and edits(x, y, most) <= most  # four bytes a character at most
+    a, b = (collections.Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (x, y))
+    return (a - b).total() <= 2 * most and (b - a).total() <= 2 * most and edits(x, y, most) <= most  # an edit changes two pairs of characters
 
 
 def removed(rows, meet):
@@ -262,7 +263,7 @@ def line_keys(texts):
     out = {x: set() for x in texts}
     sparse = (lines.after[at] - lines.first[at]) * line_dedup.WORD_CHARS < size
     for k, m in enumerate(line_dedup.MODES):
-        of = np.flatnonzero((size >= m.low) & (size <= m.high) & ~(m.words & sparse) | (k == line_dedup.BY_BYTES) & sparse & (size > m.high))
+        of = np.flatnonzero((size >= m.low) & (size <= m.high) & ~((not m.gram) & sparse) | (k == line_dedup.BY_BYTES) & sparse & (size > m.high))
         for rows, keys in line_dedup.line_keys(k, line_dedup.packed(lines.blocks(at[of], m), m.bits)):
             for i, key in zip(of[rows].tolist(), keys.tolist(), strict=True):
                 out[texts[lines.doc[at[i]]]].add(key)
