@@ -14,7 +14,9 @@ the Jaccard of the whole shingle sets, at least 0.8, and linked groups are
 found as ``grouping`` describes, without writing out all pairs. Pairs are
 formed inside tasks, where signatures are there: one is left out if the sizes
 or under ``ALIKE`` of the bands' 125 places agree, for which a pair at
-Jaccard 0.8 has odds of 1e-7. Equal shingle sets are one item first.
+Jaccard 0.8 has odds of 1e-7. What stars leave open is compared and verified
+inside the tasks of the keys, which give as many links as they have documents
+at most. Equal shingle sets are one item first.
 
 Scale: texts shuffle once, to be in the order of their ids: then a document
 and its next one are neighbours in a task, and only the first and the last
@@ -44,13 +46,16 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .common import cut, released, small_batches, table, written
 from .grouping import group, shared_entries
-from .ngram_join import jaccard_links
+from .ngram_join import fetch_texts, jaccard_links
 
 WORDS, PERMS, BANDS, ROWS = 5, 256, 25, 5
 NUM, DEN = 80, 100
 
 #: Places of the bands that agree in a pair worth verifying, at least; documents of a key that are compared in one task.
-ALIKE, CROWD = 75, 4096
+ALIKE, CROWD = 75, 1024
+
+#: The bits of a key that number its band.
+BAND = 31
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 64, PERMS, dtype=np.uint64) | np.uint64(1)
@@ -156,14 +161,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """(whether a new bucket begins, columns) of every run of equal buckets in rows (bucket, id, size, component, chunk, sig) sorted by bucket."""
+    """(whether a new bucket begins, the bucket and columns) of every run of equal buckets in rows (bucket, id, size, component, chunk, sig) sorted by bucket."""
     last = None
     for batch in batches:
         cols = [batch.column(c).to_numpy().astype(np.int64) for c in range(5)]
         sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(cols[0]) else []
         for lo, hi in zip(edge, [*edge[1:], len(cols[0])], strict=True):
-            yield cols[0][lo] != last, [*[c[lo:hi] for c in cols[1:]], sigs[lo:hi]]
+            yield cols[0][lo] != last, [cols[0][lo], *[c[lo:hi] for c in cols[1:]], sigs[lo:hi]]
             last = cols[0][lo]
 
 
@@ -176,7 +181,7 @@ def _near(p: list[np.ndarray], x: np.ndarray, q: list[np.ndarray], y: np.ndarray
 def stars_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, like): the first of each bucket with those of the others that may be near copies, row by row."""
     lead: list[np.ndarray] = []
-    for new, (ids, sizes, _, _, sigs) in _runs(batches):
+    for new, (_, ids, sizes, _, _, sigs) in _runs(batches):
         rows = [ids, sizes, sigs]
         if new:
             lead = [c[:1] for c in rows]
@@ -184,31 +189,90 @@ def stars_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), lead[0][0])), pa.array(ids[near]), pa.array((sigs[near] == lead[2]).sum(axis=1).astype(np.int32))], ["a", "b", "like"])
 
 
-def pairs_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a bucket that may be near copies.
+def near_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, chunk): the rows of each bucket that have another there which may be a near copy.
 
-    Of different components, and of different chunks where a bucket has two.
+    Of a different component, and of a different chunk where a bucket has
+    two; a pair that shares several bands counts in the first one's bucket.
     """
     held: list[list[np.ndarray]] = []
 
-    def bucket() -> pa.RecordBatch:
+    def bucket(key: int) -> pa.RecordBatch:
         ids, sizes, comps, chunk, sigs = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        out, rows, two = [np.zeros((0, 2), np.int64)], [ids, sizes, sigs], chunk.min() < chunk.max()
+        found, rows, two = np.zeros(len(ids), bool), [ids, sizes, sigs], chunk.min() < chunk.max()
         for lo in range(0, len(ids), 64):
             i = slice(lo, lo + 64)
             p, q = np.nonzero((comps[i, None] != comps[None]) & (ids[i, None] < ids[None]) & ((chunk[i, None] != chunk[None]) | (not two)))
             for s in range(0, len(p), 1 << 14):
                 x, y = p[s : s + (1 << 14)] + lo, q[s : s + (1 << 14)]
                 near = _near(rows, x, rows, y)
-                out.append(np.column_stack([ids[x[near]], ids[y[near]]]))
-        pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                x, y = x[near], y[near]
+                here = (sigs[x] == sigs[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == key & BAND
+                found[x[here]] = found[y[here]] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.full(found.sum(), key)), pa.array(ids[found]), pa.array(chunk[found])], ["bucket", "id", "chunk"])
 
-    for new, columns in _runs(batches):
+    key = 0
+    for new, (bucket_, *columns) in _runs(batches):
         if new and held:
-            yield bucket()
+            yield bucket(key)
+        key = int(bucket_)
         held.append(columns)
+    if held:
+        yield bucket(key)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: a product of incidences, blocked by columns."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)  # whole numbers to 2**24
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, [lo, lo + 4096])
+        part = np.zeros((n, 4096), np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def links_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (bucket, id, chunk, text) sorted by bucket: near copies by the whole sets, as many as join what they join, fewer than the rows."""
+    held: list[tuple[int, int, str]] = []
+
+    def bucket() -> pa.RecordBatch:
+        ids, chunk = (np.array(x) for x in list(zip(*held, strict=True))[:2])
+        sets = text_sets([t for *_, t in held])
+        held.clear()
+        both = overlaps(sets)
+        sizes = np.diagonal(both)
+        near = DEN * both >= NUM * (sizes[:, None] + sizes[None] - both)
+        near &= (chunk[:, None] != chunk[None]) | (chunk.min() == chunk.max())
+        out, seen = [], np.zeros(len(ids), bool)
+        for start in range(len(ids)):
+            ready = [] if seen[start] else [start]
+            seen[start] = True
+            while ready:
+                u = ready.pop()
+                met = np.flatnonzero(near[u] & ~seen)
+                seen[met] = True
+                ready += met.tolist()
+                out += [(ids[u], ids[v]) for v in met]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        for key, id_, chunk, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if held and key != last:
+                yield bucket()
+            held.append((id_, chunk, text or ""))
+            last = key
     if held:
         yield bucket()
 
@@ -224,7 +288,8 @@ def near_copies(docs: DataFrame, described: DataFrame) -> DataFrame:
     # Written, so that the join reads plain shuffles and a set with very many copies can be split.
     reps = written(described.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(sig).alias("sig")))
     of_doc = cut(described.select("doc_id", *same).join(reps.select("rep", *same), same).select("doc_id", "rep"))
-    band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)]))
+    numbered = lambda h, i: h.bitwiseAND(F.lit(~BAND)).bitwiseOR(i)
+    band = F.explode(F.array(*[numbered(F.xxhash64(F.substring("sig", i * ROWS + 1, ROWS)), F.lit(i)) for i in range(BANDS)]))
     # What shuffles 25 times a document is two numbers.
     entries = shared_entries(reps.select(band.alias("key"), F.col("rep").alias("id")))
     entries = written(entries)
@@ -243,8 +308,10 @@ def near_copies(docs: DataFrame, described: DataFrame) -> DataFrame:
         many = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).cast("int").alias("many")).withColumnRenamed("key", "key_")
         rows = mixed.join(many, F.col("key") == F.col("key_")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("many")).cast("long"))
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)))
-        rows = placed(rows.withColumn("bucket", F.when(F.col("many") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "with"), F.greatest("chunk", "with")))))
-        return rows.drop("copies").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(pairs_in_keys), "a long, b long").distinct()
+        rows = placed(rows.withColumn("bucket", F.when(F.col("many") == 1, F.col("key")).otherwise(numbered(F.xxhash64("key", F.least("chunk", "with"), F.greatest("chunk", "with")), F.col("key").bitwiseAND(F.lit(BAND))))))
+        near = written(rows.drop("copies").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(near_in_keys), "bucket long, id long, chunk long"))
+        met = near.join(fetch_texts(docs, near.select("id").distinct()), "id").select("bucket", "id", "chunk", "text")
+        return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(links_in_keys), "a long, b long").where("a <> b").distinct()
 
     groups = group(entries, lambda x, y: F.lit(True), lambda pairs: jaccard_links(docs, pairs, WORDS, NUM, DEN), stars, rest)
     of_doc = of_doc.join(groups.withColumnRenamed("id", "id_"), F.col("rep") == F.col("id_"), "left")

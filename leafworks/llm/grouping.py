@@ -60,13 +60,13 @@ def group(entries: DataFrame, possible: Pairing, verify: Verify, stars: DataFram
     shared keys only. possible: whether two entries of a key can belong to a
     link, from their columns by name. verify: the pairs (a, b) that are links.
     stars: the pairs of the first step, where the caller forms them itself;
-    rest: forms the pairs of the second step, from the mixed entries.
+    rest: finds the links of the second step itself, from the mixed entries.
     """
     first = cut(verify(star_pairs(entries, possible) if stars is None else stars))
     groups = components(first)
     mixed = written(mixed_entries(entries, groups))
     if rest is not None:
-        pairs = rest(mixed)
+        second = cut(rest(mixed))
     else:
         names = [c for c in entries.columns if c not in ("key", "copies")]
         fields = lambda s: {c: F.col(f"{s}.{c}") for c in names}
@@ -74,6 +74,6 @@ def group(entries: DataFrame, possible: Pairing, verify: Verify, stars: DataFram
         right = mixed.select(F.col("key").alias("key_"), F.struct(*names, "component").alias("y"))
         met = left.join(right, (F.col("key") == F.col("key_")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & possible(fields("x"), fields("y")))
         pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cut(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(known, ["a", "b"], "left_anti")))
+        known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = cut(verify(pairs.join(known, ["a", "b"], "left_anti")))
     return groups if second.isEmpty() else components(first.unionByName(second))

@@ -139,14 +139,22 @@ def test_unlike_signatures():
     y[fingerprints.ALIKE :] ^= 1
     z[fingerprints.ALIKE - 1 :] ^= 2
     sigs = pa.array([v.tobytes() for v in (x, y, z, x)], pa.binary())
-    for chunk, want in (([0, 0, 0, 0], [(1, 2), (1, 4), (2, 4)]), ([0, 1, 1, 0], [(1, 2), (2, 4)])):
-        batch = pa.RecordBatch.from_arrays([pa.array([7] * 4), pa.array([1, 2, 3, 4]), pa.array([100] * 4), pa.array([1, 2, 3, 4]), pa.array(chunk), sigs], ["bucket", "id", "size", "component", "chunk", "sig"])
-        got = [(a, b) for r in fingerprints.pairs_in_keys(iter([batch.slice(0, 2), batch.slice(2)])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)]
-        assert sorted(got) == want
+    names = ["bucket", "id", "size", "component", "chunk", "sig"]
+    for bucket, chunk, want in ((32, [0, 0, 0, 0], [1, 2, 4]), (32, [0, 1, 1, 0], [1, 2]), (33, [0, 0, 0, 0], [])):
+        batch = pa.RecordBatch.from_arrays([pa.array([bucket] * 4), pa.array([1, 2, 3, 4]), pa.array([100] * 4), pa.array([1, 2, 2, 4]), pa.array(chunk), sigs], names)
+        got = [i for r in fingerprints.near_in_keys(iter([batch.slice(0, 2), batch.slice(2)])) for i in r.column(1).to_pylist()]
+        assert got == want if bucket == 33 or chunk[1] == 0 else set(got) >= set(want)
     stars = [tuple(r) for b in fingerprints.stars_in_keys(iter([batch.slice(0, 2), batch.slice(2)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert stars == [(1, 2, fingerprints.ALIKE), (1, 4, n)]
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(K.U)) for _ in range(20)]
+    got = fingerprints.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets))
+
+
 def test_crowded_fingerprints(spark, monkeypatch):
     """A passage that many documents share, and chains of near copies: as by brute force, in chunks of four too."""
     rng, words = random.Random(7), vocabulary(5, 500)
