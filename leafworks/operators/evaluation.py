@@ -45,7 +45,8 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): correlation of average ranks; null if either side doesn't vary."""
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = full.withColumn("rx", average_rank(x, keys)).withColumn("ry", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    parts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rx", "ry").alias("both_"), F.stddev_pop("rx").alias("sx_"), F.stddev_pop("ry").alias("sy_"))
+    return parts.select(*keys, "n", F.try_divide("both_", F.nullif(F.col("sx_") * F.col("sy_"), F.lit(0.0))).alias("rho"))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -74,5 +75,15 @@ def cells(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
     return rows.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
+def metrics(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Automatic measures of answers (rendered, said, held, text): the share that renders, of the numbers held those said (null without any), the share with citations, citations a line."""
+    cites = F.regexp_count("text", F.lit(r"\[\d+\]"))
+    covered = F.when(F.size("held") > 0, F.size(F.array_intersect("said", "held")) / F.size("held"))
+    return answers.groupBy(*keys).agg(
+        F.round(F.avg(F.col("rendered").cast("int")), 6).alias("m1_render_rate"), F.round(F.avg(covered), 6).alias("m2_numbers"),
+        F.round(F.avg((cites > 0).cast("int")), 6).alias("m3_cited"), F.round(F.avg(cites / F.size(F.split(F.trim("text"), "\n"))), 6).alias("m4_citation_density"),
+    )
+
+
 def decision(r: Column, effect: Column) -> Column:
     return F.when((r >= 0.5) & (effect >= 5), "GO").when(r >= 0.5, "REFRAME").when(r < 0.3, "PIVOT").otherwise("JUDGE FIX")

@@ -11,12 +11,30 @@ from pyspark.sql import functions as F
 from ..functions.text import clip
 
 
+#: Ids in a block of document numbers.
+BLOCK = 4096
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, source, doc_no): documents number from 1 within their bundle, by ids.
+
+    In two levels, so that a bundle with a third of all documents is many
+    blocks: places within a block of ids, and the sums of the blocks before.
+    """
+    ids = docs.select(F.col(id_col), "source", F.coalesce(F.floor(F.col(id_col) / F.lit(BLOCK)), F.lit(-(1 << 62))).alias("block")).distinct()
+    blocks = ids.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("source").alias("source_"), F.col("block").alias("block_"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("source", "block").orderBy(id_col))
+    met = ids.withColumn("place", place).join(blocks, F.col("source").eqNullSafe(F.col("source_")) & (F.col("block") == F.col("block_")))
+    return met.select(id_col, "source", (F.col("place") + F.col("before")).cast("int").alias("doc_no"))
+
+
 def split_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A page per line of a text; documents number within their bundle (``source``)."""
-    numbered = docs.select(F.col(id_col), "source", F.dense_rank().over(Window.partitionBy("source").orderBy(id_col)).alias("doc_no"))
     lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "content"))
     pages = lines.select(id_col, (F.col("pos") + 1).alias("idx"), (F.col("pos") + 1).alias("page"), F.concat(F.lit("doc_"), F.col(id_col).cast("string")).alias("filename"), "content")
-    return pages.join(numbered, id_col)
+    return pages.join(numbered(docs, id_col), id_col)
 
 
 def page_lines(docs: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Which blocks patches may touch, and which only grow.
-PATCHABLE = ("RULES", "STYLE", "LANGUAGE", "OUTPUT_FORMAT")
-PATCHABLE_PREFIXES = ("TOOLS_", "CUSTOM_")
+#: Which blocks patches may touch, which only grow, and what a patch's metadata hold.
+PATCHABLE = ("RULES_BLOCK",)
+PATCHABLE_PREFIXES = ("TOOLS_",)
 APPEND_ONLY_PREFIXES = ("TOOLS_",)
 ACTIONS = ("append", "replace", "prepend")
+META_FIELDS = {"owner": r"^[a-zA-Z0-9_]+$", "version": r"^[a-zA-Z0-9_.\-]+$"}
 
 
 def blocks(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -27,30 +28,50 @@ def _starts(c: str, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
+def tool_names(text: Column) -> Column:
+    """Names of the tools in a block: its JSON objects, one a line."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1)))
+
+
 def check(blocks_: DataFrame, patches_: DataFrame) -> DataFrame:
-    """(block_id, action, patch, errors): patches with what forbids them."""
-    met = patches_.join(blocks_.select("block_id", "sealed", F.lit(True).alias("known")), "block_id", "left")
+    """The patches with what forbids them, as ``errors``; blocks are a prompt's, a few."""
+    known = blocks_.select("block_id", "sealed", F.lit(True).alias("known"))
+    there = blocks_.where(_starts("block_id", PATCHABLE_PREFIXES)).agg(F.array_distinct(F.flatten(F.collect_list(tool_names(F.col("content"))))).alias("there"))
+    met = patches_.join(F.broadcast(known), "block_id", "left").join(F.broadcast(there))
     allowed = F.col("block_id").isin(*PATCHABLE) | _starts("block_id", PATCHABLE_PREFIXES)
-    tool = F.col("block_id").startswith("TOOLS_") & (F.trim("patch") != "") & (F.col("action") == "append") & F.get_json_object(F.regexp_replace(F.trim("patch"), "^,", ""), "$.name").isNull()
+    text = F.regexp_replace(F.trim("patch"), "^,", "")
+    tool, name = _starts("block_id", PATCHABLE_PREFIXES) & (text != "") & (F.col("action") == "append"), F.get_json_object(text, "$.name")
+    broken = F.try_parse_json(text).isNull()
     errors = F.when(F.col("known").isNull(), F.array(F.lit("unknown block"))).when(F.col("sealed"), F.array(F.lit("sealed block"))).when(~allowed, F.array(F.lit("block can't be patched"))).otherwise(F.array_compact(F.array(
         F.when(~F.col("action").isin(*ACTIONS), F.lit("unknown action")),
-        F.when(_starts("block_id", APPEND_ONLY_PREFIXES) & (F.col("action") == "replace"), F.lit("only append is allowed")),
-        F.when(tool, F.lit("tool lacks a name")),
+        F.when(_starts("block_id", APPEND_ONLY_PREFIXES) & F.col("action").isin("replace", "prepend"), F.lit("only append is allowed")),
+        F.when(tool & broken, F.lit("tool is no JSON")),
+        F.when(tool & ~broken & name.isNull(), F.lit("tool lacks a name")),
+        F.when(tool & F.array_contains("there", name), F.concat(F.lit("tool "), name, F.lit(" is there already"))),
     )))
-    return met.select("block_id", "action", "patch", errors.alias("errors"))
+    return met.select(*patches_.columns, errors.alias("errors"))
+
+
+def check_meta(meta: Column) -> Column:
+    """Errors of a patch's metadata, a map of strings: required fields that are missing or misspelt."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(meta[k], F.lit("")) == "", F.lit(f"missing {k}")).when(~meta[k].rlike(form), F.lit(f"{k} is misspelt")) for k, form in META_FIELDS.items()]))
 
 
 def valid(blocks_: DataFrame, patches_: DataFrame) -> DataFrame:
     return check(blocks_, patches_).where(F.size("errors") == 0)
 
 
-def apply(blocks_: DataFrame, patches_: DataFrame) -> DataFrame:
-    """Blocks with their patches applied; one patch a block. ``prepend`` puts the patch first."""
-    met = blocks_.join(patches_.select("block_id", "action", "patch"), "block_id", "left")
+def patched(met: DataFrame) -> DataFrame:
+    """Rows of blocks with a patch (action, patch): the content that the patch makes. ``prepend`` puts the patch first."""
     text = F.when(F.col("action") == "append", F.concat("content", F.lit("\n"), "patch")).when(F.col("action") == "prepend", F.concat("patch", F.lit("\n"), "content")).when(F.col("action") == "replace", F.col("patch")).otherwise(F.col("content"))
     return met.withColumn("content", text).drop("action", "patch")
 
 
+def apply(blocks_: DataFrame, patches_: DataFrame) -> DataFrame:
+    """Blocks with their patches applied; one patch a block."""
+    return patched(blocks_.join(patches_.select("block_id", "action", "patch"), "block_id", "left"))
+
+
 def with_tools(blocks_: DataFrame, tools: DataFrame) -> DataFrame:
     """Blocks and a block per tool (name, definition), in order from 60 in steps of 5."""
     place = 60 + 5 * (F.row_number().over(Window.orderBy("name")) - 1)

@@ -35,24 +35,74 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+#: Probes and vectors that a task compares at once.
+PROBES, VECTORS = 1024, 1 << 15
+
+
+def nearest(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0, n_probes: int = PROBES, n_vectors: int = VECTORS) -> DataFrame:
+    """(probe, vec_id, score, rank): the k nearest of (vec_id, embedding) for every probe, itself left out, by cosine to nine places.
+
+    Blocks of probes meet blocks of vectors, each pair in a task of its own,
+    which keeps its k best of each probe. Cosines with a vector of zeros, or
+    of another length, are 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    one = lambda df, n: max(1, -(-df.count() // n))
+    blocks, parts = one(probes, n_probes), one(vectors, n_vectors)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), mine(parts).alias("part")).withColumn("block", spread(blocks))
+    right = probes.select(F.col("vec_id").alias("of"), F.col("embedding").cast("array<double>").alias("x"), mine(blocks).alias("block")).withColumn("part", spread(parts))
+
+    def matrix(rows: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(rows), size))
+        for i, x in enumerate(rows["x"].to_pylist()):
+            if x is not None and len(x) == size and None not in x:
+                out[i] = x
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return rows[name].to_numpy(), np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+    def compare(vs: pa.Table, ps: pa.Table) -> pa.Table:
+        if not len(vs) or not len(ps):
+            vs = ps = pa.table({"vec_id": pa.array([], pa.int64()), "of": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64()))})
+        size = max((len(x) for x in ps["x"].to_pylist() if x is not None), default=0)
+        (ids, x), (of, q) = matrix(vs, "vec_id", size), matrix(ps, "of", size)
+        out = []
+        for probe, row in zip(of, np.round(q @ x.T, 9), strict=True):
+            good = np.flatnonzero((ids != probe) & ((row > least) | (least <= 0)))
+            if len(good) > k:
+                good = good[row[good] >= np.partition(row[good], -k)[-k]]
+            good = good[np.lexsort((ids[good], -row[good]))][:k]
+            out += [(int(probe), int(ids[i]), float(row[i])) for i in good]
+        cols = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("probe", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, "probe long, vec_id long, score double")
+    return top_k(best, ["probe"], [F.col("vec_id")], k)
+
+
 def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_key: str, least: int = 2, share: float = 0.4) -> DataFrame:
     """(query, n_words, page key, score): pages that hold enough distinct words of a query.
 
     Enough is ``least`` and the share of the query's words. A page that
     holds m of n words holds one of any n - m + 1 of them, so only a query's
     words that fewest queries have are joined (an equi-join; common words
-    mostly stay out), and whole word sets are compared for pairs that meet.
-    Pages shuffle only once they match.
+    mostly stay out), by words and keys alone; whole word sets travel once,
+    for pages that meet a query, and are compared there.
     """
     asked = queries.select(query_key, F.array_distinct(keywords("text")).alias("asked")).withColumn("n_words", F.size("asked"))
     asked = asked.withColumn("need", F.greatest(F.lit(float(least)), F.col("n_words") * F.lit(share)))
-    words = asked.select("*", F.explode("asked").alias("word"))
+    words = asked.select(query_key, "n_words", "need", F.explode("asked").alias("word"))
     words = words.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("word")))
     place = F.row_number().over(Window.partitionBy(query_key).orderBy("often", "word"))
-    first = words.withColumn("place", place).where(F.col("place") <= F.col("n_words") - F.ceil("need") + 1)
-    held = pages.select(*page_key, F.array_distinct(keywords("content")).alias("held")).select("*", F.explode("held").alias("word"))
-    met = held.join(first.select("word", query_key, "n_words", "need", "asked"), "word").withColumn("score", F.size(F.array_intersect("held", "asked")).cast("long"))
-    return met.where(F.col("score") >= F.col("need")).groupBy(query_key, "n_words", *page_key).agg(F.first("score").alias("score"))
+    first = words.withColumn("place", place).where(F.col("place") <= F.col("n_words") - F.ceil("need") + 1).select("word", query_key)
+    held = pages.select(*page_key, F.array_distinct(keywords("content")).alias("held"))
+    met = held.select(*page_key, F.explode("held").alias("word")).join(first, "word").select(query_key, *page_key).distinct()
+    sets = held.join(met.groupBy(*page_key).agg(F.collect_set(query_key).alias("by")), page_key).select(*page_key, "held", F.explode("by").alias(query_key))
+    scored = sets.join(asked, query_key).withColumn("score", F.size(F.array_intersect("held", "asked")).cast("long"))
+    return scored.where(F.col("score") >= F.col("need")).select(query_key, "n_words", *page_key, "score")
 
 
 def contained_words(nodes: DataFrame, pages: DataFrame, on: str) -> DataFrame:

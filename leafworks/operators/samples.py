@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.text import REDACTED_SYSTEM, rstrip
 
 MESSAGE = "struct<role:string,content:string,loss_masking:boolean>"
-KNOWN_KEYS = ("df_idx", "user_query", "filenames", "reasoning", "readfulldocument", "readfulltext", "doc_step", "train_system_prompt", "version", "session_id", "language", "trace_summary", "timestamp", "metadata", "runtime_prompt_hash", "override_hash")
+#: Keys of a base sample, those it may have besides, and those of the second layout.
+BASE_KEYS = ("df_idx", "user_query", "filenames", "reasoning", "readfulldocument", "readfulltext", "doc_step")
+EXTRA_KEYS = ("extra_training",)
+V2_KEYS = ("version", "train_system_prompt", "runtime_prompt_hash", "override_hash", "session_id", "language", "trace_summary", "timestamp", "metadata")
 
 
-def prefix_turns(turns: DataFrame, key: str, order: str, most: int = 20) -> DataFrame:
+def prefix_refs(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, n_messages): for every assistant turn, how many messages its sample has, itself included.
+
+    A sample by reference: the conversation and how far it goes, one narrow
+    row. ``prefix_turns`` writes the messages out.
+    """
+    seen = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return turns.select(key, order, "role", seen.alias("n_messages")).where("role = 'assistant'").drop("role")
+
+
+def prefix_turns(turns: DataFrame, key: str, order: str, most: int | None = None) -> DataFrame:
     """For every assistant turn: all messages up to it, masked, and the turn itself unmasked.
 
-    Each sample repeats its prefix, so a conversation costs the square of
-    its turns: only the last ``most`` messages are kept, which bounds it.
+    Each sample repeats its prefix, so a conversation of n turns gives up to
+    n * n / 2 messages: that is what the layout asks for. ``most`` keeps the
+    last so many messages, for those who want windows instead.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(most - 1), 0)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding if most is None else -(most - 1), 0)
     seen = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w)
     out = turns.withColumn("seen", seen).where("role = 'assistant'")
     masked = F.transform("seen", lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), (i < F.size("seen") - 1).alias("loss_masking")))
@@ -53,9 +67,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     return base.join(tools, "session", "left")
 
 
-def custom_keys(json: Column) -> Column:
-    """Keys of a sample that aren't known and hold a non-empty list, in their order."""
-    names = F.array(*[F.lit(k) for k in KNOWN_KEYS])
+def custom_keys(json: Column, known: tuple[str, ...] = BASE_KEYS) -> Column:
+    """Keys of a sample that aren't known and hold a non-empty list, in their order; a sample that is read back knows all three sets of keys."""
+    names = F.array(*[F.lit(k) for k in known])
     entries = F.map_entries(F.from_json(json, "map<string,string>"))
     own = F.filter(entries, lambda e: ~F.array_contains(names, e["key"]) & e["value"].startswith("[") & (F.regexp_replace(e["value"], r"\s", "") != "[]"))
     return F.transform(own, lambda e: e["key"])

@@ -98,11 +98,11 @@ def assigned_query_types(spark, sf_dir):
     return E.assign_types(bundles, types).select("bundle_id", "query_type")
 
 
-@query("select d.doc_id as query_id, s.strategy, b.n as bundle_docs from documents d join (select source, count(*) as n from documents group by source) b using (source), (values ('S1'), ('S4')) s(strategy) where d.lang = 'es'")
+@query("select d.doc_id as query_id, s.strategy, b.n as bundle_docs from documents d join (select source, count(*) as n from documents group by source) b using (source), (values ('S1'), ('S4')) s(strategy)")
 def query_runs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     bundles = d.groupBy(F.col("source").alias("bundle_id")).agg(F.count(F.lit(1)).alias("bundle_docs"))
-    q = d.where("lang = 'es'").select(F.col("doc_id").alias("query_id"), F.col("source").alias("bundle_id"))
+    q = d.select(F.col("doc_id").alias("query_id"), F.col("source").alias("bundle_id"))
     return E.runs(q, bundles, spark.createDataFrame([("S1",), ("S4",)], "strategy string")).select("query_id", "strategy", "bundle_docs")
 
 
@@ -119,7 +119,14 @@ def spend_report(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * 0.002), 4).alias("spend_usd"), F.round(F.avg(F.when(F.col("event_type") == "search", F.col("event_id") % 5)), 6).alias("avg_sub_queries"))
 
 
-@query("select lang, round(avg((text like '%chart%' or n_chars > 100)::int), 6) as m1_render_rate, round(avg((len(regexp_extract_all(text, '[0-9]+')) > 0)::int), 6) as m2_numbers from documents group by lang")
+_GIVEN = r"(select doc_id, lang, n_chars, text like '%chart%' or n_chars > 100 as rendered, list_distinct(regexp_extract_all(left(text, n_chars // 2), '[0-9]+')) as said, list_distinct(regexp_extract_all(text, '[0-9]+')) as held, len(regexp_extract_all(text, '\[(\d+)\]')) as cites, len(string_split(trim(text), chr(10))) as lines from documents)"
+
+
+@query(f"""select lang, round(avg(rendered::int), 6) as m1_render_rate, round(avg(case when len(held) > 0 then len(list_intersect(said, held)) * 1.0 / len(held) end), 6) as m2_numbers, round(avg((cites > 0)::int), 6) as m3_cited, round(avg(cites * 1.0 / lines), 6) as m4_citation_density from {_GIVEN} group by lang""")
 def auto_metrics(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.round(F.avg((F.col("text").contains("chart") | (F.col("n_chars") > 100)).cast("int")), 6).alias("m1_render_rate"), F.round(F.avg((F.regexp_count("text", F.lit("[0-9]+")) > 0).cast("int")), 6).alias("m2_numbers"))
+    """Rates a language: texts that render, numbers of the whole that its first half holds, texts with citations, and citations a line."""
+    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
+    d = table(spark, sf_dir, "documents").withColumn("held", numbers(F.col("text"))).withColumn("said", numbers(F.left("text", F.floor(F.col("n_chars") / 2).cast("int"))))
+    return E.metrics(d.withColumn("rendered", F.col("text").contains("chart") | (F.col("n_chars") > 100)), ["lang"])
+
+

@@ -164,11 +164,11 @@ def bundle_gate(spark, sf_dir):
     return b.withColumn("enough_docs", F.col("n_docs") >= 2).withColumn("size_ok", F.col("n_chars").between(3000, 80000))
 
 
-@query("select doc_id, left(text, 100) as query, left(text, 300) as viz_dsl, '' as faith_score, '' as coverage_score from documents where doc_id < 30")
+@query("select doc_id, left(text, 100) as query, left(text, 300) as viz_dsl, '' as faith_score, '' as coverage_score from documents")
 def rating_template(spark, sf_dir):
     from ..sources.sinks import rating_rows
 
-    return rating_rows(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"), F.col("text").alias("viz_dsl")).where("doc_id < 30"))
+    return rating_rows(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"), F.col("text").alias("viz_dsl")))
 
 
 @query("""select item_id, length(trim(text)) > 0 and len(string_split_regex(trim(text), '\\s+')) <= 25 as short_enough, len(regexp_extract_all(text, '[0-9]+')) >= 5 as has_numbers from benchmark""")

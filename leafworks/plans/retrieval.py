@@ -38,6 +38,16 @@ def word_page_match(spark, sf_dir):
     return hits(spark, sf_dir).select("item_id", "doc_id", "idx", "score", "n_words")
 
 
+@query(f"""select item_id, doc_id, idx, rank::int as rank, case when doc_id % 3 = 0 then 'doc_' || doc_id else 'named_' || doc_id end as filename from (select *, row_number() over (partition by item_id, doc_id order by score desc, idx) as rank from (select item_id, doc_id, idx::int as idx, score from {_HITS} where score >= greatest(2.0, n_words * 0.4))) where rank <= 2""")
+def selected_pages(spark, sf_dir):
+    """The two best pages of every (item, document), under the scorer of words; names fill in where files have none."""
+    docs = table(spark, sf_dir, "documents")
+    pages = P.page_lines(docs).withColumn("doc_no", F.col("doc_id")).withColumn("filename", F.when(F.col("doc_id") % 3 == 0, F.col("filename")).otherwise(F.lit("")))
+    names = docs.select(F.col("doc_id").alias("doc_no"), F.concat(F.lit("named_"), F.col("doc_id").cast("string")).alias("filename"))
+    best = R.select_pages(pages, table(spark, sf_dir, "benchmark"), lambda p, q: R.word_hits(p, q, ["doc_id", "idx"], "item_id"), ["doc_id", "idx"], 2, names)
+    return best.select("item_id", "doc_id", "idx", "rank", "filename")
+
+
 @query(f"""select doc_id, node, idx::int as idx, score::int as score from (select doc_id, node, idx, score, n, row_number() over (partition by doc_id, node order by score desc, idx) as rn from (
   select n.doc_id, n.node, p.idx, len(n.words) as n, len(list_filter(n.words, lambda w: contains(lower(p.content), w))) as score from (
     select doc_id, 0 as node, list_filter(string_split_regex(lower(left(text, 60)), '[\\s/·,]+'), lambda w: length(w) >= 2) as words from documents) n join {PAGES} p using (doc_id))) where rn = 1 and score >= greatest(2.0, n * 0.4)""")
@@ -51,23 +61,21 @@ _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[
 
 
 @query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, round({_COS}, 9) as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
-  from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 8""")
+  from embeddings a, embeddings b where b.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 8""")
 def select_top_k_cosine(spark, sf_dir):
     return _nearest(spark, sf_dir, 8, 0.0)
 
 
 @query(f"""select probe, vec_id, round(score, 6) as score, rank::int as rank from (select b.vec_id as probe, a.vec_id, round({_COS}, 9) as score, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
-  from embeddings a, embeddings b where b.vec_id < 10 and a.vec_id <> b.vec_id) where rank <= 20 and score > 0.2""")
+  from embeddings a, embeddings b where b.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 20 and score > 0.2""")
 def select_min_score(spark, sf_dir):
     return _nearest(spark, sf_dir, 20, 0.2)
 
 
 def _nearest(spark, sf_dir, k, least):
-    """A fixed set of ten probes against all vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    probes = e.where("vec_id < 10").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(probes), F.col("vec_id") != F.col("probe")).withColumn("score", F.round(R.cosine(F.col("embedding"), F.col("q")), 9))
-    return R.top_k(scored, ["probe"], [F.col("vec_id")], k, least=least).select("probe", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """Every vector whose id is divisible by 20, in blocks against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return R.nearest(e, e.where("vec_id % 20 = 0"), k, least).select("probe", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""select doc_id, idx::int as idx, ([0.9, 0.85, 0.7])[idx] as score from {PAGES} where idx <= 3""")

@@ -12,11 +12,19 @@ from .base import query, table
 PREFIX = "You are careful. "
 
 
-@query("""select conv_id, turn, least(n, 20)::int as n_messages, least(n, 20)::int - 1 as n_masked, role_last, chars::bigint as chars from (select conv_id, turn, role, role as role_last, count(*) over w as n, sum(length(text)) over w as chars from conversations
-  window w as (partition by conv_id order by turn rows between 19 preceding and current row)) where role = 'assistant'""")
+_UP_TO = """(select conv_id, turn, role, count(*) over w as n, sum(length(text)) over w as chars, string_agg(role || ':' || left(text, 5), '|') over w as said from conversations window w as (partition by conv_id order by turn))"""
+
+
+@query(f"select conv_id, turn, n::int as n_messages, n::int - 1 as n_masked, chars::bigint as chars, sha256(said) as messages_sha256 from {_UP_TO} where role = 'assistant'")
 def training_prefix_turns(spark, sf_dir):
     s = S.prefix_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return s.select("conv_id", "turn", F.size("messages").alias("n_messages"), F.size(F.filter("messages", lambda m: m["loss_masking"])).alias("n_masked"), F.element_at("messages", -1)["role"].alias("role_last"), F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.char_length(m["content"])).alias("chars"))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.left(m["content"], F.lit(5)))), "|")
+    return s.select("conv_id", "turn", F.size("messages").alias("n_messages"), F.size(F.filter("messages", lambda m: m["loss_masking"])).alias("n_masked"), F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.char_length(m["content"])).alias("chars"), F.sha2(said, 256).alias("messages_sha256"))
+
+
+@query(f"select conv_id, turn, n::int as n_messages from {_UP_TO} where role = 'assistant'")
+def training_prefix_refs(spark, sf_dir):
+    return S.prefix_refs(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 def conversations(spark, sf_dir):
@@ -107,19 +115,34 @@ def multimodal_parts(spark, sf_dir):
     return p.select("page_id", "pos", F.col("part.type").alias("kind"), F.coalesce("part.text", "part.image_url").alias("value"))
 
 
-BLOCKS = [("ROLE", "You answer.", 10, True), ("RULES", "1. Be brief.\n2. Cite.", 50, False), ("STYLE", "Plain.", 30, False), ("TOOLS_SEARCH", '{"name": "search"}', 60, False)]
-PATCHES = [("STYLE", "replace", "Fancy."), ("RULES", "append", "3. Be kind."), ("ROLE", "replace", "Hacked."), ("TOOLS_SEARCH", "replace", "{}"), ("NONE", "append", "x")]
+BLOCKS = [("ROLE_BLOCK", "You answer.", 10, True), ("STYLE_BLOCK", "Plain.", 30, False), ("RULES_BLOCK", "1. Be brief.\n2. Cite.", 50, False), ("TOOLS_SEARCH", '{"name": "search"}', 60, False)]
 
 
-@query("""select * from (values ('ROLE', 10, 'You answer.'), ('RULES', 50, '1. Be brief.' || chr(10) || '2. Cite.' || chr(10) || '3. Be kind.'), ('STYLE', 30, 'Fancy.'), ('TOOLS_SEARCH', 60, '{"name": "search"}')) t(block_id, ord, content)""")
-def prompt_patches(spark, sf_dir):
-    blocks, patches = PR.blocks(spark, BLOCKS), PR.patches(spark, PATCHES)
-    return PR.apply(blocks, PR.valid(blocks, patches)).select("block_id", F.col("ord"), "content")
+def source_patches(spark, sf_dir):
+    """Patches of every document's source: a rule, and what policy forbids."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    block = F.element_at(F.array(*[F.lit(x) for x in ("RULES_BLOCK", "TOOLS_SEARCH", "STYLE_BLOCK", "ROLE_BLOCK", "NONE", "TOOLS_SEARCH")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    action = F.when(F.col("doc_id") % 7 == 0, "replace").when(F.col("doc_id") % 11 == 0, "drop").otherwise("append")
+    tool = F.when(F.col("doc_id") % 4 == 0, '{"name": "search"}').when(F.col("doc_id") % 4 == 1, '{"title": "x"}').when(F.col("doc_id") % 4 == 2, "{bad").otherwise(F.concat(F.lit('{"name": "t'), F.col("doc_id").cast("string"), F.lit('"}')))
+    return d.select("doc_id", block.alias("block_id"), action.alias("action"), F.when(block == "TOOLS_SEARCH", tool).otherwise(F.concat(F.lit("3. "), F.col("lang"))).alias("patch"))
 
 
-@query("""select * from (values ('NONE', 'unknown block'), ('ROLE', 'sealed block'), ('TOOLS_SEARCH', 'only append is allowed'), ('RULES', ''), ('STYLE', '')) t(block_id, errors)""")
+_PATCHES = """(select doc_id, ['RULES_BLOCK', 'TOOLS_SEARCH', 'STYLE_BLOCK', 'ROLE_BLOCK', 'NONE', 'TOOLS_SEARCH'][doc_id % 6 + 1] as block_id, case when doc_id % 7 = 0 then 'replace' when doc_id % 11 = 0 then 'drop' else 'append' end as action, lang from documents)"""
+
+
+@query(f"""select doc_id, block_id, case block_id when 'NONE' then 'unknown block' when 'ROLE_BLOCK' then 'sealed block' when 'STYLE_BLOCK' then 'block can''t be patched' when 'RULES_BLOCK' then case when action = 'drop' then 'unknown action' else '' end
+  else concat_ws(';', case when action = 'drop' then 'unknown action' end, case when action = 'replace' then 'only append is allowed' end, case when action = 'append' then case doc_id % 4 when 0 then 'tool search is there already' when 1 then 'tool lacks a name' when 2 then 'tool is no JSON' end end) end as errors from {_PATCHES}""")
 def prompt_patch_errors(spark, sf_dir):
-    return PR.check(PR.blocks(spark, BLOCKS), PR.patches(spark, PATCHES)).select("block_id", F.array_join("errors", ";").alias("errors"))
+    return PR.check(PR.blocks(spark, BLOCKS), source_patches(spark, sf_dir)).select("doc_id", "block_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query(f"""select doc_id, block_id, case when block_id = 'RULES_BLOCK' then case when action = 'replace' then '3. ' || lang else '1. Be brief.' || chr(10) || '2. Cite.' || chr(10) || '3. ' || lang end else '{{"name": "search"}}' || chr(10) || '{{"name": "t' || doc_id || '"}}' end as content
+  from {_PATCHES} where block_id = 'RULES_BLOCK' and action <> 'drop' or block_id = 'TOOLS_SEARCH' and action = 'append' and doc_id % 4 = 3""")
+def prompt_patches(spark, sf_dir):
+    """Each allowed patch applied to its block."""
+    blocks = PR.blocks(spark, BLOCKS)
+    good = PR.valid(blocks, source_patches(spark, sf_dir))
+    return PR.patched(blocks.join(good, "block_id")).select("doc_id", "block_id", "content")
 
 
 @query("""select body, left(sha256(body), 16) as prompt_hash from (select 'You answer.' || chr(10) || chr(10) || 'Plain.' || chr(10) || chr(10) || '1. Be brief.' || chr(10) || '2. Cite.' || chr(10) || chr(10) || '{"name": "search"}' as body)""")
@@ -133,10 +156,11 @@ def rule_renumber(spark, sf_dir):
     return PR.renumber(rules, "source", "pos", "rule", "1. Be brief.\n2. Cite.")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'owner' else 'owner,version' end as missing from documents")
+@query("""select doc_id, concat_ws(';', case when doc_id % 3 = 0 then 'missing owner' when doc_id % 5 = 0 then 'owner is misspelt' end, case when doc_id % 2 = 0 then 'missing version' end) as missing from documents""")
 def missing_meta(spark, sf_dir):
-    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("version"), F.lit("date"))).otherwise(F.array(F.lit("date")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(x) for x in ("version", "owner", "date")]), given)), ",").alias("missing"))
+    owner = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, "a b").otherwise(F.concat(F.lit("o_"), "source"))
+    meta = F.create_map(F.lit("owner"), owner, F.lit("version"), F.when(F.col("doc_id") % 2 > 0, "1.0"), F.lit("date"), F.lit("x"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(PR.check_meta(meta), ";").alias("missing"))
 
 
 @query("select * from (values ('a', 'custom', true), ('b', 'builtin', false), ('c', 'custom', false)) t(name, kind, replaced)")

@@ -23,34 +23,36 @@ def _is_file(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def _name() -> str:
-    return f"s_{uuid.uuid4().hex}"
+def _folder(spark) -> str:
+    return f"{S.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @query("select user_id, count(*) as samples from events group by user_id")
 def streaming_session_counts(spark, sf_dir):
-    return S.run_to_memory(S.running_counts(events(spark, sf_dir)), _name())
+    return S.run_to_folder(S.running_counts(events(spark, sf_dir)), _folder(spark))
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def streaming_daily_windows(spark, sf_dir):
-    out = S.run_to_memory(S.windowed(events(spark, sf_dir)), _name())
+    out = S.run_to_folder(S.windowed(events(spark, sf_dir)), _folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as g from (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours then 0 else 1 end as new from events)) group by user_id, g")
 def streaming_user_sessions(spark, sf_dir):
-    out = S.run_to_memory(S.sessionized(events(spark, sf_dir)), _name())
+    out = S.run_to_folder(S.sessionized(events(spark, sf_dir)), _folder(spark))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query(None)
+_COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x)) * list_sum(list_transform(b.embedding, lambda x: x::double * x)))"
+
+
+@query(f"""select probe, vec_id, ((rank - 1) // 2)::int as round from (select b.vec_id as probe, a.vec_id, row_number() over (partition by b.vec_id order by round({_COS}, 9) desc, a.vec_id) as rank
+  from embeddings a, embeddings b where b.vec_id % 20 = 0 and a.vec_id <> b.vec_id) where rank <= 6""")
 def retrieval_rounds(spark, sf_dir):
-    """Iterative retrieval: each round adds the next best vectors to a probe's set until five are there."""
-    e = table(spark, sf_dir, "embeddings")
-    probes = e.where("vec_id < 5").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(probes), F.col("vec_id") != F.col("probe")).select("probe", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    ranked = R.top_k(scored, ["probe"], [F.col("vec_id")], 10)
+    """Iterative retrieval: each round adds the next two best vectors to a probe's set until five are there."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ranked = R.nearest(e, e.where("vec_id % 20 = 0"), 10).select("probe", "vec_id", "rank").checkpoint() if S.shared_folder(spark) else None
     start = ranked.where("rank <= 2").select("probe", "vec_id", F.lit(0).alias("round"))
 
     def step(state, i):

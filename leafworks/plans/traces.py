@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import traces as X
 from .base import query, table
 from .scalars import REPLY, replies
@@ -72,9 +71,9 @@ def redact_trace(spark, sf_dir):
     return X.redact(d).select("doc_id", "observation")
 
 
-@query("""select conv_id, count(*)::int as n_inputs, sum(length(text))::bigint as total_chars, string_agg(left(text, 500), '|' order by role, left(text, 500), length(text)) as previews from conversations where turn < 3 group by conv_id""")
+@query("""select conv_id, count(*)::int as n_inputs, sum(length(text))::bigint as total_chars, string_agg(left(text, 500), '|' order by role, left(text, 500), length(text)) as previews from conversations group by conv_id""")
 def trace_inputs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn < 3").select(F.col("conv_id").alias("session"), F.lit("doc").alias("type"), F.col("role").alias("source"), F.col("text").alias("content"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.lit("doc").alias("type"), F.col("role").alias("source"), F.col("text").alias("content"))
     r = X.record_inputs(c)
     return r.select(F.col("session").alias("conv_id"), "n_inputs", F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x["content_length"]).alias("total_chars"), F.array_join(F.transform("inputs", lambda x: x["content_preview"]), "|").alias("previews"))
 
@@ -84,6 +83,3 @@ def trace_inputs(spark, sf_dir):
 def api_response(spark, sf_dir):
     t = X.rollup(steps(spark, sf_dir))
     return X.response(t, X.validate(t, max_steps=60))
-
-
-_ = T

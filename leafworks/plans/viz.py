@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import pages as P
 from ..operators import viz as V
 from .base import query, table
@@ -177,6 +176,3 @@ def source_attribution(spark, sf_dir):
     p = P.page_lines(table(spark, sf_dir, "documents"))
     labels = p.groupBy("doc_id").agg(F.substring(F.max_by("content", "idx"), 1, 8).alias("label")).where("label <> ''").withColumn("element", F.lit(0))
     return V.attribute(labels, p.select("doc_id", F.col("idx").alias("chunk"), "content"), "doc_id").select("doc_id", "element", "chunk", F.col("start").cast("int").alias("start"))
-
-
-_ = T

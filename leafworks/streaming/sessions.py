@@ -6,6 +6,8 @@ and bounded by the watermark.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +39,15 @@ def sessionized(stream: DataFrame, gap: str = "6 hours") -> DataFrame:
     return with_watermark(stream).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_memory(out: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and give the result table; for tests and small results."""
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return out.sparkSession.table(name)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or that the session was given; a temporary one only where all runs on this machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafworks-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def run_to_table(out: DataFrame, path: str, checkpoint: str) -> None:
@@ -50,13 +56,26 @@ def run_to_table(out: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def run_to_folder(out: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Process all that is there and give the result, of any size, from ``path``: each batch writes what its mode gives, the last complete one counts.
+
+    In complete mode a batch replaces the one before; in append mode it adds
+    to it, under its own number, so a batch that is run again writes the same
+    folder.
+    """
+    spark = out.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else 'part'}={0 if mode == 'complete' else number}")
+
+    q = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}_checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
+
+
 def rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame], bool], most: int = 5) -> DataFrame:
     """A bounded loop of DataFrame steps on the driver, each materialised in the checkpoint folder: retrieve, append, test, stop."""
-    spark = state.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafworks-"))
+    shared_folder(state.sparkSession)
     for i in range(most):
         state = step(state, i).checkpoint()
         if done(state):

@@ -57,6 +57,9 @@ def test_prefix_turns(spark):
     rows = [("c", i, r, f"t{i}") for i, r in enumerate(["user", "assistant", "user", "assistant"])]
     got = S.prefix_turns(spark.createDataFrame(rows, "c string, turn int, role string, text string"), "c", "turn").orderBy("turn").collect()
     assert [len(r.messages) for r in got] == [2, 4] and [m.loss_masking for m in got[1].messages] == [True, True, True, False]
+    long = spark.createDataFrame([("c", i, "assistant" if i == 49 else "user", f"t{i}") for i in range(50)], "c string, turn int, role string, text string")
+    assert [m.content for m in S.prefix_turns(long, "c", "turn").first().messages] == [f"t{i}" for i in range(50)]
+    assert len(S.prefix_turns(long, "c", "turn", most=20).first().messages) == 20 and S.prefix_refs(long, "c", "turn").first().n_messages == 50
 
 
 @pytest.mark.parametrize(
@@ -85,9 +88,13 @@ def test_unknown_answer(spark):
 
 
 def test_prompts(spark):
-    b = PR.blocks(spark, [("RULES", "1. a", 10, False)])
-    assert PR.apply(b, PR.patches(spark, [("RULES", "prepend", "0. z")])).first().content == "0. z\n1. a"
-    assert PR.with_tools(b, spark.createDataFrame([("t", "{}")], "name string, definition string")).count() == 2
+    b = PR.blocks(spark, [("RULES_BLOCK", "1. a", 10, False), ("TOOLS_X", '{"name": "x"}', 60, False)])
+    assert {r.content for r in PR.apply(b, PR.patches(spark, [("RULES_BLOCK", "prepend", "0. z")])).collect()} == {"0. z\n1. a", '{"name": "x"}'}
+    assert PR.with_tools(b, spark.createDataFrame([("t", "{}")], "name string, definition string")).count() == 3
+    bad = {r.patch: r.errors for r in PR.check(b, PR.patches(spark, [("TOOLS_X", "append", '{"name": "x"}'), ("TOOLS_X", "append", '{"name": "y"}'), ("TOOLS_X", "prepend", "p")])).collect()}
+    assert bad == {'{"name": "x"}': ["tool x is there already"], '{"name": "y"}': [], "p": ["only append is allowed"]}
+    meta = spark.createDataFrame([({"owner": "a_b", "version": "1.0-x"},), ({"owner": "a b"},), ({},)], "m map<string,string>").select(PR.check_meta(F.col("m")).alias("e")).collect()
+    assert [r.e for r in meta] == [[], ["owner is misspelt", "missing version"], ["missing owner", "missing version"]]
 
 
 def test_registry(tmp_path):
