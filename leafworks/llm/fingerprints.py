@@ -222,25 +222,6 @@ def near_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket(key)
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets: a product of incidences, blocked by columns."""
-    n = len(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[col] > 1
-    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out = np.zeros((n, n), np.float32)  # whole numbers to 2**24
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-        a, b = np.searchsorted(col, [lo, lo + 4096])
-        part = np.zeros((n, 4096), np.float32)
-        part[row[a:b], col[a:b] - lo] = 1
-        out += part @ part.T
-    np.fill_diagonal(out, [len(s) for s in sets])
-    return out
-
-
 def links_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of rows (bucket, id, chunk, text) sorted by bucket: near copies by the whole sets, as many as join what they join, fewer than the rows."""
     held: list[tuple[int, int, str]] = []
@@ -249,7 +230,7 @@ def links_in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids, chunk = (np.array(x) for x in list(zip(*held, strict=True))[:2])
         sets = text_sets([t for *_, t in held])
         held.clear()
-        both = overlaps(sets)
+        both = K.overlaps(sets)
         sizes = np.diagonal(both)
         near = DEN * both >= NUM * (sizes[:, None] + sizes[None] - both)
         near &= (chunk[:, None] != chunk[None]) | (chunk.min() == chunk.max())

@@ -6,10 +6,16 @@ template of m shingles is looked for in windows of 3 * s shingles, one
 starting every s, s = ceil((m - 1) / 2): any m shingles in a row lie in one
 window as a whole. If the row holds the share ``CONTAINS`` of the template,
 its window's Jaccard with the template is at least about 0.47, so of
-``BANDS`` bands of 2 MinHash values one agrees with odds of 0.9997; single
-shingles (m = 1) are their own windows and always agree. Windows with an
-agreeing band are verified: matches hold at least ``CONTAINS`` of the
-template's distinct shingles.
+``BANDS`` bands of one MinHash value each one agrees but with odds of 1e-17,
+and with a quarter of that Jaccard (a part of the template between others)
+still with odds of 0.9996; single shingles (m = 1) are their own windows and
+always agree. Bands can be that short as texts that share no shingle with a
+template never agree with it. Around a window with
+an agreeing band, the template's shingles are counted over all that follow
+each other within 2 * m + ``GAP`` places, so passages that stand between parts
+of a notice (headers, copyright lines, names) don't hide it: a match holds at
+least ``CONTAINS`` of the template's distinct shingles. Of matches that overlap, those of lesser containment than
+another go: notices of one family share most of their words.
 
 Windows start anew in every document, so results don't depend on how rows
 are batched. Scale: one vectorised pass without a shuffle; the templates'
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .common import released, small_batches, table
 
-WORDS, BANDS, CONTAINS = 5, 32, 0.8
+WORDS, BANDS, CONTAINS, GAP = 5, 64, 0.8, 150
 
 #: Notices of public licenses, by SPDX identifier and part.
 TEMPLATES = {
@@ -46,6 +52,14 @@ TEMPLATES = {
     "BSD-3-Clause/clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "GPL-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0/notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1/notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "EPL-2.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Zlib/notice": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0/line": "Distributed under the Boost Software License, Version 1.0.",
+    "MIT/disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSD/disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0/line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
@@ -56,8 +70,8 @@ _TERM = np.zeros(256, bool)
 _TERM[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
 _RNG = np.random.Generator(np.random.PCG64(7))
-_A = _RNG.integers(0, 1 << 32, 2 * BANDS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, 2 * BANDS, dtype=np.uint32)
+_A = _RNG.integers(0, 1 << 32, BANDS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, BANDS, dtype=np.uint32)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +143,8 @@ class Windows:
 def agreeing(x: np.ndarray, windows: dict[int, Windows], templates: Templates) -> dict[str, np.ndarray]:
     """Per template, which windows of its step agree with it in a band."""
     hit = {name: np.zeros(len(windows[step].first), bool) for step, members in templates.steps.items() for name, _ in members}
-    before: dict[str, np.ndarray] = {}
     most = max(w.power for w in windows.values())
-    for k in range(2 * BANDS):
+    for k in range(BANDS):
         levels = [_A[k] * x + _B[k]]
         for j in range(most):
             last = levels[-1]
@@ -141,11 +154,7 @@ def agreeing(x: np.ndarray, windows: dict[int, Windows], templates: Templates) -
         for step, members in templates.steps.items():
             low = windows[step].low(levels)
             for name, sig in members:
-                same = low == sig[k]
-                if k % 2:
-                    hit[name] |= before[name] & same
-                else:
-                    before[name] = same
+                hit[name] |= low == sig[k]
     return hit
 
 
@@ -155,21 +164,42 @@ def scan_slice(data: np.ndarray, offs: np.ndarray, templates: Templates) -> list
     if not len(hashes) or not templates.steps:
         return []
     windows = {step: Windows(to, step) for step in templates.steps}
-    best: dict[tuple[int, str], tuple[int, int, int]] = {}
+    best: dict[int, dict[str, tuple[int, int, int]]] = {}
     for name, hit in agreeing((hashes >> K.U(32)).astype(np.uint32), windows, templates).items():
         wanted, w = templates.sets[name], windows[templates.step_of[name]]
-        for i in np.flatnonzero(hit).tolist():
-            win = hashes[w.first[i] : w.after[i]]
-            where = np.flatnonzero(np.isin(win, wanted))
-            held = len(np.unique(win[where]))
-            if held < CONTAINS * len(wanted) - 1e-9:
+        hits = np.flatnonzero(hit)
+        for d in np.unique(w.doc[hits]).tolist():
+            mine = hits[w.doc[hits] == d]
+            own = hashes[to[d] : to[d + 1]]
+            where = np.flatnonzero(held_in(own, wanted))
+            if len(where) < CONTAINS * len(wanted) - 1e-9:
                 continue
-            d = int(w.doc[i])
-            base = int(w.first[i] - to[d])
-            new = (held, -(base + int(where[0])), base + int(where[-1]) + WORDS)
-            if (d, name) not in best or new[:2] > best[d, name][:2]:
-                best[d, name] = new
-    return [(d, name, held, -at, end) for (d, name), (held, at, end) in best.items()]
+            # Runs of the template's shingles, as far as they follow each other; those that a window hit.
+            ends = np.append(np.flatnonzero(np.diff(where) > 2 * len(wanted) + GAP) + 1, len(where))
+            for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+                run = where[lo:hi]
+                if not ((w.first[mine] - to[d] <= run[-1]) & (w.after[mine] - to[d] > run[0])).any():
+                    continue
+                held = len(np.unique(own[run]))
+                if held >= CONTAINS * len(wanted) - 1e-9:
+                    new = (held, -int(run[0]), int(run[-1]) + WORDS)
+                    old = best.setdefault(d, {}).get(name)
+                    if old is None or new[:2] > old[:2]:
+                        best[d][name] = new
+    out = []
+    for d, found in best.items():
+        share = {name: held / len(templates.sets[name]) for name, (held, *_) in found.items()}
+        for name, (held, at, end) in found.items():
+            if not any(share[other] > share[name] and -x[1] < end and -at < x[2] for other, x in found.items()):
+                out.append((d, name, held, -at, end))
+    return out
+
+
+def held_in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones."""
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -151,7 +151,7 @@ def test_unlike_signatures():
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(K.U)) for _ in range(20)]
-    got = fingerprints.overlaps(sets)
+    got = K.overlaps(sets)
     assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets))
 
 
@@ -300,9 +300,10 @@ def test_crowded_lines(spark, monkeypatch):
             w[rng.randrange(len(w))] = rng.choice(words)
         rows.append((i, " ".join(w)))
     gone = removed(rows, line_keys)
-    for crowd, small in ((256, 8), (6, 3)):
+    for crowd, small, bucket in ((256, 8, 1024), (6, 3, 1024), (6, 1, 8)):
         monkeypatch.setattr(line_dedup, "CROWD", crowd)
         monkeypatch.setattr(line_dedup, "SMALL", small)
+        monkeypatch.setattr(line_dedup, "BUCKET", bucket)
         got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
         assert {i for i, t in got.items() if not t} == {i for i, _ in gone}
 
@@ -378,23 +379,15 @@ def test_line_edges(spark, edges, empty):
 
 
 def test_edit_distance():
-    def plain(a, b):
-        p = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            q = [i]
-            for j, d in enumerate(b, 1):
-                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (c != d)))
-            p = q
-        return p[-1]
-
     rng = random.Random(1)
-    for _ in range(400):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2))
-        want, most = plain(a, b), rng.randint(0, 12)
-        got = line_dedup.edit_distance(a, b, most)
-        assert got == want if want <= most else got > most
+    pairs = [tuple("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2)) for _ in range(600)]
+    pairs += [(a, "".join(c if rng.random() > 0.1 else rng.choice("abcdé") for c in a)) for a in ("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 200))) for _ in range(300))]
+    bounds = [rng.randint(0, 1 + len(a) // 5) for a, _ in pairs]
+    want = [edits(a, b, k) <= k for (a, b), k in zip(pairs, bounds, strict=True)]
+    assert line_dedup.within(pairs, bounds).tolist() == want == line_dedup.within(pairs, bounds, cells=64).tolist() and 100 < sum(want) < 800
     a = "x" * 1000 + "abc" + "y" * 1000
-    assert line_dedup.edit_distance(a, a.replace("b", ""), 5) == 1
+    assert line_dedup.within([(a, a.replace("b", ""))] * 2, [1, 0]).tolist() == [True, False]
+    assert line_dedup.trimmed("abXcd", "abYZcd") == ("X", "YZ") and line_dedup.trimmed("aa", "aaa") == ("", "a")
 
 
 def test_components(spark):

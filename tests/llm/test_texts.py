@@ -251,6 +251,93 @@ def test_licenses(spark, edges, empty):
     assert licenses.scan(edges).count() == 0 and licenses.scan(empty).count() == 0 and licenses.scan(edges, {}).count() == 0
 
 
+def contained(text):
+    """Template: share of its 5-word shingles in the whole text, by plain sets."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    held = grams(words(text))
+    return {n: len(held & grams(words(t))) / len(grams(words(t))) for n, t in licenses.TEMPLATES.items()}
+
+
+def test_licenses_by_brute_force(spark):
+    """Every template, words changed, inserted or dropped, alone or beside others: the matches that plain containment gives."""
+    rng, names = random.Random(9), sorted(licenses.TEMPLATES)
+    rows = []
+    for i in range(240):
+        w = licenses.TEMPLATES[names[i % len(names)]].split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice([["new"], [], ["two", "more"]])
+        rows.append((i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 80))) + " " + " ".join(w) + " " + " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 80)))))
+    want = {}
+    for i, t in rows:
+        shares = {n: s for n, s in contained(t).items() if s >= 0.8 - 1e-9}
+        top = max(shares.values(), default=0)
+        want[i] = {n for n, s in shares.items() if s == top}
+    got = collections.defaultdict(set)
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got[r.doc_id].add(r.template)
+        assert r.containment == pytest.approx(contained(rows[r.doc_id][1])[r.template])
+    assert sum(map(bool, want.values())) > 100 and all(got[i] == want[i] for i in want)
+
+
+def test_interrupted_licenses(spark):
+    """A notice in two or three parts with passages between them is retrieved and counted as one."""
+    rng, names = random.Random(10), [n for n, t in licenses.TEMPLATES.items() if len(t.split(" ")) >= 40]
+    rows = []
+    for i in range(60):
+        w = licenses.TEMPLATES[names[i % len(names)]].split(" ")
+        for cut in ([1 / 2], [1 / 3, 2 / 3])[i % 2][::-1]:
+            at = int(cut * len(w))
+            w[at:at] = [f"x{rng.randrange(900)}" for _ in range(120)]
+        rows.append((i, " ".join(w)))
+    got = {(r.doc_id, r.template) for r in licenses.scan(frame(spark, rows)).collect()}
+    # Cuts may take away what sets a family's notices apart: the fullest counts.
+    wanted = [(i, max((s, n) for n, s in contained(t).items())) for i, t in rows]
+    wanted = [(i, n) for i, (s, n) in wanted if s >= 0.8]
+    assert len(wanted) > 40 and np.mean([x in got for x in wanted]) >= 0.95
+
+
+def test_quality_verdict(spark, sf_dir):
+    """On labels that the trusted sample wasn't given: good documents mostly stay, and bad ones score lower."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality.fit(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0"))
+    got = quality.assess(docs.select("doc_id", "text"), weights).join(labels.where("pmod(xxhash64(doc_id), 2) = 1"), "doc_id").select("quality", "quality_kept", "quality_score", "quality_base_failed").collect()
+    good, bad = ([r for r in got if r.quality == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 10
+    assert np.mean([r.quality_kept for r in good if not r.quality_base_failed]) >= 0.95
+    assert np.mean([r.quality_kept for r in bad]) <= 0.3
+
+
+def test_toxicity_is_the_pair_sum():
+    """Scores are those of the explicit double sum, and an additive model can't learn what the machine does."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, 12)) for _ in range(800)]
+    y = np.array([int((1 in s) == (2 in s)) for s in sets])
+    m = toxicity.train(y, sets, bits=6, epochs=600)
+    p = []
+    for s in sets:
+        at = [int(np.flatnonzero(m.buckets == b)[0]) for b in s if b in m.buckets]
+        z = m.w0 + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        p.append(1 / (1 + np.exp(-z)))
+    doc, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(m.buckets, np.concatenate(sets))
+    assert np.allclose(toxicity._sigmoid(toxicity._logits(m.w0, m.w, m.v, doc, at, len(sets))), p)
+    # An additive model, by the same steps: a weight for each term alone.
+    x, w = np.column_stack([np.ones(len(sets)), *[[b in s for s in sets] for b in m.buckets]]).astype(float), np.zeros(len(m.buckets) + 1)
+    for _ in range(2000):
+        w -= 0.5 * (x.T @ (toxicity._sigmoid(x @ w) - y) / len(y))
+    plain = toxicity._sigmoid(x @ w)
+    right = lambda q: np.mean((np.array(q) >= 0.5) == y)
+    assert right(p) > 0.9 and right(p) > right(plain) + 0.15
+
+
+def test_repeated_ids_in_samples(spark, labels):
+    """A repeated id gives a sample one row, however often it stands there."""
+    df = frame(spark, [(1, f"call +1988555{i:04} now") for i in range(50)] + [(2, "mail a.bcde@x.org")])
+    assert len(pii.sample_texts(df)) == 2
+    assert toxicity.score(df, toxicity.fit(df, labels)).count() == 51
+
+
 def test_chat(spark):
     rng = random.Random(8)
     rows = []
