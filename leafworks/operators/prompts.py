@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Which blocks patches may touch, which only grow, and what a patch's metadata hold.
+#: Which blocks patches may touch, which only grow, the order of blocks, and what a patch's metadata hold.
 PATCHABLE = ("RULES_BLOCK",)
 PATCHABLE_PREFIXES = ("TOOLS_",)
 APPEND_ONLY_PREFIXES = ("TOOLS_",)
 ACTIONS = ("append", "replace", "prepend")
+BLOCKS = ("ROLE_BLOCK", "DATE_BLOCK", "LANG_BLOCK", "TASK_BLOCK", "RULES_BLOCK", "FORMAT_BLOCK", "CITATION_BLOCK", "CLOSING_BLOCK")
+LANGUAGE_RULES = {"ko": "Answer in Korean.", "en": "Answer in English."}
 META_FIELDS = {"owner": r"^[a-zA-Z0-9_]+$", "version": r"^[a-zA-Z0-9_.\-]+$"}
 
 
@@ -21,6 +26,39 @@ def patches(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "block_id string, action string, patch string")
 
 
+def standard_blocks(spark: SparkSession, texts: dict[str, str], language: str, day: str) -> DataFrame:
+    """The blocks of a prompt in their places, from their texts; ``{lang}`` and ``{date}`` in them are filled in. Blocks without a text are left out."""
+    fill = lambda x: x.replace("{lang}", language_rule(language)).replace("{date}", day)
+    return blocks(spark, [(b, fill(texts[b]), (i + 1) * 10, b not in PATCHABLE) for i, b in enumerate(BLOCKS) if b in texts])
+
+
+def language_rule(code: str) -> str:
+    """What a prompt says of the language; unknown codes are English."""
+    return LANGUAGE_RULES["ko" if code.lower() in ("ko", "korean") else "en"]
+
+
+def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """(patches, metadata) of a YAML or JSON file: ``meta`` with owner and version, ``patches`` by block with an action and a text; a patch is a few rows.
+
+    The file is read where Spark's readers reach, and metadata are checked.
+    """
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        import yaml
+
+        data = yaml.safe_load(text)
+    except ImportError:
+        data = json.loads(text)
+    if not isinstance(data, dict) or not isinstance(data.get("patches", {}), dict):
+        raise ValueError("a patch file is a mapping of meta and patches")
+    meta = {k: str(v) for k, v in (data.get("meta") or {}).items()}
+    wrong = [f"missing {k}" if not meta.get(k) else f"{k} is misspelt" for k, form in META_FIELDS.items() if not re.match(form, meta.get(k, ""))]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    rows = [(b, next(iter(x)), str(next(iter(x.values())))) if isinstance(x, dict) and len(x) == 1 else (b, str((x or {}).get("action", "append")), str((x or {}).get("content", ""))) for b, x in (data.get("patches") or {}).items()]
+    return patches(spark, rows), meta
+
+
 def _starts(c: str, prefixes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in prefixes:

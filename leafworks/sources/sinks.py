@@ -43,6 +43,20 @@ def recent_logs(df: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return df.where(F.col("logged_at") >= now - F.make_dt_interval(F.lit(days)))
 
 
+def rewrite_logs(spark: SparkSession, path: str, target: str, now: Column, days: int = 7) -> DataFrame:
+    """A log without rows older than ``days``, written to ``target`` in folders by year and month; months that are over have none. The caller swaps the folders."""
+    kept = recent_logs(spark.read.json(path).withColumn("logged_at", F.col("logged_at").cast("timestamp")), now, days)
+    kept.write.partitionBy("yymm").mode("overwrite").json(target)
+    return kept
+
+
+def export_trace(session: DataFrame, path: str) -> None:
+    """One session's trace as a single indented JSON value; a session is small by its step limit."""
+    if session.limit(2).count() != 1:
+        raise ValueError("one row, one session, is asked for; write_jsonl takes many")
+    session.select(F.to_json(F.struct(*session.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def rating_rows(viz: DataFrame) -> DataFrame:
     """Rows of a rating sheet: what is rated, cut short, and empty scores."""
     return viz.withColumns({"query": F.left("query", F.lit(100)), "viz_dsl": F.left("viz_dsl", F.lit(300)), "faith_score": F.lit(""), "coverage_score": F.lit("")})

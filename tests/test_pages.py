@@ -128,5 +128,11 @@ def test_sinks(spark, tmp_path):
     back = spark.read.json(f"{tmp_path}/l").first()
     assert back.payload.asDict() == {"user": "x"} and str(back.yymm) == "2603"
     assert sinks.recent_logs(logs, F.lit("2026-03-20").cast("timestamp")).count() == 0
+    kept = sinks.rewrite_logs(spark, f"{tmp_path}/l", f"{tmp_path}/l2", F.lit("2026-03-05").cast("timestamp"), 365)
+    assert spark.read.json(f"{tmp_path}/l2").count() == kept.count() > 0
+    sinks.export_trace(df.limit(1), f"{tmp_path}/t")
+    assert spark.read.option("multiLine", True).json(f"{tmp_path}/t").count() == 1 and spark.read.text(f"{tmp_path}/t").count() > 2
+    with pytest.raises(ValueError):
+        sinks.export_trace(df, f"{tmp_path}/t")
     sinks.write_ratings(spark.createDataFrame([(1, "q" * 200, "d")], "query_id int, query string, viz_dsl string"), f"{tmp_path}/r")
     assert len(spark.read.option("header", True).csv(f"{tmp_path}/r").first().query) == 100

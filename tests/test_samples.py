@@ -113,6 +113,63 @@ def test_registry(tmp_path):
         r.load(str(tmp_path / "u.py"))
 
 
+TOOL = """
+class Upper:
+    name, description, tool_type = "upper", "Upper case", "inference"
+    parameters = {"type": "object", "properties": {"text": {"type": "string"}, "how": {"enum": ["a", "b"]}}, "required": ["text"]}
+
+    def execute(self, args, context):
+        if args["text"] == "boom":
+            raise ValueError("no")
+        return {"out": context["call_llm"]([{"role": "user", "content": args["text"].upper()}])}
+
+    def validate_args(self, args):
+        return args["text"] != "refused"
+
+    def on_error(self, error, args):
+        return f"handled {error}"
+
+
+class NoTool:
+    name = "x"
+"""
+
+
+def test_tool_classes(spark, tmp_path):
+    (tmp_path / "t.py").write_text(TOOL)
+    r, c = tools.Registry(), tools.Context(generator=lambda messages: messages[-1]["content"], language="en")
+    assert r.load(str(tmp_path / "t.py")) == ["upper"] and r.describe()[0]["tool_type"] == "inference"
+    assert r.execute("upper", {"text": "a"}, c) == '{"out": "A"}' and r.execute("upper", {"text": "boom"}, c) == "handled no"
+    for args, said in (({}, "missing text"), ({"text": 3}, "text is no string"), ({"text": "a", "how": "z"}, "how is none"), ({"text": "refused"}, "refused")):
+        assert said in r.execute("upper", args, c)
+    with pytest.raises(tools.ToolError):
+        r.register("bad", object())
+    c["record_training"]("vl", [{"role": "user", "content": "q"}])
+    assert [(x.task, x.ord) for x in c.samples(spark).collect()] == [("vl", 0)] and c["search_documents"](None) is None
+    pages = spark.createDataFrame([(1, 1, 1, "", "alpha beta gamma"), (1, 1, 2, "", "nothing here")], "doc_no int, doc_id int, idx int, filename string, content string")
+    found = tools.Context(pages)["search_documents"](spark.createDataFrame([(7, "alpha beta")], "item_id int, text string")).collect()
+    assert [(x.item_id, x.idx) for x in found] == [(7, 1)]
+    assert [x.extraction for x in tools.extract(pages, ["doc_id"], most=10).collect()] == [""]
+
+
+def test_roles(spark):
+    df = spark.createDataFrame([(1, "hello", "a"), (2, "hi", "b"), (3, None, "a")], "i int, prompt string, role string")
+    out = tools.generate_by_role(df, "prompt", "role", "reply", {"a": lambda m: "A:" + m[0]["content"]}).orderBy("i")
+    assert [r.reply[:2] for r in out.collect()] == ["A:", "<r", "A:"]
+    assert {r.role: (r.calls, r.prompt_tokens) for r in tools.usage_by(out, ["role"], "reply_usage").collect()} == {"a": (2, 2), "b": (1, 1)}
+
+
+def test_patch_files(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"meta": {"owner": "me", "version": "1"}, "patches": {"RULES_BLOCK": {"append": "3. x"}, "NONE": {"action": "append", "content": "y"}}}')
+    rows, meta = PR.read_patches(spark, str(tmp_path / "p.json"))
+    b = PR.standard_blocks(spark, {"RULES_BLOCK": "1. a", "LANG_BLOCK": "{lang} {date}"}, "Korean", "2026-01-01")
+    assert meta["owner"] == "me" and {r.block_id: r.errors for r in PR.check(b, rows).collect()} == {"RULES_BLOCK": [], "NONE": ["unknown block"]}
+    assert {r.content for r in b.collect()} == {"1. a", "Answer in Korean. 2026-01-01"}
+    (tmp_path / "q.json").write_text('{"meta": {"owner": "a b"}, "patches": {}}')
+    with pytest.raises(ValueError, match="owner is misspelt; missing version"):
+        PR.read_patches(spark, str(tmp_path / "q.json"))
+
+
 def test_generate(spark):
     got = tools.generate(spark.createDataFrame([(1, "hello")], "i int, prompt string"), "prompt", "reply").first()
     assert "hello [1]" in got.reply
