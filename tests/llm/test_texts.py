@@ -460,6 +460,62 @@ def test_copies_of_ids_in_two_sources(spark):
     assert got == +want and all(r.copies.startswith("x") for r in mixing.with_copies(df).collect())
 
 
+#: Columns that the queries' contracts name.
+CONTRACTS = {
+    1: {"doc_id": "bigint", "n_removed": "bigint", "text_sha256": "string"},
+    2: {"doc_id": "bigint", "template": "string", "containment": "double"},
+    3: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    4: {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    5: {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    6: {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    7: {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
+    8: {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    9: {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    10: {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+}
+
+
+@pytest.mark.parametrize("number", sorted(CONTRACTS))
+def test_registered_query(spark, sf_dir, ranks, number):
+    """The query's columns and rows, and what plain code can say of them, over the whole smallest table."""
+    import zlib
+
+    from leafworks.llm import registry
+
+    name = next(n for n in registry.QUERIES if n.startswith(f"op{number}_"))
+    df = registry.QUERIES[name](spark, sf_dir)
+    kinds = dict(df.dtypes)
+    assert {c: kinds[c] for c in CONTRACTS[number]} == CONTRACTS[number]
+    rows = df.collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    if number not in (2, 7):
+        assert sorted(r.doc_id for r in rows) == sorted(docs)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    if number == 2:
+        assert rows and all(contained(docs[r.doc_id])[r.template] >= 0.8 for r in rows)
+        assert {i for i, t in docs.items() if max(contained(t).values()) >= 0.8} == {r.doc_id for r in rows}
+    enc = bpe.encoding(*ranks)
+    for r in rows if number not in (2, 7) else ():
+        text = docs[r.doc_id]
+        if number == 1:
+            assert r.n_lines == text.count("\n") + 1 and 0 <= r.n_removed <= r.n_lines
+        elif number == 4:
+            assert r.n_chars == len(text)
+        elif number == 5:
+            ids = np.array(enc.encode_ordinary(text), "<u4")
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(ids.tobytes()), sha(text.encode()))
+        elif number == 6:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(text)
+        elif number == 8:
+            found = brute_base(text)
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in found) for x in range(4)]
+            assert r.base_sha256 == sha(pii.digest(found).encode()) and set(pii.digest(found).split(",")) - {""} <= set(r.spans.split(","))
+        elif number == 9:
+            assert r.size == len(WORD.findall(text)) and r.taken <= 3 * r.size
+        elif number == 10:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     import public_tokenizers
