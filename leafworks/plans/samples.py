@@ -169,7 +169,7 @@ def tool_registry_table(spark, sf_dir):
     return PR.effective_tools(rows)
 
 
-@query("select block_id, ord, sealed, length(content)::int as size from (values ('ROLE', 'You answer.', 10, true), ('RULES', '1. Be brief.' || chr(10) || '2. Cite.', 50, false), ('STYLE', 'Plain.', 30, false), ('TOOLS_SEARCH', '{\"name\": \"search\"}', 60, false)) t(block_id, content, ord, sealed)")
+@query("select block_id, ord, sealed, length(content)::int as size from (values ('ROLE_BLOCK', 'You answer.', 10, true), ('RULES_BLOCK', '1. Be brief.' || chr(10) || '2. Cite.', 50, false), ('STYLE_BLOCK', 'Plain.', 30, false), ('TOOLS_SEARCH', '{\"name\": \"search\"}', 60, false)) t(block_id, content, ord, sealed)")
 def block_info(spark, sf_dir):
     return PR.blocks(spark, BLOCKS).select("block_id", "ord", "sealed", F.char_length("content").alias("size"))
 
