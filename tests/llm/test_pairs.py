@@ -390,6 +390,43 @@ def test_edit_distance():
     assert line_dedup.trimmed("abXcd", "abYZcd") == ("X", "YZ") and line_dedup.trimmed("aa", "aaa") == ("", "a")
 
 
+def test_majority():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 700, 50)
+    x, first = rng.integers(0, 1 << 32, size.sum(), dtype=np.uint32), np.cumsum(size) - size
+    got = line_dedup.majority(x, first, size)
+    for i, (a, n) in enumerate(zip(first, size, strict=True)):
+        assert got[i].tolist() == [2 * sum(int(v) >> j & 1 for v in x[a : a + n]) > n for j in range(32)]
+
+
+def test_large_buckets(monkeypatch):
+    """Bounds from distances to one line leave out no pair that joins components, alone or with small buckets."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = []
+    for bucket in range(3):
+        for i in range(60):
+            t = list(base)
+            for _ in range(rng.randint(0, 16)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            rows.append((bucket, bucket, bucket * 1000 + i, bucket * 1000 + i, 0, [bucket], "".join(t)))
+    names = ["bucket", "key", "id", "component", "chunk", "keys", "norm"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([*[(n, pa.int64()) for n in names[:5]], ("keys", pa.list_(pa.int64())), ("norm", pa.string())]))
+    for together in (8, 1 << 13):
+        monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        f, want = Forest(), Forest()
+        for b in line_dedup.links_in_keys(iter([batch.slice(0, 70), batch.slice(70)])):
+            for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f.join(x, y)
+        for k in range(3):
+            own = rows[60 * k : 60 * k + 60]
+            for n, x in enumerate(own):
+                for y in own[:n]:
+                    if edits(x[6], y[6], 12) <= 12:
+                        want.join(x[2], y[2])
+        assert [f.find(r[2]) for r in rows] == [want.find(r[2]) for r in rows]
+
+
 def test_components(spark):
     rng = random.Random(3)
     for n in (0, 1, 40, 200):
