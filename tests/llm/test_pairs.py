@@ -412,8 +412,9 @@ def test_large_buckets(monkeypatch):
             rows.append((bucket, bucket, bucket * 1000 + i, bucket * 1000 + i, 0, [bucket], "".join(t)))
     names = ["bucket", "key", "id", "component", "chunk", "keys", "norm"]
     batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([*[(n, pa.int64()) for n in names[:5]], ("keys", pa.list_(pa.int64())), ("norm", pa.string())]))
-    for together in (8, 1 << 13):
+    for together, few in ((8, 32), (1 << 13, 32), (1 << 13, 64)):
         monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        monkeypatch.setattr(line_dedup, "FEW", few)
         f, want = Forest(), Forest()
         for b in line_dedup.links_in_keys(iter([batch.slice(0, 70), batch.slice(70)])):
             for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
