@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from . import bpe, chat, chat_repair, fingerprints, licenses, line_dedup, mixing, ngram_join, pii, quality, toxicity, vector_codes, vector_dedup
 
 QUERIES = {
     "op1_fuzzy_lines": line_dedup.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_personal_data": pii.query,
     "op9_source_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
+    "op11_conversation_repair": chat_repair.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_vector_dedup": vector_dedup.query,
 }
 
 #: The others hash, learn, merge bytes or draw; they are tested by brute force.
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard": ngram_join.ORACLE,
     "op7_chat_windows": chat.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_vector_dedup": vector_dedup.ORACLE,
 }
