@@ -82,29 +82,33 @@ def apart(cosine: np.ndarray) -> np.ndarray:
 
 def cover_tree(u: np.ndarray, radii: tuple[float, ...] = RADII) -> list[Level]:
     """The levels of a cover tree of unit vectors, coarse to fine, the vectors themselves last."""
-    g = u @ u.T
+    n, g = len(u), u @ u.T
     net: list[int] = []
+    near, who = np.full(n, -2.0), np.zeros(n, int)  # the nearest node so far, by its place in the net
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     for radius in radii:
-        limit = 1 - radius * radius / 2
-        covered = (g[net] >= limit).any(axis=0) if net else np.zeros(len(u), bool)
+        limit, parents = 1 - radius * radius / 2, who.copy()
+        open_ = near < limit
         while True:
-            i = int(np.argmin(covered))
-            if covered[i]:
+            i = int(np.argmax(open_))
+            if not open_[i]:
                 break
+            nearer = g[i] > near
+            nearer[i] = True
+            near[nearer], who[nearer] = g[i][nearer], len(net)
+            near[i] = np.inf  # a node is its own
             net.append(i)
-            covered |= g[i] >= limit
-            covered[i] = True
-        nodes = np.array(net)
-        levels.append((nodes, np.argmax(g[nodes][:, levels[-1][0]], axis=1) if levels else np.zeros(len(nodes), int)))
-    levels.append((np.arange(len(u)), np.argmax(g[:, levels[-1][0]], axis=1)))
+            open_ &= near < limit
+        levels.append((np.array(net), parents[net] if levels else np.zeros(len(net), int)))
+    levels.append((np.arange(n), who))
     # From the vectors up: the node that each hangs from, and how far the farthest is.
-    out, at = [], np.arange(len(u))
+    out, at = [], np.arange(n)
     for k in range(len(levels) - 1, -1, -1):
         nodes, parents = levels[k]
         far = np.zeros(len(nodes))
         if k < len(levels) - 1:
-            np.maximum.at(far, at, apart(g[np.arange(len(u)), nodes[at]]))
+            centre = nodes[at]
+            np.maximum.at(far, at, np.where(centre == np.arange(n), 0, apart(g[np.arange(n), centre])))
         out.append((nodes, parents, far))
         at = parents[at]
     return out[::-1]
@@ -132,6 +136,7 @@ class Side:
             self.x, self.copies = f["x"], f["copies"]
             self.levels = [(f[f"n{i}"], f[f"p{i}"], f[f"r{i}"]) for i in range(int(f["depth"]))]
         self.u = unit(self.x.astype(float))
+        self.short = self.u.astype(np.float32)
 
 
 def blob_of(x: np.ndarray, copies: np.ndarray, levels: list[Level]) -> bytes:
@@ -141,46 +146,104 @@ def blob_of(x: np.ndarray, copies: np.ndarray, levels: list[Level]) -> bytes:
     return out.getvalue()
 
 
+def _reached(dot: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float, slack: float) -> np.ndarray:
+    """Which pairs of nodes may hold a link, by their centres' cosines: pairs of single vectors, mostly all, against one number."""
+    out = np.empty(dot.shape, bool)
+    wide_a, wide_b = np.flatnonzero(ra > 0), np.flatnonzero(rb > 0)
+    limit = lambda radii: 1 - np.square(np.minimum(reach + radii + MARGIN, 2)) / 2 - slack
+    np.greater_equal(dot, dot.dtype.type(limit(0.0)), out=out)
+    if len(wide_a):
+        out[wide_a] = dot[wide_a] >= limit(ra[wide_a][:, None] + rb)
+    if len(wide_b):
+        out[:, wide_b] = dot[:, wide_b] >= limit(ra[:, None] + rb[wide_b])
+    return out
+
+
+def _added(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=weights, minlength=n).astype(np.int64)
+
+
+#: Pairs are held one by one up to this share of all; above it they are a matrix.
+SPARSE = 1 / 16
+
+
+def _children(parents: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes by their parents, where each parent's begin, how many they are)."""
+    sizes = np.bincount(parents, minlength=n)
+    return np.argsort(parents, kind="stable"), np.cumsum(sizes) - sizes, sizes
+
+
+def _expanded(i: np.ndarray, j: np.ndarray, down_a: tuple, down_b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children of the pairs (i, j)."""
+    (ka, sa, na), (kb, sb, nb) = down_a, down_b
+    sizes = na[i] * nb[j]
+    of = np.repeat(np.arange(len(i)), sizes)
+    place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+    width = nb[j][of]
+    return ka[sa[i][of] + place // width], kb[sb[j][of] + place % width]
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """x[i] by y[j], pair by pair, or as a product of matrices where most pairs are asked for."""
+    rows, at = np.unique(i, return_inverse=True)
+    cols, to = np.unique(j, return_inverse=True)
+    if len(i) > SPARSE * len(rows) * len(cols):
+        return (x[rows] @ y[cols].T)[at, to]
+    return np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
+
+
 def traverse(a: Side, b: Side, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of a's vectors into b, of b's into a, joining edges); the vectors of b are numbered after those of a."""
+    """(links of a's vectors into b, of b's into a, joining edges); the vectors of b are numbered after those of a.
+
+    Cosines of centres are taken in single precision, whose rounding error
+    (at most ``slack``) every bound allows for; pairs of vectors that are left
+    at the end are taken in double precision.
+    """
     reach, na = math.sqrt(2 - 2 * least), len(a.u)
+    slack = (a.u.shape[1] + 8) * 2.0**-23
     counts = np.zeros(na, np.int64), np.zeros(len(b.u), np.int64)
     edges: list[np.ndarray] = []
-    open_ = np.ones((1, 1), bool)
+    i = j = np.zeros(1, int)  # the open pairs of nodes of a level
     for k, ((an, ap, ar), (bn, bp, br)) in enumerate(zip(a.levels, b.levels, strict=True)):
-        mask = open_[ap][:, bp] if k else open_
-        rows, cols = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
-        if not len(rows):
-            break
-        here = np.ix_(rows, cols)
-        dot = a.u[an[rows]] @ b.u[bn[cols]].T
+        if k:
+            down_a, down_b = _children(ap, len(a.levels[k - 1][0])), _children(bp, len(b.levels[k - 1][0]))
+            if (down_a[2][i] * down_b[2][j]).sum() > SPARSE * len(an) * len(bn):
+                open_ = np.zeros((len(a.levels[k - 1][0]), len(b.levels[k - 1][0])), bool)
+                open_[i, j] = True
+                live = _reached(a.short[an] @ b.short[bn].T, ar, br, reach, slack)
+                i, j = np.nonzero(live)
+                held = open_[ap[i], bp[j]]
+                i, j = i[held], j[held]
+            else:
+                i, j = _expanded(i, j, down_a, down_b)
         if k == len(a.levels) - 1:
-            link = mask[here] & (dot >= least)
-            for i, j in np.argwhere(mask[here] & (np.abs(dot - least) < 1e-9)):
-                link[i, j] = exact_cosine(a.x[rows[i]], b.x[cols[j]]) >= least
-            counts[0][rows] += link @ b.copies[cols]
-            counts[1][cols] += a.copies[rows] @ link
-            i, j = np.nonzero(link)
-            edges.append(np.stack([rows[i], na + cols[j]], axis=1))
+            dot = _cosines(a.u, b.u, i, j)
+            link = dot >= least
+            for p in np.flatnonzero(np.abs(dot - least) < 1e-9):
+                link[p] = exact_cosine(a.x[i[p]], b.x[j[p]]) >= least
+            i, j = i[link], j[link]
+            counts[0][:] += _added(i, b.copies[j], na)
+            counts[1][:] += _added(j, a.copies[i], len(b.u))
+            edges.append(np.stack([i, na + j], axis=1))
             break
-        radii = ar[rows][:, None] + br[cols]
-        outer, inner = np.minimum(reach + radii + MARGIN, 2), reach - radii - MARGIN
-        live = mask[here] & (dot >= 1 - outer * outer / 2)
-        whole = live & (inner > 0) & (dot >= 1 - inner * inner / 2)
+        dot, radii = _cosines(a.short, b.short, an[i], bn[j]), ar[i] + br[j]
+        near = dot >= 1 - np.square(np.minimum(reach + radii + MARGIN, 2)) / 2 - slack
+        # Single vectors link at the last level, where the threshold itself is tested.
+        inner = np.maximum(reach - radii - MARGIN, 0)
+        whole = (dot >= 1 - inner * inner / 2 + slack) & (inner > 0) & (radii > 0)
         if whole.any():
             # Every vector of the one node links with every one of the other.
+            wi, wj = i[whole], j[whole]
             in_a, in_b = members(a.levels, k), members(b.levels, k)
-            full = np.zeros(mask.shape, bool)
-            full[here] = whole
-            counts[0][:] += (full @ np.bincount(in_b, weights=b.copies, minlength=len(bn)).astype(np.int64))[in_a]
-            counts[1][:] += (np.bincount(in_a, weights=a.copies, minlength=len(an)).astype(np.int64) @ full)[in_b]
-            i, j = np.nonzero(full)
-            edges.append(np.stack([an[i], na + bn[j]], axis=1))
-            p, q = np.flatnonzero(full.any(axis=1)[in_a]), np.flatnonzero(full.any(axis=0)[in_b])
+            counts[0][:] += _added(wi, np.bincount(in_b, weights=b.copies, minlength=len(bn))[wj], len(an))[in_a]
+            counts[1][:] += _added(wj, np.bincount(in_a, weights=a.copies, minlength=len(an))[wi], len(bn))[in_b]
+            edges.append(np.stack([an[wi], na + bn[wj]], axis=1))
+            p, q = np.flatnonzero(np.isin(in_a, wi)), np.flatnonzero(np.isin(in_b, wj))
             edges.append(np.stack([p, an[in_a[p]]], axis=1))
             edges.append(np.stack([na + q, na + bn[in_b[q]]], axis=1))
-        open_ = np.zeros(mask.shape, bool)
-        open_[here] = live & ~whole
+        i, j = i[near & ~whole], j[near & ~whole]
+        if not len(i):
+            break
     return *counts, np.concatenate(edges) if edges else np.zeros((0, 2), int)
 
 
