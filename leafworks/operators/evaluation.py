@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 ANSWERS = {"YES": 1.0, "PARTIAL": 0.5, "NO": 0.0}
 
 
@@ -35,18 +37,49 @@ def with_ratings(results: DataFrame, ratings: DataFrame) -> DataFrame:
     return results.join(ratings.groupBy("query_id").agg(F.avg("score").alias("human")), "query_id")
 
 
-def average_rank(value: str, within: list[str]) -> Column:
-    """Ranks from 1 in which equals share their mean."""
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*within, value))
-    return F.rank().over(Window.partitionBy(*within).orderBy(value)) + (peers - 1) / 2
+def average_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, rank, centred) of (keys, value, n), a row for each distinct value of a group that has n of it.
+
+    Ranks from 1 in which equals share their mean; ``centred`` is the rank
+    less the group's mean rank, (all n + 1) / 2. Groups of any size: distinct
+    values are dealt to tasks by ranges, each task adds up within its range,
+    and only sums, one a group and task, are added up across. Equals are one
+    row, so none are parted by the end of a range. Null values rank first,
+    NaN last.
+    """
+    order = [F.col(k) for k in [*keys, value]]
+    dealt = written(counts.repartitionByRange(*order).select(*order, "n", F.spark_partition_id().alias("part_")))
+    parts = dealt.groupBy(*keys, "part_").agg(F.sum("n").alias("in_"))
+    group, before = Window.partitionBy(*keys), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("in_").over(before(group.orderBy("part_"))), F.lit(0))
+    starts = parts.select(*[F.col(k).alias(f"{k}_of_start") for k in keys], F.col("part_").alias("p_"), offset.alias("start_"), F.sum("in_").over(group).alias("all_"))
+    below = F.coalesce(F.sum("n").over(before(Window.partitionBy(*keys, "part_").orderBy(value))), F.lit(0))
+    same = F.col("part_") == F.col("p_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_of_start"))
+    rank = F.col("start_") + F.col("below_") + (F.col("n") + 1) / 2
+    return dealt.withColumn("below_", below).join(starts, same).select(*order, rank.alias("rank"), (rank - (F.col("all_") + 1) / 2).alias("centred"))
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, n, rho): correlation of average ranks; null if either side doesn't vary."""
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = full.withColumn("rx", average_rank(x, keys)).withColumn("ry", average_rank(y, keys))
-    parts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("rx", "ry").alias("both_"), F.stddev_pop("rx").alias("sx_"), F.stddev_pop("ry").alias("sy_"))
-    return parts.select(*keys, "n", F.try_divide("both_", F.nullif(F.col("sx_") * F.col("sy_"), F.lit(0.0))).alias("rho"))
+    """(keys, n, rho): correlation of average ranks; null if either side doesn't vary.
+
+    Rows are counted by their values first; no group is sorted or held in one
+    task. Rows that lack a value are left out, and so are groups without any.
+    """
+    names = [*keys, "x_", "y_"]
+    cells = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x_"), F.col(y).alias("y_")).groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    met = cells
+    for side in ("x_", "y_"):
+        ranks = average_ranks(cells.groupBy(*keys, side).agg(F.sum("n").alias("n")), keys, side)
+        ranks = ranks.select(*[F.col(c).alias(f"{c}of_{side}") for c in [*keys, side]], F.col("centred").alias(f"r{side}"))
+        same = F.lit(True)
+        for c in [*keys, side]:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}of_{side}"))
+        met = met.join(ranks, same).drop(*[f"{c}of_{side}" for c in [*keys, side]])
+    total = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    parts = met.groupBy(*keys).agg(F.sum("n").alias("n"), total("rx_", "ry_").alias("both_"), total("rx_", "rx_").alias("xx_"), total("ry_", "ry_").alias("yy_"))
+    return parts.select(*keys, "n", F.try_divide("both_", F.nullif(F.sqrt("xx_") * F.sqrt("yy_"), F.lit(0.0))).alias("rho"))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:

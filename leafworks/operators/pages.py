@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip
-
+from . import budget as B
 
 #: Ids in a block of document numbers.
 BLOCK = 4096
@@ -32,9 +32,11 @@ def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def split_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A page per line of a text; documents number within their bundle (``source``)."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "content"))
-    pages = lines.select(id_col, (F.col("pos") + 1).alias("idx"), (F.col("pos") + 1).alias("page"), F.concat(F.lit("doc_"), F.col(id_col).cast("string")).alias("filename"), "content")
-    return pages.join(numbered(docs, id_col), id_col)
+    # Documents meet their numbers before they are split: texts move once, and a document of two bundles is two.
+    known = numbered(docs, id_col).select(F.col(id_col).alias("id_"), F.col("source").alias("source_"), "doc_no")
+    met = docs.select(id_col, "source", F.col(text_col).alias("text_")).join(known, (F.col(id_col) == F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")))
+    lines = met.select(F.col(id_col), "source", "doc_no", F.posexplode(F.split("text_", "\n")).alias("pos", "content"))
+    return lines.select(id_col, (F.col("pos") + 1).alias("idx"), (F.col("pos") + 1).alias("page"), F.concat(F.lit("doc_"), F.col(id_col).cast("string")).alias("filename"), "content", "source", "doc_no")
 
 
 def page_lines(docs: DataFrame) -> DataFrame:
@@ -105,34 +107,38 @@ def evidences(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "idx", F.coalesce("page", "idx").alias("page"), F.coalesce(*[F.col(c) for c in names], F.lit("")).alias("context"))
 
 
-#: The fold of ``truncate``: a clipped piece costs nothing and ends its document alone.
-_FOLD = """
-aggregate(chunks, struct(0L as used, -1 as stop, cast(array() as array<string>) as parts), (acc, x) ->
-  case when acc.stop = x.doc_no then acc
-       when acc.used + x.size <= {most} then struct(acc.used + x.size as used, acc.stop as stop, array_append(acc.parts, x.chunk) as parts)
-       when {most} - acc.used > {least} then struct(acc.used as used, x.doc_no as stop, array_append(acc.parts, concat(left(x.chunk, int({most} - acc.used)), '...')) as parts)
-       else struct(acc.used as used, x.doc_no as stop, acc.parts as parts) end,
-  acc -> array_join(acc.parts, '\\n\\n'))
-"""
-
-
-def truncate(pages: DataFrame, key: str, most: int = 80000, least: int = 100, measure: Column | None = None) -> DataFrame:
-    """(key, body): labelled pages of all documents of a key within a budget.
+def budget_pieces(pages: DataFrame, key: str, most: int = 80000, least: int = 100, measure: Column | None = None) -> DataFrame:
+    """(bundle, doc_no, idx, piece): labelled pages of all documents of a key within a budget, a row each.
 
     A page that doesn't fit is clipped (if over ``least`` remains) and ends
     its document; the clipped piece doesn't use up the budget, so each later
     document may add one. ``measure`` counts a chunk (column ``chunk``), its
-    characters by default; clipping is by characters. Chunks are collected
-    per key with their texts cut to the budget, so a key holds what can
-    appear and no more per page; a budget is an answer's context, small.
+    characters by default; clipping is by characters.
+    """
+    chunk = F.concat(F.lit("[Doc"), F.col("doc_no").cast("string"), F.lit(" Page"), F.col("page").cast("string"), F.lit("] "), F.coalesce("content", F.lit("")))
+    rows = pages.select(F.col(key).alias("bundle"), "doc_no", "idx", chunk.alias("chunk"))
+    size = F.char_length("chunk") if measure is None else measure
+    return B.pieces(rows, B.Rule(most, least), F.col("chunk"), size, lambda rest: F.concat(F.left("chunk", rest), F.lit("...")))
+
+
+def truncate(pages: DataFrame, key: str, most: int = 80000, least: int = 100, measure: Column | None = None) -> DataFrame:
+    """(key, body): ``budget_pieces`` of a key as one text."""
+    bundles = pages.select(F.col(key).alias("bundle")).distinct()
+    return B.joined(budget_pieces(pages, key, most, least, measure), bundles).withColumnRenamed("bundle", key)
+
+
+def gather_sources(pages: DataFrame, key: str, most: int = 12000, least: int = 200, n_pages: int = 12) -> DataFrame:
+    """(key, body): the first ``n_pages`` pages of each document that aren't empty, within a budget of their contents' characters.
+
+    Heads cost nothing and aren't clipped; they show a page number if pages
+    have one as ``page_num``, else a question mark. A bundle without such
+    pages has an empty body.
     """
-    chunk = F.concat(F.lit("[Doc"), F.col("doc_no").cast("string"), F.lit(" Page"), F.col("page").cast("string"), F.lit("] "), F.col("content"))
-    sized = pages.withColumn("chunk", chunk).withColumn("size", (F.char_length("chunk") if measure is None else measure).cast("long")).withColumn("chunk", F.left("chunk", F.lit(most + 1)))
-    # Once a document has stopped nothing of it follows: its pages beyond the budget can go before they are gathered.
-    before = F.coalesce(F.sum("size").over(Window.partitionBy(key, "doc_no").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = sized.withColumn("before_", before).where(F.col("before_") <= most).drop("before_")
-    rows = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("doc_no", "idx", "chunk", "size"))).alias("chunks"))
-    return rows.select(key, F.expr(_FOLD.format(most=most, least=least)).alias("body"))
+    number = F.coalesce(F.col("page_num").cast("string"), F.lit("?")) if "page_num" in pages.columns else F.lit("?")
+    head = F.concat(F.lit("[Doc "), F.col("doc_no").cast("string"), F.lit(", p."), number, F.lit("]\n"))
+    rows = pages.where((F.col("idx") <= n_pages) & (F.coalesce("content", F.lit("")) != "")).select(F.col(key).alias("bundle"), "doc_no", "idx", head.alias("head"), "content")
+    taken = B.pieces(rows, B.Rule(most, least), F.concat("head", "content"), F.char_length("content"), lambda rest: F.concat("head", F.left("content", rest), F.lit("...")))
+    return B.joined(taken, pages.select(F.col(key).alias("bundle")).distinct()).withColumnRenamed("bundle", key)
 
 
 def base_format(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
+from . import spans
 
 
 def top_k(scored: DataFrame, keys: list[str], order: list[Column], k: int = 8, score: str = "score", least: float = 0.0) -> DataFrame:
@@ -108,13 +109,15 @@ def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_k
 def contained_words(nodes: DataFrame, pages: DataFrame, on: str) -> DataFrame:
     """For nodes (on, node, label): the page of the same document whose text contains most of the label's words, the first of equals.
 
-    Containment of substrings, so a join on the document alone; pages of one
-    document meet its own labels only.
+    Containment of substrings, by automata: a page passes once, whatever the
+    number of its document's labels.
     """
-    met = nodes.withColumn("words", keywords("label")).join(pages.select(on, "idx", F.lower("content").alias("low")), on)
-    scored = met.withColumn("score", F.size(F.filter("words", lambda w: F.col("low").contains(w))))
-    best = scored.groupBy(on, "node", "label").agg(F.max(F.struct("score", (-F.col("idx")).alias("at"), F.size("words").alias("n"))).alias("b"))
-    return best.where(F.col("b.score") >= F.greatest(F.lit(2.0), F.col("b.n") * 0.4)).select(on, "node", (-F.col("b.at")).alias("idx"), F.col("b.score").alias("score"))
+    labels = nodes.select(on, F.col("node").cast("string").alias("node"), keywords("label").alias("words"))
+    scored = spans.scores(pages.select(on, "idx", F.lower("content").alias("low")), labels, on)
+    best = scored.groupBy(on, "node").agg(F.max(F.struct("score", (-F.col("idx")).alias("at"))).alias("b"))
+    asked = nodes.select(F.col(on).alias("on_"), F.col("node").alias("as_given_"), F.size(keywords("label")).alias("n_"))
+    met = best.join(asked, F.col(on).eqNullSafe(F.col("on_")) & (F.col("node") == F.col("as_given_").cast("string")))
+    return met.where(F.col("b.score") >= F.greatest(F.lit(2.0), F.col("n_") * 0.4)).select(on, F.col("as_given_").alias("node"), (-F.col("b.at")).alias("idx"), F.col("b.score").alias("score"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column], within: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import pages as P
 from ..sources import documents as D
 from .base import query, table
@@ -93,9 +92,29 @@ def truncate_budget(spark, sf_dir):
     return P.truncate(P.split_pages(table(spark, sf_dir, "documents")), "source", 4000)
 
 
-@query(_fold(12000, 200), name="gather_budget")
+@query(f"""with kept as (select source, doc_no, idx, '[Doc ' || doc_no || ', p.?]' || chr(10) as head, content from {PAGES} where idx <= 12 and content <> ''),
+  folded as (select source, array_to_string(list_reduce(list(struct_pack(used := 0::bigint, stop := doc_no::bigint, parts := [head, content], size := length(content)::bigint) order by doc_no, idx), lambda a, x:
+      case when a.stop = x.stop then a
+           when a.used + x.size <= 12000 then struct_pack(used := a.used + x.size, stop := a.stop, parts := list_append(a.parts, x.parts[1] || x.parts[2]), size := 0::bigint)
+           when 12000 - a.used > 200 then struct_pack(used := a.used, stop := x.stop, parts := list_append(a.parts, x.parts[1] || left(x.parts[2], 12000 - a.used) || '...'), size := 0::bigint)
+           else struct_pack(used := a.used, stop := x.stop, parts := a.parts, size := 0::bigint) end,
+      struct_pack(used := 0::bigint, stop := -1::bigint, parts := []::varchar[], size := 0::bigint)).parts, chr(10) || chr(10)) as body from kept group by source)
+  select s.source, coalesce(f.body, '') as body from (select distinct source from {PAGES}) s left join folded f on s.source is not distinct from f.source""")
 def gather_budget(spark, sf_dir):
-    return P.truncate(P.split_pages(table(spark, sf_dir, "documents")), "source", 12000, 200)
+    return P.gather_sources(P.split_pages(table(spark, sf_dir, "documents")), "source")
+
+
+@query(f"""with folded as (select source, unnest(list_reduce(list(struct_pack(used := 0::bigint, stop := doc_no::bigint, parts := [struct_pack(doc_no := doc_no::int, idx := idx::int, piece := chunk)], size := size::bigint) order by doc_no, idx), lambda a, x:
+      case when a.stop = x.stop then a
+           when a.used + x.size <= 80000 then struct_pack(used := a.used + x.size, stop := a.stop, parts := list_concat(a.parts, x.parts), size := 0::bigint)
+           when 80000 - a.used > 100 then struct_pack(used := a.used, stop := x.stop, parts := list_append(a.parts, struct_pack(doc_no := x.parts[1].doc_no, idx := x.parts[1].idx, piece := left(x.parts[1].piece, 80000 - a.used) || '...')), size := 0::bigint)
+           else struct_pack(used := a.used, stop := x.stop, parts := a.parts, size := 0::bigint) end,
+      struct_pack(used := 0::bigint, stop := -1::bigint, parts := []::struct(doc_no int, idx int, piece varchar)[], size := 0::bigint)).parts) as p
+      from (select *, length(chunk) as size from (select *, '[Doc' || doc_no || ' Page' || page || '] ' || content as chunk from {PAGES})) group by source)
+  select source, p.doc_no as doc_no, p.idx as idx, p.piece as piece from folded""")
+def budget_pieces(spark, sf_dir):
+    """What a budget of 80,000 takes of each bundle, a page or piece a row."""
+    return P.budget_pieces(P.split_pages(table(spark, sf_dir, "documents")), "source").withColumnRenamed("bundle", "source")
 
 
 @query(f"""select source, max(case when doc_no = 1 then filename end) as filename_1, count(case when doc_no = 1 then 1 end) as n_1, max(case when doc_no = 2 then filename end) as filename_2, count(case when doc_no = 2 then 1 end) as n_2 from {PAGES} where doc_no <= 2 group by source""")
@@ -185,4 +204,3 @@ def request_log_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(safe_payload(m))), ",").alias("kept"))
 
 
-_ = T

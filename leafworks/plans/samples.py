@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import prompts as PR
 from ..operators import samples as S
+from ..sources import session_log
+from ..sources.folders import shared_folder
 from ..sources.sinks import session_counts
 from .base import query, table
 
@@ -90,6 +94,21 @@ def session_sample_counts(spark, sf_dir):
     return session_counts(table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumnRenamed("conv_id", "session_id"))
 
 
+@query("""select conv_id::varchar as session_id, count(*) as samples, count(distinct conv_id % 2 = turn % 2) as appends, md5(string_agg(text, chr(10) order by turn, text)) as texts_md5
+  from conversations where role = 'assistant' group by conv_id""")
+def session_catalog(spark, sf_dir):
+    """Samples appended in two goes, one of them tried twice: what the catalog has, and the samples themselves."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    made = turns.select("conv_id", F.col("conv_id").cast("string").alias("session_id"), F.to_json(F.struct("turn", "text")).alias("sample"), (F.col("conv_id") % 2 == F.col("turn") % 2).alias("even"))
+    path = f"{shared_folder(spark)}/sessions/{uuid.uuid4().hex}"
+    for part, name in ((True, "even"), (False, "odd"), (True, "even")):
+        session_log.append_samples(made.where(F.col("even") == part), path, name)
+    kept = session_log.samples(spark, path)
+    text = F.transform(F.array_sort(F.collect_list(F.struct(F.get_json_object("sample", "$.turn").cast("long").alias("turn"), F.get_json_object("sample", "$.text").alias("text")))), lambda x: x["text"])
+    texts = kept.groupBy("session_id").agg(F.md5(F.array_join(text, "\n")).alias("texts_md5"))
+    return session_log.catalog(spark, path).join(texts, "session_id").select("session_id", "samples", "appends", "texts_md5")
+
+
 SAMPLE = "case doc_id % 4 when 0 then '{\"user_query\": \"q\", \"filenames\": [], \"reasoning\": [], \"doc_step\": [], \"vl_analysis\": [[1]], \"empty\": [], \"note\": \"x\"}' when 1 then '{\"user_query\": \"q\", \"filenames\": 3}' when 2 then 'nope{' else '{\"filenames\": [], \"reasoning\": [], \"doc_step\": [], \"b\": [2], \"a\": [1]}' end"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import keywords
 from ..operators import pages as P
 from ..operators import viz as V
 from .base import query, table
@@ -176,3 +178,16 @@ def source_attribution(spark, sf_dir):
     p = P.page_lines(table(spark, sf_dir, "documents"))
     labels = p.groupBy("doc_id").agg(F.substring(F.max_by("content", "idx"), 1, 8).alias("label")).where("label <> ''").withColumn("element", F.lit(0))
     return V.attribute(labels, p.select("doc_id", F.col("idx").alias("chunk"), "content"), "doc_id").select("doc_id", "element", "chunk", F.col("start").cast("int").alias("start"))
+
+
+@query(f"""with w as (select doc_id, word, row_number() over (partition by doc_id order by word) - 1 as element from (
+    select distinct doc_id, unnest(list_filter(string_split_regex(lower(content), '[\\s/·,]+'), lambda x: length(x) >= 2)) as word from {PAGES} where idx = 1)),
+  p as (select doc_id, idx, lower(content) as low from {PAGES})
+  select doc_id, element::int as element, idx::bigint as chunk, place::bigint as start, (place + length(word) - 1)::bigint as stop from (
+    select w.doc_id, element, idx, word, unnest(list_filter(range(1, length(low) - length(word) + 2), lambda i: substr(low, i, length(word)) = word)) as place from w join p on w.doc_id = p.doc_id and contains(low, word))""")
+def evidence_spans(spark, sf_dir):
+    """All places, in all pages of a document, of the words that its first page has, each word an element."""
+    p = P.page_lines(table(spark, sf_dir, "documents"))
+    words = p.where("idx = 1").select("doc_id", F.explode(F.array_distinct(keywords("content"))).alias("label")).distinct()
+    elements = words.withColumn("element", (F.row_number().over(Window.partitionBy("doc_id").orderBy("label")) - 1).cast("int"))
+    return V.evidence(elements, p.select("doc_id", F.col("idx").alias("chunk"), "content"), "doc_id")

@@ -6,13 +6,13 @@ and bounded by the watermark.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -39,17 +39,6 @@ def sessionized(stream: DataFrame, gap: str = "6 hours") -> DataFrame:
     return with_watermark(stream).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or that the session was given; a temporary one only where all runs on this machine."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafworks-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def run_to_table(out: DataFrame, path: str, checkpoint: str) -> None:
     """Append finished windows to a table, exactly once, restartable from the checkpoint."""
     q = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
