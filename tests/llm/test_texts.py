@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -241,6 +242,16 @@ def test_toxicity_edges(spark, edges, empty, labels, no_labels):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_of_the_tables(spark):
+    """Held-out rows of the given labels: most toxic documents are found, hardly any other."""
+    sf_dir = os.path.join(os.path.dirname(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")), "sf0.1")
+    if not os.path.exists(f"{sf_dir}/labels.parquet"):
+        pytest.skip("no larger tables here")
+    got = toxicity.query(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    hits, wrong = [r.predicted for r in got if r.toxic], [r.predicted for r in got if not r.toxic]
+    assert len(hits) > 50 and np.mean(hits) >= 0.8 and np.mean(wrong) < 0.005
+
+
 def test_licenses(spark, edges, empty):
     mit = licenses.TEMPLATES["MIT/grant"]
     words = mit.split(" ")
