@@ -27,7 +27,7 @@ _SHAPE = "struct<type:string,data:struct<labels:array<string>,datasets:array<str
 
 def described(spark, sf_dir, kind: str, look: str):
     """(doc_id, kind, title, labels, sets, look): a configuration's parts; ``look`` is a path in its JSON."""
-    s = C.specs(charts_of(spark, sf_dir, kind), "doc_id", "text").withColumn("config", C.config(F.col("spec")))
+    s = C.specs(charts_of(spark, sf_dir, kind), "doc_id", "text").withColumn("config", C.config(F.col("spec"), kinds=(kind,)))
     c = s.withColumn("j", F.from_json("config", _SHAPE))
     number = lambda v: F.coalesce(v.cast("bigint").cast("string"), F.lit("-"))
     sets = F.array_join(F.transform("j.data.datasets", lambda d: F.concat_ws("|", F.coalesce(d["label"], F.lit("")), F.array_join(F.transform(d["data"], number), ","), d["backgroundColor"])), ";")
@@ -68,7 +68,7 @@ for _kind in ("pie", "donut"):
 _cc = ",".join(f'"{c}CC"' for c in C.COLORS[:3])
 _register("funnel", oracle("bar", f"case when bare then '||[]' else '|' || case when c > a then c || ',' || a || ',' || a else a || ',' || a || ',' || c end || '|[{_cc}]' end", "'y'", "case when bare then '' when c > a then 'two|one|three' when c = a then 'one|two|three' else 'one|three|two' end"), "$.options.indexAxis")
 _up, _down = f'"{C.COLORS[0]}CC"', f'"{C.COLORS[5]}CC"'
-_register("waterfall", oracle("bar", f"case when bare then 'Base||[\"transparent\"];Value||[]' else 'Base|0,' || a || ',' || (a + b) || '|[\"transparent\"];Value|' || a || ',' || b || ',' || c || '|[{_up},' || case when b >= 0 then '{_up}' else '{_down}' end || ',{_up}]' end", "'true'", "case when bare then '' else 'one|two|three' end"), "$.options.scales.x.stacked")
+_register("waterfall", oracle("bar", f"case when bare then 'Base||transparent;Value||[]' else 'Base|0,' || a || ',' || (a + b) || '|transparent;Value|' || a || ',' || b || ',' || c || '|[{_up},' || case when b >= 0 then '{_up}' else '{_down}' end || ',{_up}]' end", "'true'", "case when bare then '' else 'one|two|three' end"), "$.options.scales.x.stacked")
 
 
 @query(f"""select doc_id, row_labels, string_agg(x || ':' || y || ':' || v || ':' || round(case when hi > lo then (v - lo) / (hi - lo) else 0.5 end, 6), ';' order by y, x) as points from (
@@ -76,7 +76,7 @@ _register("waterfall", oracle("bar", f"case when bare then 'Base||[\"transparent
   union all select doc_id, '', '' from {_D} where bare""")
 def chart_config_heatmap(spark, sf_dir):
     """Cells with their intensity between the least and the greatest value, 0.5 if all are equal."""
-    s = C.specs(charts_of(spark, sf_dir, "heatmap"), "doc_id", "text").withColumn("config", C.config(F.col("spec")))
+    s = C.specs(charts_of(spark, sf_dir, "heatmap"), "doc_id", "text").withColumn("config", C.config(F.col("spec"), kinds=("heatmap",)))
     m = F.from_json(F.get_json_object("config", "$._heatmapMeta"), "struct<points:array<struct<x:int,y:int,v:double,intensity:double>>,yLabels:array<string>>")
     points = F.array_join(F.transform("m.points", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"), p["v"].cast("string"), F.round(p["intensity"], 6).cast("string"))), ";")
     return s.withColumn("m", m).select("doc_id", F.coalesce(F.array_join("m.yLabels", "|"), F.lit("")).alias("row_labels"), F.coalesce(points, F.lit("")).alias("points"))
@@ -99,3 +99,29 @@ def mindmap_pages(spark, sf_dir):
     page = C.mindmap_page(F.lit(""), F.col("source"), F.when(F.col("lang") == "en", "dark").otherwise(F.col("lang")), data)
     d = d.select("doc_id", page.alias("page"))
     return d.select("doc_id", F.regexp_extract("page", "<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("page", '<body class="(.*?)">', 1).alias("theme"), (F.regexp_count("page", F.lit("</script>")) == 1).alias("safe"))
+
+
+_LOOKS = ", ".join(f"('{t}', '{c.split(' ')[0]}', '{c.split(' ')[5]}', '{back}', '{text}', '{grid}')" for t, (c, back, text, grid, _) in C.THEMES.items())
+
+
+@query(f"""with t(theme, first, sixth, background, text_color, grid) as (values {_LOOKS}),
+  d as (select doc_id, coalesce(nullif(regexp_extract(text, '[a-z]+', 0), ''), 'none') as word, lang, n_chars, case doc_id % 6 when 0 then 'modern' when 1 then 'warm' when 2 then 'dark' when 3 then 'minimal' when 4 then 'other' else 'corporate' end as asked from documents where text is not null)
+  select doc_id, asked as theme, case doc_id % 3 when 0 then 'pie' when 1 then 'bubble' else 'bar' end as kind, word || ' of ' || lang as title, case doc_id % 3 when 0 then first || ',' || background when 1 then first || '33,' || first || 'ff' else 'transparent,' || first || 'CC' || sixth || 'CC' end as colors,
+    case when doc_id % 3 = 0 then null else grid end as grid, case when doc_id % 3 = 1 then n_chars::bigint when doc_id % 3 = 0 then n_chars::bigint else 0 end as value, background || text_color as page_colors, doc_id % 3 = 1 as named_cells, true as whole
+  from d join t on t.theme = case when asked = 'other' then 'corporate' else asked end""")
+def chart_themes(spark, sf_dir):
+    """Pies, heat maps and waterfalls of words and sizes of the documents, in the theme that each row asks for, on pages of their own."""
+    d = table(spark, sf_dir, "documents").where("text is not null").selectExpr(
+        "doc_id", "lang", "cast(n_chars as long) n_chars", "coalesce(nullif(regexp_extract(text, '[a-z]+', 0), ''), 'none') word", "case doc_id % 6 when 0 then 'modern' when 1 then 'warm' when 2 then 'dark' when 3 then 'minimal' when 4 then 'other' else 'corporate' end theme",
+        "case doc_id % 3 when 0 then 'pie' when 1 then 'heatmap' else 'waterfall' end kind",
+    )
+    body = F.expr("if(kind = 'heatmap', concat('x: [', lang, ', ', word, ']\ny: [size]\ndata:\n  [0, ', n_chars, ']\n'), concat('series:\n  ', word, ': [', n_chars, ']\n  less: [-1]\n'))")
+    text = F.concat(F.lit("chart:"), F.col("kind"), F.lit("\ntitle: "), F.col("word"), F.lit(" of "), F.col("lang"), F.lit("\n"), body)
+    s = C.specs(d.select("doc_id", text.alias("text")), "doc_id", "text").join(d.select("doc_id", "theme"), "doc_id").withColumn("look", C.looks(F.col("theme")))
+    s = s.withColumn("config", C.config(F.col("spec"), F.col("look"), ("pie", "heatmap", "waterfall"))).withColumn("page", C.chart_page(F.col("config"), F.col("look")))
+    at = lambda path: F.get_json_object("config", path)
+    colors = F.when(F.col("spec.type") == "pie", F.concat_ws(",", at("$.data.datasets[0].backgroundColor[0]"), at("$.data.datasets[0].borderColor"))).when(F.col("spec.type") == "heatmap", F.concat_ws(",", at("$.data.datasets[0].backgroundColor[0]"), at("$.data.datasets[0].backgroundColor[1]")))
+    colors = F.coalesce(colors, F.concat(at("$.data.datasets[0].backgroundColor"), F.lit(","), at("$.data.datasets[1].backgroundColor[0]"), at("$.data.datasets[1].backgroundColor[1]")))
+    value = F.coalesce(F.when(F.col("spec.type") == "heatmap", at("$._heatmapMeta.points[1].v")).otherwise(at("$.data.datasets[0].data[0]")).cast("double").cast("long"), F.lit(0))
+    page_colors = F.concat(F.regexp_extract("page", "background:([^;]+);", 1), F.regexp_extract("page", r"Chart\.defaults\.color = '([^']+)'", 1))
+    return s.select("doc_id", "theme", at("$.type").alias("kind"), at("$.options.plugins.title.text").alias("title"), colors.alias("colors"), at("$.options.scales.y.grid.color").alias("grid"), value.alias("value"), page_colors.alias("page_colors"), F.col("page").contains("const cells = {").alias("named_cells"), (F.col("page").contains("new Chart(") & F.col("page").endswith("</html>")).alias("whole"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
 from ..sources import documents as D
+from ..sources import sinks
+from ..sources.folders import shared_folder
 from .base import query, table
 
 #: The page table in DuckDB.
@@ -204,3 +208,16 @@ def request_log_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(safe_payload(m))), ",").alias("kept"))
 
 
+@query("""with o as (select o_orderdate::date as day, 'u' || o_custkey as who, (select max(o_orderdate::date) from orders) as newest from orders)
+  select strftime(day, '%y%m') as yymm, count(*) as n, count(distinct who) as users, false as secrets from o where day >= newest - interval 400 day group by 1""")
+def log_retention(spark, sf_dir):
+    """Orders as requests, logged in two goes; rows older than 400 days before the newest dropped in place. The versions before are read, too, and must be whole."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("logged_at"), F.col("o_orderkey").alias("k"), F.create_map(F.lit("user"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")), F.lit("api_key"), F.lit("secret")).alias("payload"))
+    path = f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}"
+    first = sinks.log_in_place(orders.where("k % 2 = 0"), path)
+    both = sinks.log_in_place(orders.where("k % 2 = 1"), path)
+    newest = sinks.logs(spark, path).agg(F.max("logged_at")).first()[0]
+    last = sinks.retain_logs(spark, path, F.lit(newest), 400)
+    whole = sinks.logs(spark, path, both).count() == orders.count() and sinks.logs(spark, path, first).count() == orders.where("k % 2 = 0").count()
+    kept = sinks.logs(spark, path, last).where(F.lit(whole))
+    return kept.groupBy("yymm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("payload")["user"]).alias("users"), F.max(F.map_contains_key("payload", F.lit("api_key"))).alias("secrets"))

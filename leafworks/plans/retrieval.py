@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lists as L
 from ..operators import pages as P
 from ..operators import retrieval as R
 from ..sources import documents as D
@@ -196,3 +197,15 @@ def web_fallback_passages(spark, sf_dir):
     two = F.lit('{"result": [{"results": [{"snippet": "b"}]}, {"results": [{"snippet": "c"}]}]}')
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, one).otherwise(two).alias("json"))
     return D.fallback_passages(p).select("id", "idx", "site_name", "url")
+
+
+@query("select count(*) filter (vec_id % 20 = 0) as n_probes, true as every_vector_listed, true as recall_over_90, true as scores_agree from embeddings")
+def listed_neighbours(spark, sf_dir):
+    """Eight nearest by inverted lists for every twentieth vector, measured against the exact search over all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    probes = vectors.where("vec_id % 20 = 0")
+    lists = L.fit(vectors, 8)
+    got = L.nearest(vectors, probes, 8, lists=lists).select("probe", "vec_id", F.col("score").alias("found"))
+    met = R.nearest(vectors, probes, 8).join(got, ["probe", "vec_id"], "left").agg(F.avg(F.col("found").isNotNull().cast("int")).alias("recall"), F.max(F.abs(F.col("found") - F.col("score"))).alias("off"))
+    n = L.listed(vectors, lists).agg(F.count(F.lit(1)).alias("n")).join(vectors.agg(F.count(F.lit(1)).alias("all")))
+    return met.join(n).join(probes.agg(F.count(F.lit(1)).alias("n_probes"))).select("n_probes", (F.col("n") == F.col("all")).alias("every_vector_listed"), (F.col("recall") >= 0.9).alias("recall_over_90"), (F.col("off") < 2e-9).alias("scores_agree"))

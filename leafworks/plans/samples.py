@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import open_samples as O
 from ..operators import prompts as PR
 from ..operators import samples as S
 from ..sources import session_log
@@ -200,6 +201,33 @@ def sample_round_trip(spark, sf_dir):
     return c.select("conv_id", F.size("m").alias("n_messages"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x["content"])).alias("chars"))
 
 
+#: A run's sample as JSON, with a key that a tool added: messages with parts of their own, nested.
+OPEN_SAMPLE = """to_json(struct(doc_id as df_idx, lang as user_query, array(source) as filenames,
+  array(array(struct('system' as role, 'old' as content, null as loss_masking), struct('user' as role, text as content, true as loss_masking))) as reasoning,
+  array(struct('user' as role, source as content)) as doc_step,
+  array(array(struct('assistant' as role, text as content, struct(array(n_chars, doc_id) as box, named_struct('of', source) as about) as seen))) as vl_analysis,
+  array() as nothing, '[no list' as note))"""
+
+
+@query("""select doc_id, 'vl_analysis' as custom, md5(text) as said_md5, n_chars + doc_id as box_sum, source as about, true as nested,
+    2 as n_vl, 'You are careful.' as lead, 'You are careful. Do well.' as system_prompt, 'user_query,filenames' as kept, true as same_again from documents where text is not null""")
+def open_sample_round_trip(spark, sf_dir):
+    """Samples with keys of a tool's own: written for training, read back, and written again; texts and nested parts compared as a whole."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(OPEN_SAMPLE).alias("j"))
+    made = d.select("doc_id", O.fields(F.col("j")).alias("m"))
+    sent = made.select("doc_id", F.to_json(O.export_v2(F.col("m"), F.lit(PREFIX), F.lit("Do well."), F.lit("h"), F.lit("t"))).alias("j"))
+    got = sent.select("doc_id", "j", O.fields(F.col("j")).alias("m")).select("doc_id", "j", O.import_sample(F.col("m")).alias("s"))
+    again = F.to_json(O.write_again(F.col("s")))
+    entry = O.items(O.items(F.col("s")["extra_training"]["vl_analysis"])[0])
+    box = F.try_variant_get(entry[1], "$.seen.box", "array<long>")
+    turn = O.items(O.items(F.col("s")["reasoning"])[0])
+    return got.select(
+        "doc_id", F.array_join(F.map_keys(F.col("s")["extra_training"]), ",").alias("custom"), F.md5(F.when(O.text_of(entry[1], "content") == O.text_of(turn[1], "content"), O.text_of(turn[1], "content"))).alias("said_md5"), (box[0] + box[1]).alias("box_sum"),
+        F.try_variant_get(entry[1], "$.seen.about.of", "string").alias("about"), (F.schema_of_variant(F.try_variant_get(entry[1], "$.seen", "variant")).startswith("OBJECT")).alias("nested"), F.size(entry).alias("n_vl"), O.text_of(entry[0], "content").alias("lead"), O.text_of(turn[0], "content").alias("system_prompt"),
+        F.when(F.col("s")["user_query"].isNotNull() & O.is_list(F.col("s")["filenames"]), "user_query,filenames").alias("kept"), (again == F.col("j")).alias("same_again"),
+    )
+
+
 @query("select d.doc_id as query_id, s.strategy, case s.strategy when 'S1' then b.n else least(b.n, 3) end::int as n_chunks, case s.strategy when 'S1' then 0 else 2 end as n_sub_queries from documents d join (select source, count(*) as n from documents group by source) b using (source), (values ('S1'), ('S4')) s(strategy)")
 def viz_records(spark, sf_dir):
     """What two strategies record of a query: all documents and no sub-query, or a few chunks and two sub-queries. Chunks are counted per bundle, never copied per query."""

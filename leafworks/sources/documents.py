@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_json(spark: SparkSession, paths: list[str], single: bool = False) -> DataFrame:
-    """(path, ordinal, json): whole files, each one JSON value; only the first path if ``single``.
+    """(path, name, ordinal, json): whole files, each one JSON value; only the first path if ``single``.
 
-    A path that doesn't exist raises.
+    ``ordinal`` is the place of the file's path among ``paths``, by the whole
+    path, so equal names in several folders are several files; a path asked
+    for twice gives its file twice. Names may hold any character. A path that
+    doesn't exist raises.
     """
     paths = paths[:1] if single else paths
-    order = spark.createDataFrame([(p.rstrip("/").rpartition("/")[2], i) for i, p in enumerate(paths)], "name string, ordinal int")
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
-    return files.withColumn("name", F.url_decode(F.substring_index("path", "/", -1))).join(F.broadcast(order), "name")
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(p: str) -> str:
+        place = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return place.getFileSystem(settings).makeQualified(place).toString()
+
+    full = [whole(p) for p in paths]
+    order = spark.createDataFrame(list(zip(full, range(len(full)), strict=True)), "path string, ordinal int")
+    # What a pattern could mean in a path is no pattern here.
+    asked = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in dict.fromkeys(full)]
+    files = spark.read.format("binaryFile").load(asked).select("path", F.decode("content", "UTF-8").alias("json"))
+    return files.join(order, "path").select("path", F.substring_index("path", "/", -1).alias("name"), "ordinal", "json")
 
 
 def _variant(json: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SENSITIVE_KEYS
+from . import snapshots
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = True) -> None:
@@ -50,6 +51,25 @@ def rewrite_logs(spark: SparkSession, path: str, target: str, now: Column, days:
     return kept
 
 
+_LOG = "payload map<string,string>, logged_at timestamp, yymm string"
+
+
+def log_in_place(df: DataFrame, path: str) -> int:
+    """Append requests (payload, logged_at) to a log with versions; the version's number."""
+    safe = df.select(safe_payload(F.col("payload")).alias("payload"), "logged_at", F.date_format("logged_at", "yyMM").alias("yymm"))
+    return snapshots.append(safe, path)
+
+
+def logs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(payload, logged_at, yymm) of a log with versions."""
+    return snapshots.read(spark, path, _LOG, version)
+
+
+def retain_logs(spark: SparkSession, path: str, now: Column, days: int = 7) -> int:
+    """Drop rows older than ``days`` from a log, in place: readers have the old rows or the new ones, requests logged meanwhile stay."""
+    return snapshots.rewrite(spark, path, _LOG, lambda rows: recent_logs(rows, now, days))
+
+
 def export_trace(session: DataFrame, path: str) -> None:
     """One session's trace as a single indented JSON value; a session is small by its step limit."""
     if session.limit(2).count() != 1:
