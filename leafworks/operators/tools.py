@@ -18,6 +18,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import NullType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 Generator = Callable[[list[dict]], str]
 
@@ -196,6 +199,12 @@ class Registry:
     def has(self, name: str) -> bool:
         return name in self._tools
 
+    def tool(self, name: str) -> Callable[..., Any]:
+        """The tool that the name stands for now."""
+        if name not in self._tools:
+            raise ToolError(f"{name} is not registered")
+        return self._tools[name]
+
     def is_custom(self, name: str) -> bool:
         return name in self._custom
 
@@ -223,3 +232,84 @@ class Registry:
         except Exception as e:  # a tool's failure is part of the trace, not of the run
             return json.dumps({"error": f"{type(e).__name__}: {e}"}, ensure_ascii=False)
         return out if isinstance(out, str) else json.dumps(out, ensure_ascii=False)
+
+
+#: What a tool's table function gives: the tool, the how-manieth call of its partition or row, its text, and whether that is an error.
+CALL = StructType().add("tool", "string").add("call", "long").add("result", "string").add("failed", "boolean")
+
+
+def _failed(text: str) -> bool:
+    """Whether a tool's text is the error object that ``Registry.execute`` makes."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return False
+    return isinstance(value, dict) and list(value) == ["error"]
+
+
+def table_function(registry: Registry, name: str, context: dict | None = None):
+    """A tool as a table function of its arguments' JSON text, for lateral calls: a row of ``CALL`` for every row of the table.
+
+    The tool is taken as it is registered now and runs in the tasks; the
+    context must be something that can be sent there. Null arguments are no
+    arguments.
+    """
+    if not registry.has(name):
+        raise ToolError(f"{name} is not registered")
+    alone = Registry({name: registry.tool(name)})
+    given = dict(context or {})
+
+    class Call:
+        @staticmethod
+        def analyze(args: AnalyzeArgument) -> AnalyzeResult:
+            if args.isTable or not isinstance(args.dataType, (StringType, NullType)):
+                raise ValueError(f"{name} takes its arguments as JSON text")
+            return AnalyzeResult(CALL)
+
+        def eval(self, args: str):
+            yield (name, 1, *_said(alone, name, args, given))
+
+    return udtf(Call)
+
+
+def partition_function(registry: Registry, name: str, key: str, order: str, args: str):
+    """A tool as a function of a table: ``SELECT * FROM f(TABLE(t))`` deals the rows by ``key``, takes them by ``order`` and calls the tool for each.
+
+    Of a partition one context is kept from call to call, so a tool may
+    remember what it has seen there (``context["seen"]`` begins as {}); rows
+    aren't gathered. The result is the key, then ``CALL``.
+    """
+    if not registry.has(name):
+        raise ToolError(f"{name} is not registered")
+    alone = Registry({name: registry.tool(name)})
+
+    class Calls:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError(f"{name} takes a table")
+            missing = [c for c in (key, order, args) if c not in rows.dataType.names]
+            if missing:
+                raise ValueError(f"the table lacks {', '.join(missing)}")
+            schema = StructType([rows.dataType[key], *CALL])
+            return AnalyzeResult(schema, partitionBy=[PartitioningColumn(key)], orderBy=[OrderingColumn(order)])
+
+        def __init__(self):
+            self.calls, self.context = 0, {"seen": {}}
+
+        def eval(self, row):
+            self.calls += 1
+            yield (row[key], name, self.calls, *_said(alone, name, row[args], self.context))
+
+    return udtf(Calls)
+
+
+def _said(registry: Registry, name: str, args: str | None, context: dict) -> tuple[str, bool]:
+    try:
+        given = json.loads(args) if args else {}
+    except ValueError as e:
+        return json.dumps({"error": f"arguments are no JSON: {e}"}), True
+    if not isinstance(given, dict):
+        return json.dumps({"error": "arguments are no object"}), True
+    text = registry.execute(name, given, context)
+    return text, _failed(text)

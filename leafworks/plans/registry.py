@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import charts, evaluation, pages, retrieval, samples, scalars, streams, traces, viz  # noqa: F401  they register their queries
+from . import charts, evaluation, gates, pages, retrieval, samples, scalars, streams, traces, viz  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import open_samples as O
 from ..operators import prompts as PR
 from ..operators import samples as S
+from ..operators import tools
 from ..sources import session_log
 from ..sources.folders import shared_folder
 from ..sources.sinks import session_counts
@@ -245,3 +246,48 @@ def batch_requests(spark, sf_dir):
     lines = c.select(F.to_json(F.struct(F.col("conv_id").alias("doc"), F.col("text").alias("query"), "turn")).alias("line")).unionByName(spark.createDataFrame([("",), ("  ",)], "line string"))
     r = lines.where(F.trim("line") != "").select(F.from_json("line", "doc long, query string, turn long").alias("r")).select("r.*")
     return r.groupBy(F.col("doc").alias("request_id")).agg(F.min_by("query", "turn").alias("query"), F.count(F.lit(1)).cast("int").alias("n_lines"))
+
+
+def _lines(args, context):
+    """How many lines a text has, and how often its first letter began a text before it, in this context."""
+    text = args["text"]
+    first, seen = text[:1], context.get("seen", {})
+    before = seen[first] = seen.get(first, -1) + 1
+    return {"lines": text.count("\n") + 1, "before": before}
+
+
+def _shout(args, context):
+    return args["text"][:3] + "!"
+
+
+@query("""with d as (select doc_id, source, text, len(string_split(text, chr(10))) as n, row_number() over (partition by source order by doc_id) as call, row_number() over (partition by source, text[1:1] order by doc_id) - 1 as before from documents where text is not null)
+  select 'built-in' as phase, doc_id as id, 1::bigint as call, '{"lines": ' || n || ', "before": 0}' as result, false as failed from d union all select 'custom', doc_id, 1, text[1:3] || '!', false from d union all select 'restored', doc_id, 1, '{"lines": ' || n || ', "before": 0}', false from d
+  union all select 'no text', doc_id, 1, '{"error": "KeyError: ''text''"}', true from d
+  union all select 'by source', max(call), count(*), max(case when call = 1 then '{"lines": ' || n || ', "before": 0}' end), false from d group by source
+  union all select 'remembered', sum(before)::bigint, count(*), null, false from d group by source""")
+def sql_tools(spark, sf_dir):
+    """A registered tool in SQL: called for every row, replaced by a custom one, restored, failing, and over the documents of a source with memory."""
+    registry = tools.Registry({"look": _lines})
+    table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", "source", "to_json(struct(text)) as args", "'{}' as nothing").createOrReplaceTempView("documents_to_look_at")
+    parts = []
+
+    def called(phase: str, args: str = "args") -> None:
+        name = f"look_{len(parts)}"
+        spark.udtf.register(name, tools.table_function(registry, "look"))
+        parts.append(spark.sql(f"select '{phase}' as phase, d.doc_id as id, t.call, t.result, t.failed from documents_to_look_at d, lateral {name}(d.{args}) t"))
+
+    called("built-in")
+    registry.register("look", _shout, override=True)
+    called("custom")
+    registry.restore("look")
+    called("restored")
+    called("no text", "nothing")
+    spark.udtf.register("look_by_source", tools.partition_function(registry, "look", "source", "doc_id", "args"))
+    calls = spark.sql("select * from look_by_source(table(documents_to_look_at))")
+    by_source = calls.groupBy("source").agg(F.max("call").alias("id"), F.count(F.lit(1)).alias("call"), F.max(F.when(F.col("call") == 1, F.col("result"))).alias("result"), F.max("failed").alias("failed"), F.sum(F.get_json_object("result", "$.before").cast("long")).alias("before"))
+    parts.append(by_source.select(F.lit("by source").alias("phase"), "id", "call", "result", "failed"))
+    parts.append(by_source.select(F.lit("remembered").alias("phase"), F.col("before").alias("id"), "call", F.lit(None).cast("string").alias("result"), "failed"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
