@@ -25,10 +25,15 @@ from pyspark.sql import functions as F
 BLOCK, PART = 1000, 4096
 
 
-def label_blocks(labels: DataFrame, on: str, block: int = BLOCK) -> DataFrame:
-    """(key_, block_, labels_) of (on, node, words): about ``block`` labels each, dealt by a hash of the label."""
-    sizes = labels.groupBy(F.col(on).alias("k_")).agg(F.count(F.lit(1)).alias("n_"))
-    dealt = labels.join(sizes, F.col(on).eqNullSafe(F.col("k_"))).withColumn("block_", F.pmod(F.xxhash64("node", "words"), F.ceil(F.col("n_") / F.lit(block))))
+def _many(labels: DataFrame, on: str, block: int) -> DataFrame:
+    """(k_, n_): the keys with more than one block of labels, and how many; few or none, as a rule."""
+    sizes = labels.groupBy(F.col(on).alias("k_")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > block).select("k_", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("n_"))
+
+
+def label_blocks(labels: DataFrame, on: str, many: DataFrame) -> DataFrame:
+    """(key_, block_, labels_) of (on, node, words): the labels of a key in as many blocks as it has, dealt by a hash of the label."""
+    dealt = labels.join(many, F.col(on).eqNullSafe(F.col("k_")), "left").withColumn("block_", F.pmod(F.xxhash64("node", "words"), F.coalesce("n_", F.lit(1))).cast("int"))
     return dealt.groupBy(F.col(on).alias("key_"), "block_").agg(F.sort_array(F.collect_list(F.struct(F.col("node").cast("string").alias("node"), "words"))).alias("labels_"))
 
 
@@ -55,24 +60,26 @@ class Automaton:
 
 def _matched(texts: DataFrame, labels: DataFrame, on: str, block: int, each, schema: str, names: list[str]) -> DataFrame:
     held = texts.select(F.col(on).alias("of_"), F.col("idx").cast("long").alias("idx_"), F.col("low").alias("low_"), F.floor(F.col("idx") / F.lit(PART)).cast("long").alias("part_"))
-    machines = label_blocks(labels, on, block)
-    meets = F.col("of_").eqNullSafe(F.col("key_"))
-    # Labels go where there are texts, texts where there are labels.
-    parts = held.select("of_", "part_").distinct().join(machines, meets).selectExpr("of_", "block_", "part_", "0 kind_", "cast(null as long) idx_", "cast(null as string) low_", "labels_")
-    numbers = machines.select("key_", "block_")
-    rows = held.join(numbers, meets).selectExpr("of_", "block_", "part_", "1 kind_", "idx_", "low_", f"cast(null as {machines.schema['labels_'].dataType.simpleString()}) labels_")
+    many = _many(labels, on, block)
+    machines = label_blocks(labels, on, many)
+    # Labels go to a key's first part, and to others that there are; texts move once, and more than once only for keys of many labels.
+    others = held.where("part_ > 0").select("of_", "part_").distinct().join(machines, F.col("of_").eqNullSafe(F.col("key_"))).select("of_", "block_", "part_", "labels_")
+    heads = machines.selectExpr("key_ of_", "block_", "0L part_", "labels_").unionByName(others).selectExpr("of_", "block_", "part_", "0 kind_", "cast(null as long) idx_", "cast(null as string) low_", "labels_")
+    spread = F.explode(F.sequence(F.lit(0), F.coalesce("n_", F.lit(1)) - 1)).alias("block_")
+    rows = held.where("low_ <> ''").join(many, F.col("of_").eqNullSafe(F.col("k_")), "left").select("of_", spread, "part_", F.lit(1).alias("kind_"), "idx_", "low_", F.lit(None).cast(machines.schema["labels_"].dataType).alias("labels_"))
     dealt = ["of_", "block_", "part_"]
-    met = parts.unionByName(rows).repartition(*dealt).sortWithinPartitions(*dealt, "kind_").select("of_", "idx_", "low_", "labels_")
+    met = heads.unionByName(rows).repartition(*dealt).sortWithinPartitions(*dealt, "kind_").select("of_", "idx_", "low_", "labels_", "block_", "part_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton([])
+        machine, of = Automaton([]), None
         for batch in batches:
-            key, idx, low = (batch.column(i).to_pylist() for i in range(3))
+            key, idx, low, _, number, part = (batch.column(i).to_pylist() if i != 3 else None for i in range(6))
+            heads = batch.column(3).is_valid().to_pylist()
             out = []
             for i, text in enumerate(low):
-                if batch.column(3)[i].is_valid:
-                    machine = Automaton(batch.column(3)[i].as_py())
-                elif text:
+                if heads[i]:
+                    machine, of = Automaton(batch.column(3)[i].as_py()), (key[i], number[i], part[i])
+                elif of == (key[i], number[i], part[i]):  # a key without labels has no head
                     out += [(key[i], idx[i], *row) for row in each(machine, text)]
                     if len(out) >= 1 << 16:
                         yield _rows(out)

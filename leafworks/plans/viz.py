@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
@@ -188,6 +187,5 @@ def source_attribution(spark, sf_dir):
 def evidence_spans(spark, sf_dir):
     """All places, in all pages of a document, of the words that its first page has, each word an element."""
     p = P.page_lines(table(spark, sf_dir, "documents"))
-    words = p.where("idx = 1").select("doc_id", F.explode(F.array_distinct(keywords("content"))).alias("label")).distinct()
-    elements = words.withColumn("element", (F.row_number().over(Window.partitionBy("doc_id").orderBy("label")) - 1).cast("int"))
+    elements = p.where("idx = 1").select("doc_id", F.posexplode(F.array_sort(F.array_distinct(keywords("content")))).alias("element", "label"))
     return V.evidence(elements, p.select("doc_id", F.col("idx").alias("chunk"), "content"), "doc_id")
