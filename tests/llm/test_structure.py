@@ -297,3 +297,27 @@ def test_odd_codes(spark, tmp_path):
         assert vector_codes.query(spark, f"{tmp_path}/{name}").collect() == []
     huge = vector_codes.usable(vectors_frame(spark, odd_vectors()))
     assert all(r["error"] >= 0 for r in vector_codes.encode(huge, vector_codes.fit(huge)).collect())
+
+
+#: Columns that the queries' contracts name.
+CONTRACTS = {
+    11: {"conv_id": "bigint", **dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), "bigint"), "audit": "string", "repaired_sha256": "string"},
+    12: {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    13: {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+}
+
+
+@pytest.mark.parametrize("number", sorted(CONTRACTS))
+def test_registered_query(spark, sf_dir, duck, number):
+    """The query's columns over the whole smallest table, and its rows against its SQL."""
+    from leafworks.llm import registry
+
+    name = next(n for n in registry.QUERIES if n.startswith(f"op{number}_"))
+    df = registry.QUERIES[name](spark, sf_dir)
+    assert dict(df.dtypes) == CONTRACTS[number]
+    got = sorted(map(tuple, df.collect()))
+    if number == 11:
+        assert [r[0] for r in got] == [r[0] for r in duck.sql("select distinct conv_id from conversations order by 1").fetchall()]
+        return
+    want = duck.sql(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
+    assert got == sorted(want)
