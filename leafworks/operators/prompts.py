@@ -14,6 +14,13 @@ PATCHABLE_PREFIXES = ("TOOLS_",)
 APPEND_ONLY_PREFIXES = ("TOOLS_",)
 ACTIONS = ("append", "replace", "prepend")
 BLOCKS = ("ROLE_BLOCK", "DATE_BLOCK", "LANG_BLOCK", "TASK_BLOCK", "RULES_BLOCK", "FORMAT_BLOCK", "CITATION_BLOCK", "CLOSING_BLOCK")
+#: The blocks of a run's prompt with their places (tools stand between 60 and 90); all but the rules are sealed.
+RUNTIME_BLOCKS = {"PREAMBLE": 10, "PRINCIPLES": 20, "INPUT_SPEC": 30, "OUTPUT_SPEC": 40, "RULES_BLOCK": 50, "DATE_DIRECTIVE": 100, "LANG_DIRECTIVE": 110, "EXAMPLE_RESPONSE": 120}
+
+#: What models are used for, and what a model has unless its configuration says otherwise.
+ROLES = ("reasoning", "extraction", "summarization", "query_generation")
+MAX_TOKENS, TEMPERATURE = 20480, 0.2
+
 LANGUAGE_RULES = {"ko": "Answer in Korean.", "en": "Answer in English."}
 META_FIELDS = {"owner": r"^[a-zA-Z0-9_]+$", "version": r"^[a-zA-Z0-9_.\-]+$"}
 
@@ -32,6 +39,50 @@ def standard_blocks(spark: SparkSession, texts: dict[str, str], language: str, d
     return blocks(spark, [(b, fill(texts[b]), (i + 1) * 10, b not in PATCHABLE) for i, b in enumerate(BLOCKS) if b in texts])
 
 
+def runtime_blocks(spark: SparkSession, texts: dict[str, str], language: str, day: str) -> DataFrame:
+    """The eight blocks of a run's prompt in their fixed places, from their texts (empty where there is none); ``{language}`` and ``{cur_date}`` are filled in in their directives. Names that are no block raise."""
+    unknown = set(texts) - set(RUNTIME_BLOCKS)
+    if unknown:
+        raise ValueError(f"no such block: {', '.join(sorted(unknown))}")
+    filled = {b: texts.get(b, "") for b in RUNTIME_BLOCKS}
+    filled["DATE_DIRECTIVE"] = filled["DATE_DIRECTIVE"].replace("{cur_date}", day)
+    filled["LANG_DIRECTIVE"] = filled["LANG_DIRECTIVE"].replace("{language}", language)
+    return blocks(spark, [(b, filled[b], at, b not in PATCHABLE) for b, at in RUNTIME_BLOCKS.items()])
+
+
+def read_models(spark: SparkSession, path: str, models: dict[str, dict] | None = None, default: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(models, routing) of one YAML or JSON file, as tables (name, model_id, base_url, max_tokens, temperature) and (role, name).
+
+    ``models`` are known beforehand and may be replaced; every role has the
+    ``default`` model (the first known one) unless the file names another
+    that is known. Roles that there aren't, and models that aren't known, are
+    passed over. Keys for services are no part of it.
+    """
+    data = _settings(spark, path)
+    known = {n: dict(m) for n, m in (models or {}).items()} | {str(n): dict(m or {}) for n, m in (data.get("models") or {}).items()}
+    rows = [(n, str(m.get("model_id", "")), str(m.get("base_url", "")), int(m.get("max_tokens", MAX_TOKENS)), float(m.get("temperature", TEMPERATURE))) for n, m in known.items()]
+    first = default if default in known else next(iter(known), None)
+    asked = {r: n for r, n in (data.get("routing") or {}).items() if r in ROLES and n in known}
+    routes = [(r, asked.get(r, first)) for r in ROLES if asked.get(r, first) is not None]
+    return spark.createDataFrame(rows, "name string, model_id string, base_url string, max_tokens int, temperature double"), spark.createDataFrame(routes, "role string, name string")
+
+
+def _settings(spark: SparkSession, path: str) -> dict:
+    """A YAML or JSON mapping from one file, read where Spark's readers reach."""
+    found = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} is not one file")
+    try:
+        import yaml
+
+        data = yaml.safe_load(found[0].value)
+    except ImportError:
+        data = json.loads(found[0].value)
+    if not isinstance(data, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return data
+
+
 def language_rule(code: str) -> str:
     """What a prompt says of the language; unknown codes are English."""
     return LANGUAGE_RULES["ko" if code.lower() in ("ko", "korean") else "en"]
@@ -42,13 +93,7 @@ def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, s
 
     The file is read where Spark's readers reach, and metadata are checked.
     """
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    try:
-        import yaml
-
-        data = yaml.safe_load(text)
-    except ImportError:
-        data = json.loads(text)
+    data = _settings(spark, path)
     if not isinstance(data, dict) or not isinstance(data.get("patches", {}), dict):
         raise ValueError("a patch file is a mapping of meta and patches")
     meta = {k: str(v) for k, v in (data.get("meta") or {}).items()}

@@ -125,17 +125,29 @@ def check_args(schema: dict, args: dict) -> list[str]:
     return wrong
 
 
+def _asked(generator: Generator, messages: list[dict], **options: Any) -> str:
+    """A generator's reply, with the options that it has parameters for."""
+    known = inspect.signature(generator).parameters.values()
+    takes_all = any(p.kind is p.VAR_KEYWORD for p in known)
+    names = {p.name for p in known}
+    return generator(messages, **{k: v for k, v in options.items() if takes_all or k in names})
+
+
 class Context(dict):
-    """What tools see: a request's fields, and call_llm, record_training and search_documents.
+    """What tools see: a request's fields, and call_llm, call_vl, record_training and search_documents.
 
-    ``pages`` and ``scorer`` are as in ``retrieval.select_pages``;
+    Calls take messages and options (role, temperature, max_tokens), of which
+    a generator gets those that it has parameters for; ``vl_generator`` takes
+    messages with images, and without one call_vl answers with an error's
+    text, as a tool's failure is part of the trace. ``pages`` and ``scorer`` are as in ``retrieval.select_pages``;
     search_documents takes queries (item_id, text) and gives a DataFrame.
     """
 
-    def __init__(self, pages: DataFrame | None = None, scorer: Callable | None = None, generator: Generator = echo_generator, **fields: Any):
+    def __init__(self, pages: DataFrame | None = None, scorer: Callable | None = None, generator: Generator = echo_generator, vl_generator: Generator | None = None, **fields: Any):
         super().__init__(fields)
         self.training: dict[str, list] = {}
-        self["call_llm"] = lambda messages, **options: generator(messages)
+        self["call_llm"] = lambda messages, role="extraction", temperature=0.2, max_tokens=16384: _asked(generator, messages, role=role, temperature=temperature, max_tokens=max_tokens)
+        self["call_vl"] = lambda messages, temperature=0.2, max_tokens=2000: _asked(vl_generator, messages, temperature=temperature, max_tokens=max_tokens) if vl_generator else "[Error] no generator for images"
         self["record_training"] = lambda task, turns: self.training.setdefault(task, []).append(turns)
         self["search_documents"] = lambda queries, k=8: self._search(pages, scorer, queries, k)
 

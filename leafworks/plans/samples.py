@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -291,3 +292,16 @@ def sql_tools(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query("""select case role when 'assistant' then 'large' when 'system' then 'small' else 'large' end as name, case when role = 'system' then 'org/small-1' else 'org/large-2' end as model_id, case when role = 'system' then 20480 else 16384 end as max_tokens, count(*) as calls, sum(ceil(length(coalesce(text, '')) / 4.0))::bigint as tokens
+  from conversations where role in ('assistant', 'system', 'user') group by all""")
+def routed_usage(spark, sf_dir):
+    """Tokens of turns by the model that their role goes to, by a configuration file: assistants reason, the system sums up, users ask."""
+    config = {"models": {"large": {"model_id": "org/large-2", "max_tokens": 16384}, "small": {"model_id": "org/small-1"}}, "routing": {"summarization": "small", "reasoning": "large", "extraction": "unknown", "painting": "small"}}
+    path = f"{shared_folder(spark)}/configs/{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(path)
+    models, routing = PR.read_models(spark, path)
+    turns = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "assistant", "reasoning").when(F.col("role") == "system", "summarization").when(F.col("role") == "user", "query_generation").alias("role"), "text")
+    met = turns.join(routing, "role").join(models, "name")
+    return met.groupBy("name", "model_id", "max_tokens").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 4)).cast("long").alias("tokens"))

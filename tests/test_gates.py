@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafworks.operators import gates as G
+from leafworks.operators import prompts as PR
 from leafworks.operators import tools
 
 
@@ -80,3 +81,42 @@ def test_tools_over_partitions(spark):
         assert [(r["call"], r["result"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["call"])] == [(1, "1"), (2, "1"), (3, "2"), (4, "2"), (5, "3"), (6, "3")]
     with pytest.raises(Exception, match="lacks"):
         spark.sql("select * from counted(table(select 1 as k))").collect()
+
+
+def test_runtime_blocks(spark):
+    got = [tuple(r) for r in PR.runtime_blocks(spark, {"RULES_BLOCK": "1. a", "DATE_DIRECTIVE": "It is {cur_date}.", "LANG_DIRECTIVE": "In {language}.", "PREAMBLE": "{cur_date} stays"}, "KOREAN", "2026-01-01").orderBy("ord").collect()]
+    assert [(b, o) for b, _, o, _ in got] == list(PR.RUNTIME_BLOCKS.items())
+    assert {b: c for b, c, *_ in got if c} == {"PREAMBLE": "{cur_date} stays", "RULES_BLOCK": "1. a", "DATE_DIRECTIVE": "It is 2026-01-01.", "LANG_DIRECTIVE": "In KOREAN."}
+    assert [b for b, _, _, sealed in got if not sealed] == ["RULES_BLOCK"]
+    with pytest.raises(ValueError, match="OTHER"):
+        PR.runtime_blocks(spark, {"OTHER": "x"}, "ENGLISH", "2026-01-01")
+
+
+def test_models(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps({"models": {"a": {"model_id": "x/a", "temperature": 0.7}, "b": None}, "routing": {"extraction": "a", "summarization": "none", "other": "a"}}))
+    models, routing = PR.read_models(spark, str(path), {"base": {"model_id": "x/base", "base_url": "http://h"}, "a": {"model_id": "old"}})
+    assert {tuple(r) for r in models.collect()} == {("base", "x/base", "http://h", 20480, 0.2), ("a", "x/a", "", 20480, 0.7), ("b", "", "", 20480, 0.2)}
+    assert rows(routing) == {"reasoning": ("base",), "extraction": ("a",), "summarization": ("base",), "query_generation": ("base",)}
+    path.write_text("[1]")
+    with pytest.raises(ValueError, match="mapping"):
+        PR.read_models(spark, str(path))
+    (tmp_path / "two").mkdir()
+    for n in "ab":
+        (tmp_path / "two" / n).write_text("{}")
+    with pytest.raises(ValueError, match="one file"):
+        PR.read_models(spark, f"{tmp_path}/two")
+
+
+def test_calls_and_options():
+    said = []
+
+    def generator(messages, temperature=0, **more):
+        said.append((temperature, more))
+        return messages[-1]["content"]
+
+    context = tools.Context(generator=generator, vl_generator=lambda messages, max_tokens: f"{max_tokens}")
+    assert context["call_llm"]([{"content": "hi"}], role="reasoning", temperature=0.5) == "hi" and said == [(0.5, {"role": "reasoning", "max_tokens": 16384})]
+    assert context["call_vl"]([{"content": "x"}]) == "2000"
+    plain = tools.Context()
+    assert "x" in plain["call_llm"]([{"content": "x"}], max_tokens=3) and plain["call_vl"]([]).startswith("[Error]")
