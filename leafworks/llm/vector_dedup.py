@@ -163,8 +163,8 @@ def _added(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, weights=weights, minlength=n).astype(np.int64)
 
 
-#: Pairs are held one by one up to this share of all; above it they are a matrix.
-SPARSE = 1 / 16
+#: Pairs are held one by one up to this share of all; above it they are a matrix. Levels whose nets make more than this share of all pairs are passed over: they would test nearly as many as the vectors themselves.
+SPARSE, DENSE = 1 / 16, 1 / 2
 
 
 def _children(parents: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,18 +204,24 @@ def traverse(a: Side, b: Side, least: float = LEAST) -> tuple[np.ndarray, np.nda
     counts = np.zeros(na, np.int64), np.zeros(len(b.u), np.int64)
     edges: list[np.ndarray] = []
     i = j = np.zeros(1, int)  # the open pairs of nodes of a level
+    above = ()  # the nodes of the level tested last, for those of the level at hand
+    sizes = 1, 1  # how many nodes that level has
     for k, ((an, ap, ar), (bn, bp, br)) in enumerate(zip(a.levels, b.levels, strict=True)):
+        above = (above[0][ap], above[1][bp]) if above else (ap, bp)
+        if 0 < k < len(a.levels) - 1 and len(an) * len(bn) > DENSE * na * len(b.u):
+            continue
         if k:
-            down_a, down_b = _children(ap, len(a.levels[k - 1][0])), _children(bp, len(b.levels[k - 1][0]))
+            down_a, down_b = _children(above[0], sizes[0]), _children(above[1], sizes[1])
             if (down_a[2][i] * down_b[2][j]).sum() > SPARSE * len(an) * len(bn):
-                open_ = np.zeros((len(a.levels[k - 1][0]), len(b.levels[k - 1][0])), bool)
+                open_ = np.zeros(sizes, bool)
                 open_[i, j] = True
                 live = _reached(a.short[an] @ b.short[bn].T, ar, br, reach, slack)
-                i, j = np.nonzero(live)
-                held = open_[ap[i], bp[j]]
+                i, j = np.divmod(np.flatnonzero(live.ravel()), len(bn))
+                held = open_[above[0][i], above[1][j]]
                 i, j = i[held], j[held]
             else:
                 i, j = _expanded(i, j, down_a, down_b)
+        above, sizes = (), (len(an), len(bn))
         if k == len(a.levels) - 1:
             dot = _cosines(a.u, b.u, i, j)
             link = dot >= least
