@@ -82,16 +82,17 @@ def stops(sized: DataFrame, rule: Rule, block: int = BLOCK) -> tuple[DataFrame,
         unfit = unfit.select(F.col("bundle").alias("b_"), F.col("at").alias("at_"), F.col("u.block_").alias("unfit"), (F.lit(rule.most) - F.col("u.before")).alias("rest"))
         # From there, the first block that has a page small enough.
         can = F.when((F.col("block_") >= F.col("unfit")) & (F.col("first") <= F.col("rest")), F.col("block_"))
-        found = ahead.join(unfit, _same("bundle", "b_")).groupBy("bundle", F.col("at_").alias("at"), "unfit", "rest").agg(F.min(can).alias("open"))
+        found = ahead.join(unfit, _same("bundle", "b_")).groupBy("bundle", F.col("at_").alias("at"), "unfit", "rest").agg(F.min(can).alias("open"), F.max("block_").alias("last"))
         found = written(found)
         rounds = found if rounds is None else rounds.unionByName(found)
-        opened = docs.join(found.where("open is not null").select(F.col("bundle").alias("b_"), "open", (F.lit(rule.most) - F.col("rest")).alias("used")), _same("bundle", "b_") & (F.col("block_") == F.col("open")))
-        opened = opened.groupBy("bundle", "block_", "used").agg(F.array_sort(F.collect_list(F.struct("doc_no", "steps"))).alias("steps"))
-        opened = written(opened.select("bundle", "block_", F.expr(_OPENED.format(most=rule.most)).alias("o")))
+        opened = docs.join(found.where("open is not null").select(F.col("bundle").alias("b_"), "open", "last", (F.lit(rule.most) - F.col("rest")).alias("used")), _same("bundle", "b_") & (F.col("block_") == F.col("open")))
+        opened = opened.groupBy("bundle", "block_", "last", "used").agg(F.array_sort(F.collect_list(F.struct("doc_no", "steps"))).alias("steps"))
+        opened = written(opened.select("bundle", "block_", "last", F.expr(_OPENED.format(most=rule.most)).alias("o")))
         here = opened.select("bundle", F.explode("o.stops").alias("s")).select("bundle", "s.doc_no", F.col("s.idx").alias("stop"), "s.rest")
         ended = here if ended is None else ended.unionByName(here)
-        active = opened.select(F.col("bundle").alias("b_"), F.col("block_").alias("at"), F.col("o.used").alias("used"))
-        if opened.isEmpty():
+        # On with the bundles that have blocks after the opened one.
+        active = opened.where("block_ < last").select(F.col("bundle").alias("b_"), F.col("block_").alias("at"), F.col("o.used").alias("used"))
+        if active.isEmpty():
             break
     # What became of every block: of those between a round's unfit and opened one, only pieces are left.
     steps = rounds.select(F.col("bundle").alias("b_"), "at", "unfit", "open", "rest")

@@ -47,8 +47,17 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     row, so none are parted by the end of a range. Null values rank first,
     NaN last.
     """
+    return _ranked(written(_ranges(counts, keys, value)), keys, value)
+
+
+def _ranges(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` dealt by ranges, with the task of each row: to be written before it is used twice."""
+    order = [F.col(k) for k in [*keys, value]]
+    return counts.repartitionByRange(*order).select(*order, "n", F.spark_partition_id().alias("part_"))
+
+
+def _ranked(dealt: DataFrame, keys: list[str], value: str) -> DataFrame:
     order = [F.col(k) for k in [*keys, value]]
-    dealt = written(counts.repartitionByRange(*order).select(*order, "n", F.spark_partition_id().alias("part_")))
     parts = dealt.groupBy(*keys, "part_").agg(F.sum("n").alias("in_"))
     group, before = Window.partitionBy(*keys), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("in_").over(before(group.orderBy("part_"))), F.lit(0))
@@ -69,9 +78,13 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """
     names = [*keys, "x_", "y_"]
     cells = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x_"), F.col(y).alias("y_")).groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
-    met = cells
+    met, dealt = cells, None
+    for side in ("x_", "y_"):
+        one = _ranges(cells.groupBy(*keys, side).agg(F.sum("n").alias("n")), keys, side).withColumn("side_", F.lit(side))
+        dealt = one if dealt is None else dealt.unionByName(one, allowMissingColumns=True)
+    dealt = written(dealt)
     for side in ("x_", "y_"):
-        ranks = average_ranks(cells.groupBy(*keys, side).agg(F.sum("n").alias("n")), keys, side)
+        ranks = _ranked(dealt.where(F.col("side_") == side), keys, side)
         ranks = ranks.select(*[F.col(c).alias(f"{c}of_{side}") for c in [*keys, side]], F.col("centred").alias(f"r{side}"))
         same = F.lit(True)
         for c in [*keys, side]:
