@@ -65,6 +65,11 @@ def stops(sized: DataFrame, rule: Rule, block: int = BLOCK) -> tuple[DataFrame,
     their last page, ``rest`` being what remained there, and (bundle, block_)
     of the blocks of which anything is taken.
     """
+    return _stops(sized, rule, block)[:2]
+
+
+def _stops(sized: DataFrame, rule: Rule, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``stops``, and all bundles (bundle)."""
     pages = sized.groupBy("bundle", "doc_no").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("size").cast("long").alias("size")))).alias("pages"))
     docs = written(
         pages.select("bundle", "doc_no", F.floor((F.col("doc_no") - 1) / F.lit(block)).cast("long").alias("block_"), F.expr("aggregate(pages, 0L, (s, x) -> s + x.size)").alias("total"), F.expr(_STEPS.format(most=rule.most)).alias("steps"))
@@ -100,25 +105,29 @@ def stops(sized: DataFrame, rule: Rule, block: int = BLOCK) -> tuple[DataFrame,
     fate = written(fate.select("bundle", "block_", (F.coalesce(F.col("block_") >= F.col("unfit"), F.lit(False)) & ~_same("block_", "open")).alias("closed"), "rest").where(~F.col("closed") | (F.col("rest") > rule.least)))
     clipped = docs.join(fate.where("closed").select(F.col("bundle").alias("b_"), F.col("block_").alias("k_"), "rest"), _same("bundle", "b_") & (F.col("block_") == F.col("k_")))
     ended = ended.unionByName(clipped.select("bundle", "doc_no", F.col("steps")[0]["idx"].alias("stop"), "rest"))
-    return ended, fate.select("bundle", "block_")
+    return ended, fate.select("bundle", "block_"), blocks.select("bundle").distinct()
 
 
-def pieces(pages: DataFrame, rule: Rule, whole: Column, size: Column, clip, block: int = BLOCK) -> DataFrame:
-    """(bundle, doc_no, idx, piece) of the pages (bundle, doc_no, idx, content) that the budget takes.
+def pieces(pages: DataFrame, rule: Rule, whole: Column, size: Column, clip, block: int = BLOCK, *, all_bundles: bool = False) -> DataFrame:
+    """(bundle, doc_no, idx, piece) of the pages (bundle, doc_no, idx, content) that the budget takes; for ``all_bundles``, a row without a piece for each bundle as well.
 
     whole: a page as it appears; size: what it costs, never null; clip: from
     the column of what remains, a page cut to it.
     """
-    ended, touched = stops(pages.select("bundle", "doc_no", "idx", size.alias("size")), rule, block)
+    ended, touched, bundles = _stops(pages.select("bundle", "doc_no", "idx", size.alias("size")), rule, block)
     near = pages.withColumn("block_", F.floor((F.col("doc_no") - 1) / F.lit(block)).cast("long"))
     near = near.join(touched.select(F.col("bundle").alias("b_"), F.col("block_").alias("k_")), _same("bundle", "b_") & (F.col("block_") == F.col("k_"))).drop("b_", "k_")
     ended = ended.select(F.col("bundle").alias("b_"), F.col("doc_no").alias("d_"), "stop", "rest")
     met = near.join(ended, _same("bundle", "b_") & (F.col("doc_no") == F.col("d_")), "left")
     taken = F.when(F.col("stop").isNull() | (F.col("idx") < F.col("stop")), whole).when((F.col("idx") == F.col("stop")) & (F.col("rest") > rule.least), clip(F.col("rest").cast("int")))
-    return met.select("bundle", "doc_no", "idx", taken.alias("piece")).where("piece is not null")
+    out = met.select("bundle", "doc_no", "idx", taken.alias("piece")).where("piece is not null")
+    return out.unionByName(bundles, allowMissingColumns=True) if all_bundles else out
 
 
-def joined(taken: DataFrame, bundles: DataFrame) -> DataFrame:
-    """(bundle, body): the pieces of each bundle in order, as one text; empty for bundles (bundle) without a piece."""
-    body = taken.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_no", "idx", "piece"))), lambda x: x["piece"]), "\n\n").alias("body"))
+def joined(taken: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """(bundle, body): the pieces of each bundle in order, as one text; empty for bundles (bundle) without a piece, which are those of ``taken`` if none are given."""
+    piece = F.when(F.col("piece").isNotNull(), F.struct("doc_no", "idx", "piece"))
+    body = taken.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["piece"]), "\n\n").alias("body"))
+    if bundles is None:
+        return body
     return bundles.select(F.col("bundle").alias("b_")).join(body, _same("bundle", "b_"), "left").select(F.col("b_").alias("bundle"), F.coalesce("body", F.lit("")).alias("body"))

@@ -115,16 +115,19 @@ def budget_pieces(pages: DataFrame, key: str, most: int = 80000, least: int = 10
     document may add one. ``measure`` counts a chunk (column ``chunk``), its
     characters by default; clipping is by characters.
     """
+    return _budget_pieces(pages, key, most, least, measure, False)
+
+
+def _budget_pieces(pages: DataFrame, key: str, most: int, least: int, measure: Column | None, all_bundles: bool) -> DataFrame:
     chunk = F.concat(F.lit("[Doc"), F.col("doc_no").cast("string"), F.lit(" Page"), F.col("page").cast("string"), F.lit("] "), F.coalesce("content", F.lit("")))
     rows = pages.select(F.col(key).alias("bundle"), "doc_no", "idx", chunk.alias("chunk"))
     size = F.char_length("chunk") if measure is None else measure
-    return B.pieces(rows, B.Rule(most, least), F.col("chunk"), size, lambda rest: F.concat(F.left("chunk", rest), F.lit("...")))
+    return B.pieces(rows, B.Rule(most, least), F.col("chunk"), size, lambda rest: F.concat(F.left("chunk", rest), F.lit("...")), all_bundles=all_bundles)
 
 
 def truncate(pages: DataFrame, key: str, most: int = 80000, least: int = 100, measure: Column | None = None) -> DataFrame:
     """(key, body): ``budget_pieces`` of a key as one text."""
-    bundles = pages.select(F.col(key).alias("bundle")).distinct()
-    return B.joined(budget_pieces(pages, key, most, least, measure), bundles).withColumnRenamed("bundle", key)
+    return B.joined(_budget_pieces(pages, key, most, least, measure, True)).withColumnRenamed("bundle", key)
 
 
 def gather_sources(pages: DataFrame, key: str, most: int = 12000, least: int = 200, n_pages: int = 12) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 #: Labels of an automaton; texts of a key that pass it in one task.
 BLOCK, PART = 1000, 4096
 
@@ -60,6 +62,7 @@ class Automaton:
 
 def _matched(texts: DataFrame, labels: DataFrame, on: str, block: int, each, schema: str, names: list[str]) -> DataFrame:
     held = texts.select(F.col(on).alias("of_"), F.col("idx").cast("long").alias("idx_"), F.col("low").alias("low_"), F.floor(F.col("idx") / F.lit(PART)).cast("long").alias("part_"))
+    labels = written(labels.select(on, "node", "words"))  # read several times
     many = _many(labels, on, block)
     machines = label_blocks(labels, on, many)
     # Labels go to a key's first part, and to others that there are; texts move once, and more than once only for keys of many labels.
@@ -97,11 +100,16 @@ def _matched(texts: DataFrame, labels: DataFrame, on: str, block: int, each, sch
     return met.mapInArrow(run, ddl)
 
 
-def spans(texts: DataFrame, labels: DataFrame, on: str, block: int = BLOCK) -> DataFrame:
-    """(on, idx, node, word, start, stop): every place of every word of (on, node, words) in the texts (on, idx, low) of its key; ``on`` is text or whole, ``stop`` is the last code point."""
+def spans(texts: DataFrame, labels: DataFrame, on: str, block: int = BLOCK, first: bool = False) -> DataFrame:
+    """(on, idx, node, word, start, stop): every place of every word of (on, node, words) in the texts (on, idx, low) of its key, or its ``first`` place in each text alone; ``on`` is text or whole, ``stop`` is the last code point."""
 
     def each(machine: Automaton, text: str) -> Iterator[tuple]:
+        seen: set[str] = set()
         for end, word in machine.found(text):
+            if first:
+                if word in seen:
+                    continue
+                seen.add(word)
             for i in dict.fromkeys(machine.places[word]):
                 yield machine.nodes[i], word, end - len(word) + 2, end + 1
 

@@ -195,8 +195,8 @@ def chart_page(config: Column, title: Column) -> Column:
     return F.concat(F.lit("<!doctype html><html><head><title>"), T.escape_html(title), F.lit('</title></head><body><canvas id="chart"></canvas><script type="application/json" id="config">'), F.replace(config, F.lit("</"), F.lit("<\\/")), F.lit("</script></body></html>"))
 
 
-def evidence(elements: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """(key, element, chunk, start, stop): all places of the elements' labels in the chunks of their document, case aside."""
+def evidence(elements: DataFrame, chunks: DataFrame, key: str, first: bool = False) -> DataFrame:
+    """(key, element, chunk, start, stop): all places of the elements' labels in the chunks of their document, case aside; the ``first`` place in each chunk alone, if asked."""
     labels = elements.select(key, F.col("element").cast("string").alias("node"), F.array(F.lower("label")).alias("words"))
     found = spans.spans(chunks.select(key, F.col("chunk").alias("idx"), F.lower("content").alias("low")), labels, key)
     return found.select(key, F.col("node").cast(elements.schema["element"].dataType).alias("element"), F.col("idx").alias("chunk"), "start", "stop")
@@ -204,4 +204,4 @@ def evidence(elements: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
 
 def attribute(elements: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """(key, element, chunk, span): the first chunk of a document that holds an element's label, and where."""
-    return evidence(elements, chunks, key).groupBy(key, "element").agg(F.min(F.struct("chunk", "start")).alias("m")).select(key, "element", "m.chunk", "m.start")
+    return evidence(elements, chunks, key, True).groupBy(key, "element").agg(F.min(F.struct("chunk", "start")).alias("m")).select(key, "element", "m.chunk", "m.start")
