@@ -245,6 +245,11 @@ def context_items(c: Column | str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array(F.lit(""))).when(is_list, items).otherwise(F.coalesce(one, F.array(text)))
 
 
+def base64_line(c: Column | str) -> Column:
+    """Bytes in base64 as one line: Spark's own breaks it after every 76 characters, which addresses may not have."""
+    return F.translate(F.base64(col(c).cast("binary")), "\r\n", "")
+
+
 def data_uri(mime: Column | str, data: Column | str) -> Column:
     return F.concat(F.lit("data:"), F.coalesce(col(mime), F.lit("image/png")), F.lit(";base64,"), col(data))
 

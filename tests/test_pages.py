@@ -136,3 +136,14 @@ def test_sinks(spark, tmp_path):
         sinks.export_trace(df, f"{tmp_path}/t")
     sinks.write_ratings(spark.createDataFrame([(1, "q" * 200, "d")], "query_id int, query string, viz_dsl string"), f"{tmp_path}/r")
     assert len(spark.read.option("header", True).csv(f"{tmp_path}/r").first().query) == 100
+
+
+def test_data_uris_of_long_and_missing_addresses(spark, tmp_path):
+    import base64
+
+    from leafworks.plans import registry
+
+    urls = ["https://example.org/" + "a" * n for n in (36, 37, 38, 95, 500)] + ["", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["uri"] for r in registry.QUERIES["data_uris"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"data:image/{'png' if i % 2 else 'jpeg'};base64,{base64.b64encode((u or '').encode()).decode()}" for i, u in enumerate(urls)}
