@@ -7,6 +7,8 @@ shuffle, so no group's rows travel whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,54 +38,122 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-#: Probes and vectors that a task compares at once.
-PROBES, VECTORS = 1024, 1 << 15
+#: Probes of a task, and vectors that it holds; of those so many are compared with so many probes at once.
+PROBES, VECTORS, TILE, ROWS = 1 << 13, 1 << 15, 4096, 256
 
 
 def nearest(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0, n_probes: int = PROBES, n_vectors: int = VECTORS) -> DataFrame:
     """(probe, vec_id, score, rank): the k nearest of (vec_id, embedding) for every probe, itself left out, by cosine to nine places.
 
     Blocks of probes meet blocks of vectors, each pair in a task of its own,
-    which keeps its k best of each probe. Cosines with a vector of zeros, or
-    of another length, are 0.
+    which gives its k best of each probe. Cosines with a vector of zeros, of
+    another length, or with null or infinite components are 0; rows without
+    an id are left out.
     """
-    import numpy as np
-    import pyarrow as pa
-
     one = lambda df, n: max(1, -(-df.count() // n))
+    vectors, probes = vectors.where("vec_id is not null"), probes.where("vec_id is not null")
     blocks, parts = one(probes, n_probes), one(vectors, n_vectors)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), mine(parts).alias("part")).withColumn("block", spread(blocks))
-    right = probes.select(F.col("vec_id").alias("of"), F.col("embedding").cast("array<double>").alias("x"), mine(blocks).alias("block")).withColumn("part", spread(parts))
-
-    def matrix(rows: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((len(rows), size))
-        for i, x in enumerate(rows["x"].to_pylist()):
-            if x is not None and len(x) == size and None not in x:
-                out[i] = x
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return rows[name].to_numpy(), np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-
-    def compare(vs: pa.Table, ps: pa.Table) -> pa.Table:
-        if not len(vs) or not len(ps):
-            vs = ps = pa.table({"vec_id": pa.array([], pa.int64()), "of": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64()))})
-        size = max((len(x) for x in ps["x"].to_pylist() if x is not None), default=0)
-        (ids, x), (of, q) = matrix(vs, "vec_id", size), matrix(ps, "of", size)
-        out = []
-        for probe, row in zip(of, np.round(q @ x.T, 9), strict=True):
-            good = np.flatnonzero((ids != probe) & ((row > least) | (least <= 0)))
-            if len(good) > k:
-                good = good[row[good] >= np.partition(row[good], -k)[-k]]
-            good = good[np.lexsort((ids[good], -row[good]))][:k]
-            out += [(int(probe), int(ids[i]), float(row[i])) for i in good]
-        cols = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("probe", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, "probe long, vec_id long, score double")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    id_, x = F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("x")
+    left = vectors.select(mine(parts).alias("part"), spread(blocks).alias("block"), id_, x)
+    right = probes.select(spread(parts).alias("part"), mine(blocks).alias("block"), id_, x)
+    task = (F.col("block") * parts + F.col("part")).alias("task")
+    best = compared(left.select(task, "id", "x"), right.select(task, "id", "x"), k, least)
     return top_k(best, ["probe"], [F.col("vec_id")], k)
 
 
+def compared(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """(probe, vec_id, score): for every probe (task, id, x) the k nearest of the vectors (task, id, x) of its task.
+
+    A task holds its vectors, as they came, and its probes pass by in batches;
+    products are made in tiles, and only those that reach a probe's k best so
+    far are looked at. So its memory is that of its vectors and a few tiles,
+    whatever the number of probes.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def matrix(column: pa.Array, size: int) -> np.ndarray:
+        """The rows of ``size`` numbers; others are zeros."""
+        fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+        flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False)
+        if pc.all(fits).as_py():
+            return flat.reshape(len(column), size)
+        out = np.zeros((len(column), size), flat.dtype)
+        held = fits.to_numpy(zero_copy_only=False)
+        out[held] = flat.reshape(held.sum(), size)
+        return out
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x.astype(float)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=(norm > 0) & (norm < np.inf))
+
+    def best(ids: np.ndarray, x: np.ndarray, of: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of each probe's k best, the best first; ``ids`` ascend, so of equal scores the first met counts."""
+        scores, found = np.full((len(of), k), -np.inf), np.zeros((len(of), k), np.int64)
+        for lo in range(0, len(ids), TILE):
+            u, named = unit(x[lo : lo + TILE]), ids[lo : lo + TILE]
+            for a in range(0, len(of), ROWS):
+                dot, mine = q[a : a + ROWS] @ u.T, of[a : a + ROWS]
+                start, end = np.searchsorted(named, mine), np.searchsorted(named, mine, "right")
+                for p in np.flatnonzero(end > start).tolist():
+                    dot[p, start[p] : end[p]] = -np.inf
+                if not lo and len(named) > k:
+                    limit = np.partition(dot, -k, axis=1)[:, -k] - 1e-9
+                else:  # what rounds to more than the last of the k
+                    limit = scores[a : a + ROWS, -1] + 4e-10
+                p, c = np.nonzero(dot >= np.maximum(limit, least - 1e-9 if least > 0 else -2)[:, None])
+                score = np.round(dot[p, c], 9)
+                if least > 0:
+                    p, c, score = (v[score > least] for v in (p, c, score))
+                if not len(p):
+                    continue
+                some = np.unique(p)
+                p, score, who = np.append(p, np.repeat(some, k)), np.append(score, scores[a + some]), np.append(named[c], found[a + some])
+                order = np.lexsort((who, -score, p))
+                p, score, who = p[order], score[order], who[order]
+                rank = np.arange(len(p)) - np.searchsorted(p, p)
+                kept = rank < k
+                scores[a + p[kept], rank[kept]], found[a + p[kept], rank[kept]] = score[kept], who[kept]
+        return scores, found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, ids, matrices = None, [], None, {}
+        for batch in batches:
+            tasks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(1 + np.flatnonzero((tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1]))).tolist(), len(batch)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if not kinds[lo]:
+                    if tasks[lo] != task:
+                        task, held, ids, matrices = tasks[lo], [], None, {}
+                    held.append(part)
+                    continue
+                if tasks[lo] != task:  # no vector is there
+                    continue
+                if ids is None:
+                    ids = np.concatenate([b.column(2).to_numpy() for b in held])
+                of, xs = part.column(2).to_numpy(), part.column(3)
+                sizes = pc.fill_null(pc.list_value_length(xs), 0).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    if size not in matrices:
+                        matrices[size] = np.concatenate([matrix(b.column(3), size) for b in held])
+                    rows = np.flatnonzero(sizes == size)
+                    scores, found = best(ids, matrices[size], of[rows], unit(matrix(xs.take(pa.array(rows)), size)))
+                    good = scores > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of[rows], k)[good.ravel()]), pa.array(found[good]), pa.array(scores[good])], ["probe", "vec_id", "score"])
+
+    same = vectors.schema["x"].dataType == probes.schema["x"].dataType
+    rows = lambda df, kind: df.select(F.col("task").cast("long").alias("task"), F.lit(kind).alias("kind"), "id", "x" if same else F.col("x").cast("array<double>").alias("x"))
+    dealt = rows(vectors, 0).unionByName(rows(probes, 1)).repartition("task").sortWithinPartitions("task", "kind", "id")
+    return dealt.mapInArrow(run, "probe long, vec_id long, score double")
+
+
 def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_key: str, least: int = 2, share: float = 0.4) -> DataFrame:
     """(query, n_words, page key, score): pages that hold enough distinct words of a query.
 

@@ -53,3 +53,30 @@ def test_odd_vectors(spark):
     assert {(r["probe"], r["vec_id"]) for r in L.nearest(df, df, 3).collect()} == {(1, 2), (2, 1)}
     for none in (df.where("vec_id in (3, 8)"), df.where(F.lit(False))):
         assert L.nearest(none, df, 3).collect() == []
+
+
+def test_probes_pass_by_in_batches(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(c) for c in rng.normal(size=6 if i % 7 else 4)], "x") for i in range(300)]
+    rows += [(300, [0.0] * 6, "x"), (301, None, "x"), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (303, [float("inf")] * 6, "x"), (None, rows[1][1], "x"), *[(400 + i, rows[1][1], "x") for i in range(20)], *rows[1:3]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    known = [(i, np.array([0.0 if c is None else c for c in x], np.float32).astype(float)) for i, x, _ in rows if i is not None and x is not None]
+
+    def unit(x):
+        return x / np.linalg.norm(x) if 0 < np.linalg.norm(x) < np.inf and not (len(x) == 6 and x[0] == 1.0 and not x[1:].any()) else 0 * np.nan_to_num(x, posinf=0)
+
+    known = [(i, unit(x)) for i, x in known] + [(301, np.zeros(0))]
+    for k, least in ((5, 0.0), (30, 0.2)):
+        want = set()
+        for of, q in known:
+            if of % 20 and of not in (300, 301, 303):
+                continue
+            scored = sorted((-round(float(q @ x), 9) if len(x) == len(q) else 0.0, i) for i, x in known if i != of)
+            want |= {(of, i, round(-s, 6), r + 1) for r, (s, i) in enumerate([x for x in scored if least <= 0 or -x[0] > least][:k])}
+        for n_probes, n_vectors, tile, rows_ in ((8192, 32768, 4096, 256), (5, 37, 16, 3)):
+            monkeypatch.setattr(R, "TILE", tile)
+            monkeypatch.setattr(R, "ROWS", rows_)
+            out = R.nearest(df, df.where("vec_id % 20 = 0 or vec_id in (300, 301, 303)"), k, least, n_probes, n_vectors)
+            assert {(r["probe"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in out.collect()} == {(p, i, s + 0.0, r) for p, i, s, r in want}
+            # No task gathers its probes, nor a matrix over all of its pairs.
+            assert "CoGroups" not in out._jdf.queryExecution().toString()
