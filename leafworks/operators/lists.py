@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..sources.folders import written
 from . import retrieval
 
-#: Vectors that centroids are fitted on; lists at most; vectors of a part; rounds of k-means; sample probes that measure.
-SAMPLE, LISTS, PART, ROUNDS, MEASURED = 16_384, 512, 1 << 15, 8, 256
+#: Vectors that centroids are fitted on; lists at most; vectors of a part; rounds of k-means; sample probes that measure; rows that are given to lists at once.
+SAMPLE, LISTS, PART, ROUNDS, MEASURED, GIVEN = 16_384, 512, 1 << 15, 8, 256, 4096
 
 
 @dataclass(frozen=True)
@@ -97,12 +97,15 @@ def _dealt(vectors: DataFrame, lists: Lists, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, u = _units(batch.column(1), size)
-            near = u @ lists.centroids.T
-            at = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
-            take = pa.array(np.repeat(rows, at.shape[1]))
-            x = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(u, at.shape[1], axis=0).ravel()), size).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), x, pa.array(at.ravel().astype(np.int32))], ["vec_id", "x", "list"])
+            step = max(1, GIVEN // n)
+            for lo in range(0, len(batch), step):
+                ids, given = batch.column(0).slice(lo, step), batch.column(1).slice(lo, step)
+                rows, u = _units(given, size)
+                near = u @ lists.centroids.T
+                at = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+                take = pa.array(np.repeat(rows, at.shape[1]))
+                x = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(u, at.shape[1], axis=0).ravel()), size).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([ids.take(take), x, pa.array(at.ravel().astype(np.int32))], ["vec_id", "x", "list"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).mapInArrow(run, "vec_id long, x array<double>, list int")
 
@@ -118,23 +121,7 @@ def nearest(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0, l
     parts = index.groupBy(F.col("list").alias("l_")).agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
     here = index.join(F.broadcast(parts), F.col("list") == F.col("l_")).select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "x")
     asked = _dealt(probes, lists, lists.n_probe).join(F.broadcast(parts), F.col("list") == F.col("l_"))
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("vec_id").alias("of"), "x")
-
-    def compare(vs: pa.Table, ps: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(vs) and len(ps):
-            matrix = lambda t: t["x"].combine_chunks().values.to_numpy().reshape(len(t), -1)
-            ids, of, x = vs["vec_id"].to_numpy(), ps["of"].to_numpy(), matrix(vs)
-            q = matrix(ps)
-            for lo in range(0, len(of), 256):
-                for probe, row in zip(of[lo : lo + 256], np.round(q[lo : lo + 256] @ x.T, 9), strict=True):
-                    good = np.flatnonzero((ids != probe) & ((row > least) | (least <= 0)))
-                    if len(good) > k:
-                        good = good[row[good] >= np.partition(row[good], -k)[-k]]
-                    good = good[np.lexsort((ids[good], -row[good]))][:k]
-                    out += [(int(probe), int(ids[i]), float(row[i])) for i in good]
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("probe", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    best = here.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(compare, "probe long, vec_id long, score double")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "x")
+    task = (F.shiftleft(F.col("list").cast("long"), 32) + F.col("part")).alias("task")
+    best = retrieval.compared(*(df.select(task, F.col("vec_id").alias("id"), "x") for df in (here, asked)), k, least)
     return retrieval.top_k(best, ["probe"], [F.col("vec_id")], k)

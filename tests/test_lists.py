@@ -80,3 +80,5 @@ def test_probes_pass_by_in_batches(spark, monkeypatch):
             assert {(r["probe"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in out.collect()} == {(p, i, s + 0.0, r) for p, i, s, r in want}
             # No task gathers its probes, nor a matrix over all of its pairs.
             assert "CoGroups" not in out._jdf.queryExecution().toString()
+    lists = L.fit(df.where("size(embedding) = 6"), 8)
+    assert "CoGroups" not in L.nearest(df, df, 8, lists=lists)._jdf.queryExecution().toString()
