@@ -120,3 +120,16 @@ def test_state_is_cleared(spark, tmp_path, few_partitions):
 def test_no_rows(spark, tmp_path, few_partitions):
     write(spark, [], f"{tmp_path}/in")
     assert run(spark, f"{tmp_path}/in", f"{tmp_path}/out").collect() == []
+
+
+def test_steps_that_come_together_wait_as_one_value(spark, tmp_path, few_partitions):
+    """A value a step would cost a call and an encoding each, for every event there is."""
+    rows = [(1, i, i * HOUR, "search", None if i % 3 else i, None if i % 2 else 2**60 + i) for i in range(40)]
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, rows + rows[:5] + [(2, 99, 45 * HOUR, "think", None, None)], path)
+    assert finished(run(spark, path, out).collect()) == simulated([*rows, (2, 99, 45 * HOUR, "think", None, None)], 39 * HOUR)
+    write(spark, [(k, 100 + i, (46 + k) * HOUR + i, "web", 1, None) for k in (1, 2) for i in range(30)], path)
+    run(spark, path, out)
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", True).load(f"{out}_checkpoint")
+    per_key = {r["key"]["session"]: r["count"] for r in waiting.groupBy("key").count().collect()}
+    assert per_key.keys() == {1, 2} and max(per_key.values()) <= 2
