@@ -25,8 +25,9 @@ sums.
 Equal vectors are one class with a count. What a pair of blocks returns is a
 count a class and the links that join components (a forest), not all pairs.
 
-Scale: vectors move once into blocks and then with each pair of blocks that
-bounds leave open, a megabyte a block. Vectors without structure, such as
+Scale: vectors move once into blocks, a megabyte each, and then once for each
+square of ``SQUARE`` blocks by as many that has pairs which bounds leave open:
+some ``SQUARES`` times up to ``SQUARE * SQUARES`` blocks. Vectors without structure, such as
 random ones in many dimensions, leave all pairs of blocks open for any exact
 method; each then costs one matrix product. Blocks are written, so a lost
 executor repeats single pairs.
@@ -57,6 +58,9 @@ LEAST = 0.9
 #: Vectors of a block at most, and bytes of them at most; vectors of the sample; children of a node, as a power of two.
 BLOCK, BLOCK_BYTES, SAMPLE, FAN_BITS = 2048, 4 << 20, 1024, 4
 
+#: Blocks that a task holds at most, while others pass by; up to that, a block meets so many squares of blocks.
+SQUARE, SQUARES = 24, 12
+
 #: Radii of the nested nets; the first holds all unit vectors.
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 
@@ -134,14 +138,14 @@ class Side:
     def __init__(self, blob: bytes):
         with np.load(io.BytesIO(blob)) as f:
             self.x, self.copies = f["x"], f["copies"]
-            self.levels = [(f[f"n{i}"], f[f"p{i}"], f[f"r{i}"]) for i in range(int(f["depth"]))]
+            self.levels = [(f[f"n{i}"].astype(np.int64), f[f"p{i}"].astype(np.int64), f[f"r{i}"]) for i in range(int(f["depth"]))]
         self.u = unit(self.x.astype(float))
         self.short = self.u.astype(np.float32)
 
 
 def blob_of(x: np.ndarray, copies: np.ndarray, levels: list[Level]) -> bytes:
     out = io.BytesIO()
-    parts = {f"{c}{i}": v for i, level in enumerate(levels) for c, v in zip("npr", level, strict=True)}
+    parts = {f"{c}{i}": v if c == "r" else v.astype(np.int32) for i, level in enumerate(levels) for c, v in zip("npr", level, strict=True)}
     np.savez(out, x=x, copies=copies, depth=len(levels), **parts)
     return out.getvalue()
 
@@ -397,15 +401,33 @@ def follow(nodes: list[DataFrame], least: float) -> tuple[DataFrame, DataFrame |
 _FOUND = "a long, b long, n long"
 
 
-def opened(pairs: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
-    """Of all open pairs of blocks: (class, null, links found) and (class, class it hangs from, null)."""
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("node_"))
-    met = sides.join(blocks.select("node", "blob"), F.col("node_") == F.col("node")).select("a", "b", "node", "blob")
+def opened(pairs: DataFrame, blocks: DataFrame, least: float, side: int = 1) -> DataFrame:
+    """Of all open pairs of blocks: (class, null, links found) and (class, class it hangs from, null).
+
+    Pairs are dealt in squares of ``side`` blocks by as many: a task holds the
+    blocks a of its square, and its blocks b pass by, so a block moves once a
+    square and not once a pair.
+    """
+    square = pairs.select(F.floor(F.col("a") / side).alias("sa"), F.floor(F.col("b") / side).alias("sb"), "a", "b")
+    held = square.select("sa", "sb", F.lit(0).alias("kind"), F.col("a").alias("node_"), F.lit(None).cast("array<long>").alias("of")).distinct()
+    pass_by = square.groupBy("sa", "sb", F.col("b").alias("node_")).agg(F.sort_array(F.collect_list("a")).alias("of")).select("sa", "sb", F.lit(1).alias("kind"), "node_", "of")
+    met = held.unionByName(pass_by).join(blocks.select("node", "blob"), F.col("node_") == F.col("node")).select("sa", "sb", "kind", "node", "of", "blob")
 
-    def run(group: pa.Table) -> pa.Table:
-        held = {n: Side(x) for n, x in zip(group["node"].to_pylist(), group["blob"].to_pylist(), strict=True)}
-        i, j = group["a"][0].as_py(), group["b"][0].as_py()
-        a, b = held[i], held[j]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, {}
+        for batch in batches:
+            sa, sb, kind, node, of = (batch.column(i).to_pylist() for i in range(5))
+            for r, j in enumerate(node):
+                if at != (sa[r], sb[r]):
+                    at, sides = (sa[r], sb[r]), {}
+                if not kind[r]:
+                    sides[j] = Side(batch.column(5)[r].as_py())
+                    continue
+                b = sides[j] if j in sides else Side(batch.column(5)[r].as_py())
+                for i in of[r]:
+                    yield one(i, j, sides[i], b)
+
+    def one(i: int, j: int, a: Side, b: Side) -> pa.RecordBatch:
         to_b, to_a, edges = traverse(a, b, least)
         ids = np.concatenate([(i << PLACE_BITS) + np.arange(len(a.u)), (j << PLACE_BITS) + np.arange(len(b.u))])
         counts = np.concatenate([to_b, to_a if i != j else 0 * to_a])
@@ -414,9 +436,11 @@ def opened(pairs: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
         v, low = forest(edges, len(ids))
         some = np.flatnonzero(counts)
         nulls = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"a": pa.chunked_array([ids[some], ids[v]]), "b": pa.chunked_array([nulls(len(some)), pa.array(ids[low])]), "n": pa.chunked_array([pa.array(counts[some]), nulls(len(v))])})
+        columns = np.concatenate([ids[some], ids[v]]), pa.concat_arrays([nulls(len(some)), pa.array(ids[low])]), pa.concat_arrays([pa.array(counts[some]), nulls(len(v))])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["a", "b", "n"])
 
-    return written(met.groupBy("a", "b").applyInArrow(run, _FOUND))
+    dealt = met.repartition("sa", "sb").sortWithinPartitions("sa", "sb", "kind", "node")
+    return written(dealt.mapInArrow(released(run), _FOUND))
 
 
 def link(vectors: DataFrame, least: float = LEAST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
@@ -428,7 +452,7 @@ def link(vectors: DataFrame, least: float = LEAST, block: int = BLOCK, sample: i
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     nodes = tree(blocks, total)
     pairs, whole = follow(nodes, least)
-    found = opened(pairs, blocks, least)
+    found = opened(pairs, blocks, least, max(1, min(SQUARE, total // SQUARES)))
 
     held = blocks.select("node", F.posexplode(F.arrays_zip("k1", "k2", "low"))).select("node", ((F.col("node") * (1 << PLACE_BITS)) + F.col("pos")).alias("id"), "col.*")
     # What links as a whole, for the blocks below: rows gained, and the first class of the node, which joins all.

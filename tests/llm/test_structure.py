@@ -321,3 +321,19 @@ def test_registered_query(spark, sf_dir, duck, number):
         return
     want = duck.sql(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
     assert got == sorted(want)
+
+
+def test_blocks_move_once_a_square(spark, monkeypatch):
+    """Squares of any size give the same links."""
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, [float(c) for c in base[i % 60] + 0.2 * rng.normal(size=8)], 0) for i in range(240)]
+    want, frame_ = brute_links(rows), vectors_frame(spark, rows, "double")
+    seen = []
+    opened = vector_dedup.opened
+    monkeypatch.setattr(vector_dedup, "opened", lambda pairs, blocks, least, side=1: (seen.append((pairs.count(), side)), opened(pairs, blocks, least, side))[1])
+    for squares in (100, 4, 1):
+        monkeypatch.setattr(vector_dedup, "SQUARES", squares)
+        got = sorted((tuple(r) for r in vector_dedup.link(frame_, block=12, sample=64).collect()), key=repr)
+        assert got == want
+    assert len({n for n, _ in seen}) == 1 and 1 == seen[0][1] < seen[1][1] < seen[2][1]
