@@ -428,6 +428,43 @@ def test_large_buckets(monkeypatch):
         assert [f.find(r[2]) for r in rows] == [want.find(r[2]) for r in rows]
 
 
+def test_few_comparisons_join_a_large_component(monkeypatch):
+    """Of two components in a bucket that link, few pairs are compared; pairs that don't link all are."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh") for _ in range(200))
+    other = "".join(rng.choice("abcdefgh") for _ in range(200))
+    near = lambda t: "".join(rng.choice("xyz") if rng.random() < 0.02 else c for c in t)
+    norms = [near(base) for _ in range(200)] + [near(other)]
+    comps = [0] * 100 + [1] * 100 + [2]
+    names = ["bucket", "key", "id", "component", "chunk", "keys", "norm"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, (7, 7, i, c, 0, [7], n), strict=True)) for i, (c, n) in enumerate(zip(comps, norms, strict=True))], pa.schema([*[(n, pa.int64()) for n in names[:5]], ("keys", pa.list_(pa.int64())), ("norm", pa.string())]))
+    seen = []
+    whole = line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs: seen.extend(pairs) or whole(pairs))
+    links = [x for b in line_dedup.links_in_keys(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(links) == 1 and {comps[i] for i in links[0]} == {0, 1}
+    apart = [p for p in seen if norms[-1] in p]
+    assert len(apart) == 200 and len(seen) - len(apart) < 100
+
+
+def test_columns_of_the_table():
+    """Pairs compared by themselves get the distances of the plain table."""
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé日") for _ in range(rng.randint(1, 70))) for _ in range(2))
+        k = rng.randint(max(0, abs(len(a) - len(b))), 80)
+        assert min(line_dedup.by_columns(a, b, k), k + 1) == min(edits(a, b, 200), k + 1)
+
+
+def test_lengths_and_texts(spark):
+    """Lines apart by their lengths make no link, and the texts of many lines are normalised at once."""
+    texts = spark.createDataFrame([(1, "abcdefghij", 10), (2, "abcdefghijkl", 12), (3, "abcdefghiX", 10)], "id long, norm string, size long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in line_dedup.edit_links(texts, pairs).collect()] == [(1, 3)]
+    lines = line_dedup.Lines(*K.buffers(pa.array(["Some  Words, here\n\n x é9 \n", "one"])))
+    assert lines.texts(lines.hashes()[0]) == ["some words here", "x é0", "one"]
+
+
 def test_components(spark):
     rng = random.Random(3)
     for n in (0, 1, 40, 200):
