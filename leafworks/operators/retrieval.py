@@ -154,23 +154,37 @@ def compared(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0)
     return dealt.mapInArrow(run, "probe long, vec_id long, score double")
 
 
+#: Words of a query that a page must hold of the rarest ones before it is compared.
+MEETS = 3
+
+
+def met_pages(held: DataFrame, words: DataFrame, page_key: list[str], query_key: str, meets: int = MEETS) -> DataFrame:
+    """(query, page key): pages (page key, held) that may hold ``need`` of the words (query, n_words, need, word, often) of a query.
+
+    A page that holds m of n words lacks n - m at most, so of any n - m + t
+    of them it holds t: the ones that fewest queries have are joined.
+    """
+    least = F.least(F.lit(meets), F.ceil("need"))
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy("often", "word"))
+    first = words.withColumn("place", place).where(F.col("place") <= F.col("n_words") - F.ceil("need") + least).select("word", query_key, least.alias("least"))
+    met = held.select(*page_key, F.explode("held").alias("word")).join(first, "word")
+    return met.groupBy(query_key, *page_key).agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select(query_key, *page_key)
+
+
 def word_hits(pages: DataFrame, queries: DataFrame, page_key: list[str], query_key: str, least: int = 2, share: float = 0.4) -> DataFrame:
     """(query, n_words, page key, score): pages that hold enough distinct words of a query.
 
-    Enough is ``least`` and the share of the query's words. A page that
-    holds m of n words holds one of any n - m + 1 of them, so only a query's
-    words that fewest queries have are joined (an equi-join; common words
-    mostly stay out), by words and keys alone; whole word sets travel once,
-    for pages that meet a query, and are compared there.
+    Enough is ``least`` and the share of the query's words. Pages that hold
+    enough of a query's rarest words for that are found by an equi-join of
+    words and keys alone (common words mostly stay out); whole word sets
+    travel once, for pages that meet a query, and are compared there.
     """
     asked = queries.select(query_key, F.array_distinct(keywords("text")).alias("asked")).withColumn("n_words", F.size("asked"))
     asked = asked.withColumn("need", F.greatest(F.lit(float(least)), F.col("n_words") * F.lit(share)))
     words = asked.select(query_key, "n_words", "need", F.explode("asked").alias("word"))
     words = words.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("word")))
-    place = F.row_number().over(Window.partitionBy(query_key).orderBy("often", "word"))
-    first = words.withColumn("place", place).where(F.col("place") <= F.col("n_words") - F.ceil("need") + 1).select("word", query_key)
     held = pages.select(*page_key, F.array_distinct(keywords("content")).alias("held"))
-    met = held.select(*page_key, F.explode("held").alias("word")).join(first, "word").select(query_key, *page_key).distinct()
+    met = met_pages(held, words, page_key, query_key)
     sets = held.join(met.groupBy(*page_key).agg(F.collect_set(query_key).alias("by")), page_key).select(*page_key, "held", F.explode("by").alias(query_key))
     scored = sets.join(asked, query_key).withColumn("score", F.size(F.array_intersect("held", "asked")).cast("long"))
     return scored.where(F.col("score") >= F.col("need")).select(query_key, "n_words", *page_key, "score")

@@ -43,6 +43,25 @@ def test_best_pages_with_ties(spark):
     assert got == {(1, 0, 1, 2), (1, 1, 2, 3), (1, 4, 1, 2)}
 
 
+def test_pages_that_meet_a_query(spark):
+    """Pages that share one word with every query aren't compared with any, and none that holds enough is left out."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    queries = [(q, " ".join(rng.sample(words, rng.randint(1, 14)))) for q in range(40)]
+    pages = [(i, f"w{i % 60}") for i in range(60)] + [(100 + i, " ".join(rng.sample(words, rng.randint(2, 30)))) for i in range(80)]
+    q = spark.createDataFrame(queries, "item int, text string")
+    p = spark.createDataFrame(pages, "page int, content string")
+    sets = lambda rows: {k: set(t.split(" ")) for k, t in rows}
+    want = {(k, len(w), i, len(w & h)) for k, w in sets(queries).items() for i, h in sets(pages).items() if len(w & h) >= max(2, 0.4 * len(w))}
+    got = [tuple(r) for r in R.word_hits(p, q, ["page"], "item").collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+    need = {k: max(2.0, 0.4 * len(w)) for k, w in sets(queries).items()}
+    asked = spark.createDataFrame([(k, len(w), need[k], x, 1) for k, w in sets(queries).items() for x in w], "item int, n_words int, need double, word string, often int")
+    held = spark.createDataFrame([(i, sorted(h)) for i, h in sets(pages).items()], "page int, held array<string>")
+    met = {tuple(r) for r in R.met_pages(held, asked, ["page"], "item").collect()}
+    assert {(k, i) for k, _, i, _ in want} <= met and all(i >= 100 for _, i in met)
+
+
 def test_evidence(spark):
     chunks = spark.createDataFrame([("a", 1, "xx ANAN anan"), ("a", 2, "ananan"), ("b", 1, "anan")], "doc string, chunk int, content string")
     elements = spark.createDataFrame([("a", 5, "Anan"), ("a", 6, "zz"), ("b", 5, "nan")], "doc string, element int, label string")
