@@ -15,16 +15,18 @@ other words and over one another, too. Empty words are never found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import written
 
-#: Labels of an automaton; texts of a key that pass it in one task.
-BLOCK, PART = 1000, 4096
+#: Labels of an automaton; texts of a key that pass it in one task; rows that are given at once, about.
+BLOCK, PART, ROWS = 1000, 4096, 1 << 16
 
 
 def _many(labels: DataFrame, on: str, block: int) -> DataFrame:
@@ -43,21 +45,36 @@ class Automaton:
     """The words of a block of labels."""
 
     def __init__(self, labels: list[dict]):
-        self.nodes = [x["node"] for x in labels]
-        self.places: dict[str, list[int]] = {}  # a word's labels, as often as they have it
+        self.nodes = pa.array([x["node"] for x in labels], pa.string())
+        places: dict[str, list[int]] = {}  # a word's labels, as often as they have it
         for i, x in enumerate(labels):
             for w in x["words"] or ():
                 if w:
-                    self.places.setdefault(w, []).append(i)
+                    places.setdefault(w, []).append(i)
+        self.words, self.sizes = pa.array(places, pa.string()), np.array([len(w) for w in places], np.int64)
+        #: The labels of word w are labels[at[w]:at[w + 1]].
+        self.labels = np.array([i for own in places.values() for i in own], np.int64)
+        self.at = np.cumsum([0, *map(len, places.values())])
         self.machine = ahocorasick.Automaton()
-        for w in self.places:
-            self.machine.add_word(w, w)
-        if self.places:
+        for n, w in enumerate(places):
+            self.machine.add_word(w, n)
+        if places:
             self.machine.make_automaton()
 
-    def found(self, text: str) -> Iterator[tuple[int, str]]:
-        """(end, word) of every place."""
-        return self.machine.iter(text) if self.places else iter(())
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which text, end and word number) of every place."""
+        found = [list(self.machine.iter(t)) if len(self.words) else [] for t in texts]
+        size = [len(x) for x in found]
+        each = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 2 * sum(size))
+        return np.repeat(np.arange(len(texts)), size), each.reshape(-1, 2)
+
+    def labelled(self, of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(of, label) for every label of each word, as often as it has it."""
+        many = self.at[word + 1] - self.at[word]
+        if (many == 1).all():
+            return of, self.labels[self.at[word]]
+        start = np.repeat(self.at[word] - (np.cumsum(many) - many), many)
+        return np.repeat(of, many), self.labels[start + np.arange(len(start))]
 
 
 def _matched(texts: DataFrame, labels: DataFrame, on: str, block: int, each, schema: str, names: list[str]) -> DataFrame:
@@ -73,57 +90,84 @@ def _matched(texts: DataFrame, labels: DataFrame, on: str, block: int, each, sch
     dealt = ["of_", "block_", "part_"]
     met = heads.unionByName(rows).repartition(*dealt).sortWithinPartitions(*dealt, "kind_").select("of_", "idx_", "low_", "labels_", "block_", "part_")
 
+    types = [met.schema["of_"].dataType.simpleString(), "bigint", *[f.split(" ")[1] for f in schema.split(", ")]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, of = Automaton([]), None
         for batch in batches:
-            key, idx, low, _, number, part = (batch.column(i).to_pylist() if i != 3 else None for i in range(6))
-            heads = batch.column(3).is_valid().to_pylist()
-            out = []
+            low, number, part = (batch.column(i).to_pylist() for i in (2, 4, 5))
+            key, heads = batch.column(0).to_pylist(), batch.column(3).is_valid().to_pylist()
+            held: list[int] = []
+            done: list[tuple] = []
+            size = length = 0
+
+            def passed() -> int:
+                """The held texts pass the automaton; how many rows they give."""
+                at, found = machine.found([low[i] for i in held])  # noqa: B023
+                at, label, word, numbers = each(machine, np.array(held, np.int64)[at], found)  # noqa: B023
+                done.append((at, label, word, numbers, machine))  # noqa: B023
+                held.clear()  # noqa: B023
+                return len(at)
+
+            def rows() -> pa.RecordBatch:
+                at, label, word, numbers, machines = zip(*done, strict=True)  # noqa: B023
+                done.clear()  # noqa: B023
+                named = lambda of, own: pa.concat_arrays(own).take(pa.array(np.concatenate([x + lo for x, lo in zip(of, np.cumsum([0, *map(len, own[:-1])]), strict=True)])))
+                texts = [named(label, [m.nodes for m in machines]), *([named(word, [m.words for m in machines])] if "word" in names else [])]
+                at = pa.array(np.concatenate(at))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *texts, *[pa.array(np.concatenate(x)) for x in zip(*numbers, strict=True)]], names)  # noqa: B023
+
             for i, text in enumerate(low):
                 if heads[i]:
+                    if held:
+                        size += passed()
                     machine, of = Automaton(batch.column(3)[i].as_py()), (key[i], number[i], part[i])
                 elif of == (key[i], number[i], part[i]):  # a key without labels has no head
-                    out += [(key[i], idx[i], *row) for row in each(machine, text)]
-                    if len(out) >= 1 << 16:
-                        yield _rows(out)
-                        out = []
-            yield _rows(out)
-
-    types = [met.schema["of_"].dataType.simpleString(), "bigint", *[f.split(" ")[1] for f in schema.split(", ")]]
-    arrow = [pa.string() if t == "string" else pa.int32() if t == "int" else pa.int64() for t in types]
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names)
+                    held.append(i)
+                    length += len(text)
+                    if length >= ROWS:
+                        size += passed()
+                if not held:
+                    length = 0
+                if size >= ROWS:
+                    yield rows()
+                    size = 0
+            if held:
+                passed()
+            if done:
+                yield rows()
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True))
     return met.mapInArrow(run, ddl)
 
 
-def spans(texts: DataFrame, labels: DataFrame, on: str, block: int = BLOCK, first: bool = False) -> DataFrame:
-    """(on, idx, node, word, start, stop): every place of every word of (on, node, words) in the texts (on, idx, low) of its key, or its ``first`` place in each text alone; ``on`` is text or whole, ``stop`` is the last code point."""
+def spans(texts: DataFrame, labels: DataFrame, on: str, block: int = BLOCK, first: bool = False, named: bool = True) -> DataFrame:
+    """(on, idx, node, word, start, stop): every place of every word of (on, node, words) in the texts (on, idx, low) of its key, or its ``first`` place in each text alone; ``on`` is text or whole, ``stop`` is the last code point, ``word`` is left out unless ``named``."""
 
-    def each(machine: Automaton, text: str) -> Iterator[tuple]:
-        seen: set[str] = set()
-        for end, word in machine.found(text):
-            if first:
-                if word in seen:
-                    continue
-                seen.add(word)
-            for i in dict.fromkeys(machine.places[word]):
-                yield machine.nodes[i], word, end - len(word) + 2, end + 1
+    def each(machine: Automaton, at: np.ndarray, found: np.ndarray) -> tuple:
+        if first:  # places of a text ascend
+            keep = np.sort(np.unique(at * len(machine.words) + found[:, 1], return_index=True)[1])
+            at, found = at[keep], found[keep]
+        place, label = machine.labelled(np.arange(len(at)), found[:, 1])
+        if len(place) > len(at):  # a label that has a word twice has one row a place
+            place, label = np.unique(np.stack([place, label]), axis=1)
+        end, word = found[place, 0], found[place, 1]
+        return at[place], label, word, (end - machine.sizes[word] + 2, end + 1)
 
-    return _matched(texts, labels, on, block, each, "node string, word string, start bigint, stop bigint", [on, "idx", "node", "word", "start", "stop"])
+    word = ["word"] if named else []
+    schema = ", ".join(["node string", *[f"{w} string" for w in word], "start bigint", "stop bigint"])
+    return _matched(texts, labels, on, block, each, schema, [on, "idx", "node", *word, "start", "stop"])
 
 
 def scores(texts: DataFrame, labels: DataFrame, on: str, block: int = BLOCK) -> DataFrame:
     """(on, idx, node, score): how many of a label's words a text holds, words that a label repeats as often as it does; texts without any are left out."""
 
-    def each(machine: Automaton, text: str) -> Iterator[tuple]:
-        counts: dict[int, int] = {}
-        for word in {w for _, w in machine.found(text)}:
-            for i in machine.places[word]:
-                counts[i] = counts.get(i, 0) + 1
-        return ((machine.nodes[i], n) for i, n in counts.items())
+    def each(machine: Automaton, at: np.ndarray, found: np.ndarray) -> tuple:
+        if not len(at):
+            return at, at, at, (at,)
+        once = np.unique(at * len(machine.words) + found[:, 1])
+        of, label = machine.labelled(once // len(machine.words), once % len(machine.words))
+        one, n = np.unique(of * len(machine.nodes) + label, return_counts=True)
+        return one // len(machine.nodes), one % len(machine.nodes), one, (n,)
 
     return _matched(texts, labels, on, block, each, "node string, score bigint", [on, "idx", "node", "score"])

@@ -198,7 +198,7 @@ def chart_page(config: Column, title: Column) -> Column:
 def evidence(elements: DataFrame, chunks: DataFrame, key: str, first: bool = False) -> DataFrame:
     """(key, element, chunk, start, stop): all places of the elements' labels in the chunks of their document, case aside; the ``first`` place in each chunk alone, if asked."""
     labels = elements.select(key, F.col("element").cast("string").alias("node"), F.array(F.lower("label")).alias("words"))
-    found = spans.spans(chunks.select(key, F.col("chunk").alias("idx"), F.lower("content").alias("low")), labels, key)
+    found = spans.spans(chunks.select(key, F.col("chunk").alias("idx"), F.lower("content").alias("low")), labels, key, first=first, named=False)
     return found.select(key, F.col("node").cast(elements.schema["element"].dataType).alias("element"), F.col("idx").alias("chunk"), "start", "stop")
 
 

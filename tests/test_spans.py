@@ -43,6 +43,34 @@ def test_best_pages_with_ties(spark):
     assert got == {(1, 0, 1, 2), (1, 1, 2, 3), (1, 4, 1, 2)}
 
 
+def test_places_are_given_as_arrays(monkeypatch):
+    """An automaton gives numbers of words, and labels of many places at once, as often as a label has a word."""
+    machine = S.Automaton([{"node": "a", "words": ["an", "an", "", None]}, {"node": "b", "words": ["nan", "an"]}, {"node": "c", "words": None}])
+    of, found = machine.found(["xyz", "banan"])
+    assert of.tolist() == [1, 1, 1]
+    assert found.dtype == "int64" and sorted((int(e), machine.words[int(w)].as_py()) for e, w in found) == [(2, "an"), (4, "an"), (4, "nan")]
+    of, label = machine.labelled(found[:, 0], found[:, 1])
+    assert sorted(zip(of.tolist(), machine.nodes.take(label).to_pylist(), strict=True)) == [(2, "a"), (2, "a"), (2, "b"), (4, "a"), (4, "a"), (4, "b"), (4, "b")]
+    assert S.Automaton([]).found(["banan"])[1].shape == (0, 2) == machine.found(["xyz"])[1].shape
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_few_rows_at_once(spark, monkeypatch, first):
+    """Rows given in small pieces are the same rows."""
+    monkeypatch.setattr(S, "ROWS", 3)
+    texts, labels = made(4)
+    t = spark.createDataFrame(texts, "doc long, idx int, low string")
+    n = spark.createDataFrame(labels, "doc long, node int, words array<string>")
+    want = set()
+    for d, i, text in texts:
+        for e, node, words in labels:
+            for w in words if d == e and text else ():
+                at = [k for k in range(len(text)) if w and text.startswith(w, k)]
+                want |= {(d, i, str(node), w, k + 1, k + len(w)) for k in (at[:1] if first else at)}
+    got = [tuple(r) for r in S.spans(t, n, "doc", first=first).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_pages_that_meet_a_query(spark):
     """Pages that share one word with every query aren't compared with any, and none that holds enough is left out."""
     rng = random.Random(5)
