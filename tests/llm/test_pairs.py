@@ -456,6 +456,89 @@ def test_columns_of_the_table():
         assert min(line_dedup.by_columns(a, b, k), k + 1) == min(edits(a, b, 200), k + 1)
 
 
+@pytest.mark.parametrize("lanes,table", [(1 << 11, 1 << 22), (5, 1 << 22), (1 << 11, 2000)])
+def test_lanes_of_the_table(monkeypatch, lanes, table):
+    """Pairs compared side by side get the distances of the plain table, whatever their lengths, bounds and alphabets."""
+    rng = random.Random(7)
+    pairs, bounds = [], []
+    for _ in range(120):
+        a = "".join(rng.choice("abcé日 ") for _ in range(rng.choice([rng.randint(0, 9), rng.randint(1, 260)])))
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "a", "xy", "é"])
+        pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+        bounds.append(rng.choice([rng.randint(0, 63), 64, rng.randint(0, 200)]))
+    for name, value in (("LANE", 0), ("LANE_PAIR", 0), ("LANES", lanes), ("TABLE", table)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert line_dedup.distances(pairs, bounds).tolist() == [min(edits(a, b, 600), k + 1) for (a, b), k in zip(pairs, bounds, strict=True)]
+
+
+def test_a_large_component_comes_once(spark, monkeypatch):
+    """Lines of a large component and those near it don't come once for each key."""
+    monkeypatch.setattr(line_dedup, "edit_links", lambda texts, pairs: pairs)
+
+    def rows_alone(run):
+        def rows(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), b.column(b.schema.get_field_index("id"))], ["a", "b"])
+
+        return rows if run.__name__.startswith("links_") else run
+
+    monkeypatch.setattr(line_dedup, "released", rows_alone)
+    texts = spark.createDataFrame([(i, f"line {i}") for i in range(105)], "id long, norm string")
+    entries = spark.createDataFrame([(k, i) for k in range(15) for i in range(105)], "key long, id long")
+    groups = spark.createDataFrame([(i, 0) for i in range(100)], "id long, component long")
+    none = spark.createDataFrame([], "a long, b long, n long")
+    seen = [r.a for r in line_dedup.unsettled_links(texts, none, entries, groups).collect()]
+    assert set(seen) == set(range(105)) and len(seen) < 200
+
+
+def test_links_to_homes():
+    """Of guests and lines at home that share a key, those that join components are linked; others aren't compared."""
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randint(0, 14)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((i // 80, i % 80 >= 60, i, i if i % 80 >= 60 else -1 - i // 80, sorted(rng.sample(range(8), 2)), "".join(t)))
+    names = ["bucket", "guest", "id", "component", "keys", "norm"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, kinds, strict=True))))
+    pairs = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] and not y[1] and set(x[4]) & set(y[4]) and edits(x[5], y[5], 12) <= 12]
+    got = [x for b in line_dedup.links_to_homes(iter([batch.slice(0, 90), batch.slice(90)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted((x[2], y[2]))) for x, y in pairs} and len(got) == len({x[2] for x, _ in pairs})
+    assert {x[2] for x, _ in pairs} == {x for p in got for x in p if rows[x][1]}
+
+
+def test_lines_of_large_components(spark, monkeypatch):
+    """As they come to components of several lines, whole or in chunks, the lines that stay are those of all pairs."""
+    rng, words = random.Random(11), [f"wd{i}" for i in range(200)]
+    base = [" ".join(rng.choice(words) for _ in range(24)) for _ in range(2)]
+    rows = []
+    for i in range(160):
+        w = base[i % 2].split(" ")
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    gone = removed(rows, line_keys)
+    for home, bucket in ((64, 1024), (3, 1024), (3, 8)):
+        monkeypatch.setattr(line_dedup, "HOME", home)
+        monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+        monkeypatch.setattr(line_dedup, "SMALL", 3)
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+        assert {i for i, t in got.items() if not t} == {i for i, _ in gone}
+
+
+def test_filters_grow_with_their_ids(spark):
+    """A filter of many ids isn't crowded, and drops none."""
+    assert [common.filter_bits(n) for n in (0, 1 << 20, 3 << 21, 1 << 40)] == [1 << 24, 1 << 24, 1 << 26, 1 << 26]
+    some, rest = common.split_by(spark.range(1000), "id", spark.range(0, 1000, 7), 1 << 26)
+    assert {r.id for r in some.collect()} == set(range(0, 1000, 7)) and rest.count() == 1000 - 143
+
+
 def test_lengths_and_texts(spark):
     """Lines apart by their lengths make no link, and the texts of many lines are normalised at once."""
     texts = spark.createDataFrame([(1, "abcdefghij", 10), (2, "abcdefghijkl", 12), (3, "abcdefghiX", 10)], "id long, norm string, size long")
